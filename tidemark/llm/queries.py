@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, mixing, packing, token_store, warc
+from . import line_runs, mixing, packing, quality, simhash, token_store, warc
 from .common import table, work_dir
 from .tokens import default_vocabulary
 
@@ -21,11 +21,22 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = quality.ledger(table(spark, sf_dir, "documents"))
+    failed = F.col("failed").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
+    return held.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality.passes("web-1").alias("kept"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=1, capacity=2048)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark), width=4, radius=4)
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_runs.drop_shared_lines(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,11 +62,27 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(answers, "answer_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op5_pack, op8_line_dedup, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op4_quality_rules, op5_pack, op6_simhash, op8_line_dedup, op9_warc)}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op4_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+v AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS c FROM v) WHERE c > 1),
+n AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_SPACES}, '')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+      length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals, length(t) - length(translate(t, '0123456789', '')) AS n_digits,
+      length(t) - length(translate(t, '!', '')) AS n_exclamations FROM w LEFT JOIN n ON w.r = n.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT ({" OR ".join(f"({condition})" for _, condition in quality.RULES)}) AS kept
+FROM m
+""",
     "op8_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
