@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, mixing, packing, quality, simhash, token_store, warc
+from . import line_runs, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
 from .common import table, work_dir
 from .tokens import default_vocabulary
 
@@ -21,6 +21,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = voronoi.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256, F.col("vec_id") % 50 == 0)
+    return voronoi.top_k(rows, work_dir(spark), k=5)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality.ledger(table(spark, sf_dir, "documents"))
     failed = F.col("failed").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
@@ -37,6 +42,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, bias = pu_quality.train(docs, table(spark, sf_dir, "labels"), pu_quality.fold(5) != 0)
+    held = pu_quality.score(docs.select("doc_id", "text"), weights, bias).select("row.doc_id", "score")
+    return held.select("doc_id", F.coalesce(pu_quality.fold(5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_runs.drop_shared_lines(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,11 +74,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(answers, "answer_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op4_quality_rules, op5_pack, op6_simhash, op8_line_dedup, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc)}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op3_top_k": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(q.v, e.v) AS BIGINT) AS score FROM e q JOIN e ON q.r <> e.r WHERE q.vec_id % 50 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5
+""",
     "op4_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
