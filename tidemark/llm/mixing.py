@@ -12,13 +12,13 @@ until one is left in each source. That one is cut to the words still due
 Null text has size 0 and takes nothing. A source without words has target 0. Null
 sources come last. Repeated rows are documents of their own. Order, ties and every
 random draw come from hashes of ids and sizes, so reruns agree. An empty table gives
-no rows. Only doc_id, text and source are read; ``carry`` brings other columns along.
+no rows. Only doc_id, text and source are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, saved, text_of, work_dir
@@ -26,7 +26,12 @@ from .common import WORD, saved, text_of, work_dir
 WEIGHTS = (3, 1, 2)
 #: Open documents that one task of the tree brings down to one.
 BLOCK = 4096
-SLIM = "source string, doc_id long, size long, source_size long, target double, whole long, part double, tie long, block long, open boolean"
+SLIM = "rid long, source string, doc_id long, size long, source_size long, target double, whole long, part double, tie long, block long, open boolean"
+
+
+def row_id() -> Column:
+    """Equal rows, which share it, take their copies together."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_of())
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -92,10 +97,9 @@ def _reduce(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, last: str = "cut") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of docs."""
-    spark = docs.sparkSession
-    path = work_dir(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    """doc_id, source, size, source_size, target, taken, copies and rid (a hash of the row) of every row of docs."""
+    path = work_dir(docs.sparkSession)
+    slim = docs.select(row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     slim = saved(slim, f"{path}/sizes")
     targets = with_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most)
     targets = saved(targets, f"{path}/targets")
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rows = slim.join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     rows = rows.withColumns({"whole": F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long"), "part": F.when((F.col("size") > 0) & (rate - whole > 1e-12), rate - whole).otherwise(0.0), "tie": hashed})
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64(F.lit("block"), "tie"), blocks), "open": F.col("part") > 0}).select("source", "doc_id", "size", "source_size", "target", "whole", "part", "tie", "block", "open")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64(F.lit("block"), "tie"), blocks), "open": F.col("part") > 0}).select("rid", "source", "doc_id", "size", "source_size", "target", "whole", "part", "tie", "block", "open")
     done = [rows.where("NOT open")]
     most_blocks = (targets.agg(F.max("n")).first()[0] or 0) / BLOCK
     opened, level = rows.where("open"), 0
@@ -118,11 +122,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         if most_blocks <= 1:
             break
         most_blocks /= BLOCK
-    left = F.col("part") * F.col("size")
     if last == "round":
-        left = F.when(F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "tie"), F.lit(1 << 20)) < F.col("part") * (1 << 20), F.col("size")).otherwise(0)
-    taken = F.col("whole") * F.col("size") + F.when(F.col("open"), F.round(left)).otherwise(F.round(F.col("part")) * F.col("size")).cast("long")
+        opened = opened.withColumns({"part": F.when(F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "tie"), F.lit(1 << 20)) < F.col("part") * (1 << 20), 1.0).otherwise(0.0), "open": F.lit(False)})
     out = opened
     for part in done:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    copies = F.col("whole") + F.when(F.col("open"), F.col("part")).otherwise(F.round("part"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.round(copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "rid")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: whole documents only."""
+    plan = mix(docs, **{**options, "last": "round"}).groupBy("rid").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy("rid").agg(F.first("row").alias("row"))
+    return rows.join(plan, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
