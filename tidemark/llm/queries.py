@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import brown, line_runs, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
 from .common import table, work_dir
 from .tokens import default_vocabulary
@@ -81,7 +83,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", brown.held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm)} | {"pipeline": corpus_pipeline.run}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
