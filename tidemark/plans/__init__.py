@@ -1,4 +1,7 @@
 """Registered queries and the SQL that each must agree with."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import timelines
+
+_MODULES = (timelines,)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
