@@ -1,7 +1,7 @@
 """Registered queries and the SQL that each must agree with."""
 
-from . import timelines
+from . import images, runs, texts, timelines
 
-_MODULES = (timelines,)
+_MODULES = (timelines, images, texts, runs)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
