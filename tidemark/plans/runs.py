@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import budgets, folds
 from . import images, inputs, timelines
 from .inputs import SQL
-from .texts import turns
+from .texts import _TURNS, _norm, _rstrip, turns
 
 DAY = 86_400
 
@@ -130,6 +130,12 @@ UNION ALL SELECT o.run_id, o.i, CASE WHEN o.e - f.start > {0} THEN o.s ELSE f.st
 c AS (SELECT run_id, CAST(chunk AS BIGINT) AS chunk, min(s) AS s, max(e) AS e, count(*) AS n FROM f GROUP BY run_id, chunk)"""
 
 ORACLE_SQL = {
+    "prompt_budget": f"""WITH RECURSIVE {_TURNS}, x AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seg_id) AS i, {_norm('text')} AS x FROM tu),
+c AS (SELECT run_id, i, CASE WHEN length(x) <= 80 THEN x ELSE {_rstrip('substr(x, 1, 77)')} || '...' END AS c FROM x),
+f AS (SELECT run_id, i, c AS fit, length(c) AS used FROM c WHERE i = 1
+UNION ALL SELECT c.run_id, c.i, CASE WHEN length(c) <= 200 - used THEN c ELSE {_rstrip('substr(c, 1, greatest(197 - used, 0))')} || '...' END,
+used + length(CASE WHEN length(c) <= 200 - used THEN c ELSE {_rstrip('substr(c, 1, greatest(197 - used, 0))')} || '...' END) FROM f JOIN c ON c.run_id = f.run_id AND c.i = f.i + 1 WHERE used < 200)
+SELECT run_id, count(*) AS n_excerpts, string_agg(fit, ' / ' ORDER BY i) AS prompt FROM f GROUP BY run_id""",
     "split_units": f"WITH RECURSIVE {SQL}, {_SPLIT.format(5 * DAY)} SELECT * FROM c",
     "topic_groups": f"""WITH RECURSIVE {SQL}, {_SPLIT.format(2 * DAY)},
 u AS (SELECT run_id, s, e, row_number() OVER (PARTITION BY run_id ORDER BY s, chunk) AS i FROM c),
