@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encode
+from .tokens import encoder, pieces_of
 
 #: Documents in a group, on average.
 GROUP = 2000
@@ -52,24 +52,32 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def cut(encoded: DataFrame, capacity: int) -> DataFrame:
-    """Pieces of (doc_id, ids): doc_id, start, length, doc_tokens, ids."""
+def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+    """Pieces of the ids of (doc_id, text) with their end: doc_id, start, length, doc_tokens, ids. Encoded and cut in one pass, so that a task has one Python process."""
+    step, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 4 * capacity
+        code = encoder(vocabulary)
         for batch in batches:
-            rows = [(doc_id, at // 4, len(ids[at : at + step]) // 4, len(ids) // 4, ids[at : at + step]) for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at in range(0, len(ids), step)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+            at = 0
+            for part in pieces_of(batch.column(1)):
+                rows = []
+                for doc_id, ids in zip(batch.column(0).slice(at, len(part)).to_pylist(), code.texts(part), strict=True):
+                    ids += end
+                    rows += [(doc_id, k // 4, len(ids[k : k + step]) // 4, len(ids) // 4, ids[k : k + step]) for k in range(0, len(ids), step)]
+                at += len(part)
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return encoded.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    held = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
+    return held.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, seed: int = 11) -> DataFrame:
     """Pieces of all documents with sequence_id, offset and their ids."""
     groups = max(1, round(docs.count() / GROUP))
-    pieces = cut(encode(docs, vocabulary, end_id), capacity)
+    pieces = cut(docs, vocabulary, end_id, capacity)
     # a document's pieces go by its whole length, so that all of them share a group without a key of the text
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens"), F.lit(groups)))
 

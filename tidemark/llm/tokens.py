@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 # White space as the splitting pattern takes it: Python's less the four separators.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -27,11 +26,11 @@ _SPACED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 # Before such a space a text must not be cut.
 _SPACE_AFTER_SPACE = r"[\t-\r\x20\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Pieces and chunks that a worker remembers; beyond it forgets all and starts anew, with the same ids.
-REMEMBERED = {"pieces": 800_000, "chunks": 200_000}
+REMEMBERED = {"pieces": 300_000, "chunks": 100_000}
 #: Longer chunks are encoded each time.
 LONGEST = 64
 #: Bytes of text worked on at a time, one text at least.
-AT_ONCE = 24_000_000
+AT_ONCE = 12_000_000
 
 
 def default_vocabulary() -> str:
@@ -138,19 +137,3 @@ def pieces_of(texts: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
         yield texts.slice(at, end - at)
         at = end
-
-
-def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, end_id appended) of each row of (doc_id, text); a null text is empty."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
-        for batch in batches:
-            at = 0
-            for part in pieces_of(batch.column(1)):
-                ids = pa.array([x + end for x in code.texts(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], ["doc_id", "ids"])
-                at += len(part)
-
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, "doc_id long, ids binary")
