@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import budgets, folds
 from . import images, inputs, timelines
 from .inputs import SQL
-from .texts import _TURNS, _norm, _rstrip, turns
+from .texts import _TURNS, _norm, _rstrip, _within, turns
 
 DAY = 86_400
 
@@ -129,7 +129,21 @@ f AS (SELECT run_id, i, s AS start, 1 AS chunk, s, e FROM o WHERE i = 1
 UNION ALL SELECT o.run_id, o.i, CASE WHEN o.e - f.start > {0} THEN o.s ELSE f.start END, CASE WHEN o.e - f.start > {0} THEN f.chunk + 1 ELSE f.chunk END, o.s, o.e FROM f JOIN o ON o.run_id = f.run_id AND o.i = f.i + 1),
 c AS (SELECT run_id, CAST(chunk AS BIGINT) AS chunk, min(s) AS s, max(e) AS e, count(*) AS n FROM f GROUP BY run_id, chunk)"""
 
+_shown = lambda last: f"array_to_string(list_filter(list_transform(string_split(t.text, chr(10)), lambda l: {_norm('l')}), lambda l: l <> '' AND NOT contains(lower({_norm(last)}), lower(l))), ' ')"
+
 ORACLE_SQL = {
+    "rolling_lines": f"""WITH RECURSIVE {_TURNS}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_id) AS i FROM tu),
+f AS (SELECT run_id, seg_id, i, {_shown("''")} AS out, {_shown("''")} AS last FROM t WHERE i = 1
+UNION ALL SELECT t.run_id, t.seg_id, t.i, {_shown('f.last')}, CASE WHEN {_shown('f.last')} <> '' THEN {_shown('f.last')} ELSE f.last END FROM f JOIN t ON t.run_id = f.run_id AND t.i = f.i + 1)
+SELECT run_id, seg_id, out AS text FROM f WHERE out <> ''""",
+    "redundancy_full": f"""WITH RECURSIVE {_TURNS}, n AS (SELECT *, row_number() OVER w AS i, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text) OVER w, '') AS a FROM tu WINDOW w AS (PARTITION BY run_id ORDER BY seg_id)),
+t AS (SELECT *, {_within('text', 'b')} OR {_within('text', 'a')} AS skip FROM n),
+f AS (SELECT run_id, i, CASE WHEN skip THEN 0 ELSE 1 END AS number, CASE WHEN skip THEN NULL ELSE seg_id END AS seg_id, CASE WHEN skip THEN '' ELSE text END AS text FROM t WHERE i = 1
+UNION ALL SELECT t.run_id, t.i, CASE WHEN skip OR (f.number > 0 AND ({_within('t.text', 'f.text')} OR {_within('f.text', 't.text')})) THEN f.number ELSE f.number + 1 END,
+CASE WHEN skip OR (f.number > 0 AND ({_within('t.text', 'f.text')} OR {_within('f.text', 't.text')}) AND length(t.text) <= length(f.text)) THEN f.seg_id ELSE t.seg_id END,
+CASE WHEN skip OR (f.number > 0 AND ({_within('t.text', 'f.text')} OR {_within('f.text', 't.text')}) AND length(t.text) <= length(f.text)) THEN f.text ELSE t.text END FROM f JOIN t ON t.run_id = f.run_id AND t.i = f.i + 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id, number ORDER BY i DESC) AS k FROM f WHERE number > 0)
+SELECT run_id, CAST(number AS BIGINT) AS number, seg_id, text FROM o WHERE k = 1""",
     "prompt_budget": f"""WITH RECURSIVE {_TURNS}, x AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seg_id) AS i, {_norm('text')} AS x FROM tu),
 c AS (SELECT run_id, i, CASE WHEN length(x) <= 80 THEN x ELSE {_rstrip('substr(x, 1, 77)')} || '...' END AS c FROM x),
 f AS (SELECT run_id, i, c AS fit, length(c) AS used FROM c WHERE i = 1
