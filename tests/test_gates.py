@@ -51,3 +51,17 @@ def test_content_map_gates(spark):
     found = gates.content_map_violations(reports, fewer, t, v.where("pos <> 3").unionByName(v.where("pos = 1")))
     assert {r.error_type for r in found.collect()} == {"TranscriptNotAligned", "UnknownVisualSegment", "DuplicateVisualSegment"}
     assert gates.first_errors(found).first().error_type == "UnknownVisualSegment"
+
+
+def test_command_line(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    paths = [str(tmp_path / name) for name in ("runs", "transcript", "visual")]
+    for df, path in zip(tables(spark), paths, strict=True):
+        df.write.parquet(path)
+    out = str(tmp_path / "out")
+    assert main(["align", *paths, out]) == 1
+    assert spark.read.parquet(f"{out}/alignment").where("run_id = 'good'").count() == 8
+    (tmp_path / "a.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nHello\n")
+    assert main(["subtitles", str(tmp_path / "a.vtt"), str(tmp_path / "cues")]) == 0
+    assert spark.read.parquet(str(tmp_path / "cues")).first().text == "Hello"
