@@ -49,7 +49,9 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
     """Dictionary bytes from a bounded sample (the documents of the smallest id hashes); empty if there is too little to learn from."""
-    sample = docs.select("text").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
+    # ids first: texts are then read for the sample alone
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
