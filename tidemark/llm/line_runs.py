@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, ascii_lower, let, saved, text_of, work_dir
 
 FANOUT = 3
+#: Parts into which the rows of one text are dealt when they meet its dropped places, for groups of copies.
+SALTS = 8
 KEY = ["a", "b"]
 
 
@@ -106,7 +108,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, b
     # rows with equal texts lose equal lines, so the text's hash is key enough
     places = whole.select("ra", "rb", F.posexplode(keys_of(F.col("text"), min_chars)).alias("place", "key")).where("key IS NOT NULL").select("ra", "rb", "place", "key.*")
     hits = places.join(shared, KEY, "left_semi").groupBy("ra", "rb").agg(F.collect_set("place").alias("places"))
-    joined = whole.join(hits, ["ra", "rb"], "left")
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = whole.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(hits, ["ra", "rb", "salt"], "left")
     lines, gone = lines_of(F.col("text")), F.col("places")
     rest = let(lines, lambda held: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), gone), lambda i: held[i]), "\n"))
     return joined.select(
