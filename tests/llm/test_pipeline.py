@@ -57,6 +57,24 @@ def test_one_document_of_each_group_stays(spark, rows, block, monkeypatch):
     assert sorted(str(r.doc_id) for r in got) == sorted("None" if x == float("inf") else str(x) for (x,) in want.values())
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_edits_alike_only_through_their_original(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = np.random.default_rng(5)
+    original = [f"w{k}" for k in range(200)]
+    rows = [(1000, " ".join(original), "a")]
+    for k in range(300):
+        words = original.copy()
+        for at in r.choice(np.arange(5, 195, 5), 3, replace=False):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words), "a"))
+    sets = [windows(t) for _, t, _ in rows]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets[1:21]) for b in sets[1 : i + 1]]
+    assert 0.7 < np.median(alike) < 0.8 and min(len(a & sets[0]) / len(a | sets[0]) for a in sets[1:]) > 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [x.doc_id for x in near_dedup.keep_one(docs, work_dir(spark)).collect()] == [0]
+
+
 def test_whole_documents_are_mixed(spark):
     docs = awkward(spark, prose(150) + [(1, "same row", "src0")] * 2)
     got = mixing.mixed_documents(docs)

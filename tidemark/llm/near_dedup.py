@@ -4,10 +4,11 @@ SimHash at four bits, with the covering tables of :mod:`simhash`, brings togethe
 copies that differ in very little; texts that are 0.8 alike differ in about ten bits of
 64, which no affordable radius covers. Candidates therefore also come from 16 bands of
 four MinHash values over the same windows. Within a bucket the signatures tell which
-members are worth a look: a spanning forest of those that seem close, and each member's
-closest one. These pairs, a few for each member and never all pairs of a bucket, are
-then compared by their whole sets of windows, and only pairs of the similarity or more
-are links. Groups are the components of the links.
+members are worth a look: the components of those that seem close. Of a small one all
+close pairs are compared by their whole sets of windows. The members of a larger one
+meet with their sets, and a member is taken into a spanning forest only after that
+comparison, so that no text hides a link of another and never all pairs of a bucket
+leave it. Only pairs of the similarity or more are links; groups are their components.
 
 Texts without a word are copies of one another. Of each group the row of the smallest
 doc_id stays (a null one last); of repeated rows, one. An empty table gives no rows.
@@ -17,9 +18,11 @@ Input columns are returned as they were, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from .components import components
 from .simhash import _majority, links, window_hashes
 
 HASHES, BANDS, ROWS, BLOCK = 128, 16, 4, 512
+#: Of so many texts that seem close in a bucket, each pair is verified by a join; more are compared together.
+FEW = 8
 #: Signatures this much below the similarity are still worth a look: over twice the error of 128 hashes at 0.8.
 SLACK = 0.08
 LAST = 2**63 - 1
@@ -46,30 +51,45 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return out
 
 
-def close_pairs(members: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Places of pairs that seem close: a spanning forest, and each member's closest. members: signatures in rows."""
-    n, pairs = len(members), set()
-    best, closest = np.full(n, -1.0), np.zeros(n, int)
-    rest = np.arange(n)
+def close_groups(members: np.ndarray, least: float) -> list[list[int]]:
+    """Places of the members of each component, of two or more, of the pairs that seem close. members: signatures in rows."""
+    groups, rest = [], np.arange(len(members))
     while len(rest) > 1:
-        open_, rest = [rest[0]], rest[1:]
+        group, rest, k = [int(rest[0])], rest[1:], 0
+        while k < len(group) and len(rest):
+            near = (members[rest] == members[group[k]]).mean(axis=1) >= least
+            group += rest[near].tolist()
+            rest = rest[~near]
+            k += 1
+        if len(group) > 1:
+            groups.append(group)
+    return groups
+
+
+def linked_pairs(values: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs of the similarity or more that join every component of all such pairs. values: distinct hashes, a set from each start to the next."""
+    ids = np.unique(values, return_inverse=True)[1].astype(np.int32)
+    sizes, held = np.diff(starts), np.zeros(len(ids), np.int8)
+    pairs, rest = [], np.arange(len(sizes))
+    while len(rest) > 1:
+        open_, rest = [int(rest[0])], rest[1:]
         while open_ and len(rest):
             x = open_.pop()
-            alike = (members[rest] == members[x]).mean(axis=1)
-            better = alike > best[rest]
-            best[rest[better]], closest[rest[better]] = alike[better], x
-            near = alike >= least
-            found = rest[near]
-            pairs |= {(int(x), int(y)) for y in found}
-            open_ += found.tolist()
-            rest = rest[~near]
-    for k in np.flatnonzero(best >= least):
-        pairs.add((int(closest[k]), int(k)))
-    return sorted(pairs)
+            own = ids[starts[x] : starts[x + 1]]
+            held[own] = 1
+            upto = np.concatenate(([0], np.cumsum(held[ids], dtype=np.int64)))
+            held[own] = 0
+            shared, both = (upto[starts[rest + 1]] - upto[starts[rest]]), sizes[rest] + sizes[x]
+            alike = (both == 0) | (shared >= similarity * (both - shared))
+            found = rest[alike].tolist()
+            pairs += [(x, y) for y in found]
+            open_ += found
+            rest = rest[~alike]
+    return pairs
 
 
 def candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) pairs of t worth a look. texts: t, sig."""
+    """What is worth a look: pairs (a, b) of t where g is null, else a is a member of the group g. texts: t, sig."""
     width = 4 * ROWS
     bands = F.array(*[F.struct(F.lit(k).cast("short").alias("band"), F.xxhash64(F.substring("sig", 1 + k * width, width)).alias("key")) for k in range(BANDS)])
     keyed = texts.select("t", F.explode(bands).alias("k")).select("t", "k.*")
@@ -82,15 +102,25 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[str, str]] = []
+            pairs: list[tuple[str, str]] = []
+            crowds: list[tuple[str, str]] = []
             for row in batch.column(0):
                 held = row.values
                 names = held.field("t").to_pylist()
                 sigs = np.frombuffer(b"".join(held.field("sig").to_pylist()), "<u4").reshape(len(names), HASHES)
-                found += [(min(names[a], names[b]), max(names[a], names[b])) for a, b in close_pairs(sigs, similarity - SLACK)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["a", "b"])
+                for group in close_groups(sigs, similarity - SLACK):
+                    if len(group) <= FEW:
+                        alike = (sigs[group][:, None] == sigs[group]).mean(axis=2) >= similarity - SLACK
+                        close = [(names[group[i]], names[group[j]]) for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True)]
+                        pairs += [(min(p), max(p)) for p in close]
+                    else:
+                        inside = sorted(names[k] for k in group)
+                        g = md5("".join(inside).encode()).hexdigest()
+                        crowds += [(g, t) for t in inside]
+            columns = [[None] * len(pairs) + [g for g, _ in crowds], [x for x, _ in pairs] + [t for _, t in crowds], [y for _, y in pairs] + [None] * len(crowds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["g", "a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a string, b string").distinct()
+    return groups.select("members").mapInArrow(run, "g string, a string, b string").distinct()
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
@@ -112,16 +142,25 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, t string, fp long, sig binary")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, path: str) -> DataFrame:
-    """The pairs (a, b) of text hashes whose sets of windows have at least the similarity."""
-    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+def similar(docs: DataFrame, pairs: DataFrame, crowds: DataFrame, width: int, similarity: float, path: str) -> DataFrame:
+    """(a, b) of text hashes whose sets of windows have at least the similarity: all such pairs, and of each group g of crowds (g, t) enough to join its components."""
+    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).union(crowds.select("t")).distinct()
     held = docs.select(text_of().alias("text")).withColumn("t", F.md5("text")).join(ends, "t", "left_semi")
     held = held.select("t", words(ascii_lower(F.col("text"))).alias("w")).select("t", F.array_distinct(window_hashes(F.col("w"), width)).alias("h"))
     sets = saved(held.groupBy("t").agg(F.first("h").alias("h")), f"{path}/sets")
     joined = pairs.join(sets.withColumnsRenamed({"t": "a", "h": "x"}), "a").join(sets.withColumnsRenamed({"t": "b", "h": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
     joined = joined.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("both"))
-    return joined.where((F.col("both") == 0) | (F.col("n") >= similarity * (F.col("both") - F.col("n")))).select("a", "b")
+    linked = joined.where((F.col("both") == 0) | (F.col("n") >= similarity * (F.col("both") - F.col("n")))).select("a", "b")
+
+    def run(group: pa.Table) -> pa.Table:
+        names, lists = group.column("t").to_pylist(), group.column("h")
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        values = pc.list_flatten(lists).to_numpy()
+        found = linked_pairs(values, starts, similarity)
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.string()), "b": pa.array([names[y] for _, y in found], pa.string())})
+
+    return linked.union(crowds.join(sets, "t").select("g", "t", "h").groupBy("g").applyInArrow(run, "a string, b string"))
 
 
 def keep_one(docs: DataFrame, path: str, width: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -133,8 +172,10 @@ def keep_one(docs: DataFrame, path: str, width: int = 5, radius: int = 4, simila
     same = texts.join(heads, "fp").where("t <> head").select(F.least("t", "head").alias("a"), F.greatest("t", "head").alias("b"))
     near = links(heads.select(F.col("fp").alias("fingerprint")), radius)
     near = near.join(heads.withColumnsRenamed({"fp": "a", "head": "ta"}), "a").join(heads.withColumnsRenamed({"fp": "b", "head": "tb"}), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-    pairs = saved(candidates(texts, similarity).union(same).union(near).distinct(), f"{path}/pairs")
-    linked = saved(similar(docs, pairs, width, similarity, path), f"{path}/similar")
+    looks = saved(candidates(texts, similarity), f"{path}/candidates")
+    crowds = looks.where("g IS NOT NULL").select("g", F.col("a").alias("t"))
+    pairs = saved(looks.where("g IS NULL").select("a", "b").union(same).union(near).distinct(), f"{path}/pairs")
+    linked = saved(similar(docs, pairs, crowds, width, similarity, path), f"{path}/similar")
     labels = components(linked, f"{path}/components").withColumnRenamed("node", "t")
     grouped = texts.select("t", "doc_id").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     stay = saved(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("stay")).select("stay.*"), f"{path}/stay")
