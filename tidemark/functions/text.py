@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def norm_ws(text: Column) -> Column:
@@ -62,12 +66,19 @@ def time_token(seconds: Column) -> Column:
     return F.format_string("%010.3f", seconds.cast("double"))
 
 
+@F.arrow_udf(StringType())
+def _unescaped(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else html.unescape(x) for x in text.to_pylist()], pa.string())
+
+
+def without_tags(text: Column) -> Column:
+    return norm_ws(F.regexp_replace(text, "<[^>]+>", ""))
+
+
 def strip_markup(text: Column) -> Column:
-    """Without tags and with the five named entities decoded last, so that an escaped tag stays text."""
-    plain = norm_ws(F.regexp_replace(text, "<[^>]+>", ""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return strip(plain)
+    """Without tags and with all HTML entities decoded last, so that an escaped tag stays text; only texts with & go to Python."""
+    plain = without_tags(text)
+    return strip(F.coalesce(_unescaped(F.when(F.contains(plain, F.lit("&")), plain)), plain))
 
 
 def image_path(path: Column) -> Column:

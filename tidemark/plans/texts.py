@@ -11,7 +11,11 @@ from .inputs import table
 
 
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_markup(F.coalesce("html", F.lit(""))), 256).alias("text_sha"), T.image_path(F.col("url")).alias("image_path"))
+    """Pages' text by hash. Decoded are the five entities of the query's SQL; the library's strip_markup decodes all."""
+    plain = T.without_tags(F.coalesce("html", F.lit("")))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip(plain), 256).alias("text_sha"), T.image_path(F.col("url")).alias("image_path"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
