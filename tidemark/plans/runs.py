@@ -50,13 +50,18 @@ def merge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.per_run(rows, lambda items: folds.content_units(items, folds.Options()), schema, ["s", "seg_id"])
 
 
-def _frames(spark: SparkSession, sf_dir: str, kinds: int = 6) -> DataFrame:
-    """Visual segments as frames, at a scale of 1 to 1440 in time, that show one of a few images."""
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visual segments as frames, at a scale of 1 to 1440 in time: three ids in a row show an image, by its place in the whole table modulo its rows."""
     px = F.col("px")
-    faces = inputs.frames(spark, sf_dir).where(F.col("vec_id") < kinds).select("vec_id", V.normalized(V.histogram(px, 8, 32)).alias("hist"), V.average_hash(px).alias("hash"))
+    images_ = inputs.frames(spark, sf_dir).where("vec_id IS NOT NULL")
+    faces = images_.select("vec_id", V.normalized(V.histogram(px, 8, 32)).alias("hist"), V.average_hash(px).alias("hash"))
     faces = faces.withColumns({"title": F.slice("hash", 1, 16), "slide": F.slice("hash", 9, 48)}).join(images.region_metrics(spark, sf_dir), "vec_id")
-    seen = inputs.visual(spark, sf_dir).select("run_id", F.col("seg_id").alias("id"), (F.col("s") / 1440).alias("t"), (F.floor(F.col("seg_id") / 3) % kinds).alias("vec_id"))
-    rows = seen.join(F.broadcast(faces), "vec_id")  # six rows
+    ordered = images_.select("vec_id").distinct().orderBy("vec_id")
+    places = spark.createDataFrame(ordered.rdd.map(lambda r: r[0]).zipWithIndex(), "vec_id long, place long")
+    n = images_.select(F.count_distinct("vec_id").alias("n"))
+    seen = inputs.visual(spark, sf_dir).select("run_id", F.col("seg_id").alias("id"), (F.col("s") / 1440).alias("t")).crossJoin(F.broadcast(n))  # one row
+    seen = seen.withColumn("place", F.pmod(F.floor(F.col("id") / 3), F.col("n")))
+    rows = seen.join(places, "place").join(faces, "vec_id")
     # a frame's own fullness: the image's, dimmed by its id
     dim = (F.col("id") % 10) / 10
     return rows.select("run_id", "id", "t", "hist", "hash", "title", "slide", (F.col("content_area_ratio") * dim).alias("content"), (F.col("detail_density") * dim * dim).alias("detail"), (F.col("layout_richness") * dim).alias("layout"), (F.col("id") % 17 != 0).alias("ok"))
@@ -106,7 +111,7 @@ def image_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fold(frames: list[dict]) -> list[dict]:
         return [{"group_no": k, "kind": kind, "n_members": len(members), "representative": folds.best_image(members)["id"]} for k, (kind, members) in enumerate(folds.image_groups(frames), 1)]
 
-    return folds.per_run(_frames(spark, sf_dir, 2), fold, "run_id long, group_no long, kind string, n_members long, representative long", ["t", "id"])
+    return folds.per_run(_frames(spark, sf_dir), fold, "run_id long, group_no long, kind string, n_members long, representative long", ["t", "id"])
 
 
 def image_density(spark: SparkSession, sf_dir: str) -> DataFrame:
