@@ -1,10 +1,13 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidemark.llm import packing, queries, token_store
 from tidemark.llm.common import work_dir
@@ -15,19 +18,41 @@ from .helpers import awkward, prose
 
 @pytest.fixture(scope="module")
 def code():
-    return encoder(default_vocabulary())
+    """The library's own tokenizer, loaded anew and left as it is."""
+    return Tokenizer.from_file(default_vocabulary())
+
+
+FRESH = Tokenizer.from_file(default_vocabulary())
 
 
 def plain(code, text):
-    return code.tokenizer.encode(text or "", add_special_tokens=False).ids
+    return code.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" \t\n\r\x0b\x1c\x1d\x85\xa0 　ab'sZ1!.é中|_"), max_size=30) | st.text(max_size=20), max_size=5))
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "<|endoftext|>", "<|endoftext", "|>", "a", "don't"]) | st.text(alphabet=st.sampled_from(" \t\n\r\x0b\x1c\x1d\x85\xa0 　ab'sZ1!.é中|_"), max_size=30) | st.text(max_size=20), max_size=4).map("".join), max_size=5))
 def test_ids_are_the_tokenizers(texts):
-    code = encoder(default_vocabulary())
-    got = code.texts(pa.array(texts, pa.string()))
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(code, t) for t in texts]
+    got = encoder(default_vocabulary()).texts(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(FRESH, t) for t in texts]
+
+
+def test_an_added_token_has_its_id(code):
+    got = encoder(default_vocabulary()).texts(pa.array(["a <|endoftext|> b"]))
+    assert np.frombuffer(got[0], "<u4").tolist() == plain(code, "a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_other_settings_go_to_the_tokenizer_whole(tmp_path):
+    texts = ["A Word  and <|endoftext|>", "Don't\n stop", ""]
+    settings = json.loads(FRESH.to_str())
+    prefixed = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    for name, change in {"lower": {"normalizer": {"type": "Lowercase"}}, "prefix": {"pre_tokenizer": prefixed}}.items():
+        path = str(tmp_path / f"{name}.json")
+        Path(path).write_text(json.dumps(settings | change))
+        got = encoder(path).texts(pa.array(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(Tokenizer.from_file(path), t) for t in texts]
+    other = str(Path(default_vocabulary()).parent / "word_bpe_49k.json")
+    got = encoder(other).texts(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(Tokenizer.from_file(other), t) for t in texts]
 
 
 def test_slices_cover_all():

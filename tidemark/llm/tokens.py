@@ -6,10 +6,16 @@ batch of texts is cut at such spaces, its distinct chunks are encoded (most are
 words that the worker has met before), and the ids of each text are gathered
 from them. Nothing is trained and no id is guessed: texts with runs of white
 space, and chunks that are not plain words, go to the tokenizer as they are.
+
+This holds for byte-level BPE with its usual splitting pattern and no normalizer,
+which the tokenizer's own settings tell. With any other setting, and for texts that
+hold the string of an added token (``<|endoftext|>``, say, which the library gives
+the token's id), the whole text goes to ``encode`` as it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -57,6 +63,24 @@ class Pieces(dict):
         return packed
 
 
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer with these settings encodes the pieces of the splitting pattern one by one, as they are."""
+    split, model = settings["pre_tokenizer"] or {}, settings["model"]
+    return (
+        settings["normalizer"] is None
+        and settings["truncation"] is None
+        and settings["padding"] is None
+        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        and (model["type"], model.get("dropout") or 0) == ("BPE", 0)
+        and not any(model.get(name) for name in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    )
+
+
+def _quoted(text: str) -> str:
+    """A pattern that matches the text alone."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
 class Encoder(dict):
     """Chunk after a space, without that space, to its ids as little-endian unsigned 32-bit integers."""
 
@@ -65,8 +89,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = Pieces(self.tokenizer.model)
+        self.splits = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        added = sorted({token.content for token in self.tokenizer.get_added_tokens_decoder().values()})
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.whole = "|".join([_SPACE_AFTER_SPACE, *map(_quoted, added)])
 
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > LONGEST:
@@ -82,8 +109,12 @@ class Encoder(dict):
         self[chunk] = packed
         return packed
 
+    def plain(self, text: str) -> bytes:
+        """The ids of a text as the tokenizer gives them."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def text(self, text: str) -> bytes:
-        """The ids of a text by itself."""
+        """The ids of a text by itself, without added tokens in it."""
         out = []
         for chunk in _CHUNK.findall(text):
             if len(chunk) <= LONGEST and (word := _WORD.fullmatch(chunk)):
@@ -94,13 +125,19 @@ class Encoder(dict):
                 if marks:
                     out.append(self.pieces[marks])
             else:
-                out.append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                out.append(self.plain(chunk))
         return b"".join(out)
 
+    def odd(self, text: str) -> bytes:
+        """The ids of a text that holds runs of spaces or an added token."""
+        return self.plain(text) if self.added and self.added.search(text) else self.text(text)
+
     def texts(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False)
+        if not self.splits:
+            return [self.plain(text.as_py()) for text in texts]
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
@@ -116,7 +153,7 @@ class Encoder(dict):
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = pool[np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
         cuts = ends[starts]
-        return [self.text(texts[i].as_py()) if odd[i] else ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(texts))]
+        return [self.odd(texts[i].as_py()) if odd[i] else ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(texts))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
