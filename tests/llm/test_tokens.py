@@ -77,6 +77,13 @@ def test_store_round_trip(spark, code, rows):
         assert sorted(token_store.read_document(spark, path, doc_id)) == sorted(ids for d, ids in want if d == doc_id)
 
 
+def test_the_dictionary_is_trained_and_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(7, f"text {k} of one id, {'again ' * (k % 9)}", "s") for k in range(50)]
+    found = {token_store.train_dictionary(awkward(spark, r).repartition(n).select("doc_id", "text"), default_vocabulary(), 2) for r, n in ((rows, 1), (rows[::-1], 3))}
+    assert len(found) == 1 and found.pop()[:4] == b"\x37\xa4\x30\xec"  # a trained dictionary's magic number
+    assert token_store.train_dictionary(awkward(spark, []).select("doc_id", "text"), default_vocabulary(), 2) == b""
+
+
 def test_store_refuses_wide_ids_and_wrong_dictionaries(spark):
     path = work_dir(spark)
     with pytest.raises(Exception, match="does not fit"):
