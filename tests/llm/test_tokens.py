@@ -134,6 +134,18 @@ def test_packing_holds_every_id_once(spark, code, rows):
         assert at <= 256
 
 
+def test_groups_stay_small_whatever_the_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 5000)
+    rows = [(1, "one very long text " * 2000, "s")] + [(None, "the same row", "s")] * 3000
+    got = packing.pack(awkward(spark, rows), default_vocabulary(), capacity=64).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + r.length
+    assert len(groups) > 10 and max(groups.values()) < 4 * sum(groups.values()) / len(groups)
+    wide = packing.pack(awkward(spark), default_vocabulary(), end_id=70_000, capacity=64).collect()
+    assert all(np.frombuffer(r.ids, "<u4")[-1] == 70_000 for r in wide if r.start + r.length == r.doc_tokens)
+
+
 def test_queries_agree_with_plain_encoding(spark, sf, code):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     at = 0
