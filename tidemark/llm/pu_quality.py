@@ -1,108 +1,205 @@
 """Quality classifier from trusted positives and unlabelled text (positive-unlabelled learning).
 
-A logistic model over a text's measurements minimises the non-negative unbiased risk
+A logistic model of a text's inputs (:mod:`text_features`) minimises the non-negative
+unbiased risk
 
     prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)])
 
-with full-batch Adam steps; where the second term turns negative its gradient is
-reversed, which keeps the model from explaining away the unlabelled rows. The class
-prior is estimated as the share of good rows among the labelled ones that may be
-learned from.
-
-Fitting uses a bounded, documented sample: at most SAMPLE positives and SAMPLE
-unlabelled rows, those of the smallest id hashes. Scoring covers every whole text, as
-DataFrame expressions. Labels, lang, source and doc_id are never features.
-
-A null text is an empty one and gets a score too. Repeated rows score alike. Rows
-whose doc_id is null count as neither labelled nor learnable. Without any positive
-or unlabelled row every score is the prior (1/2 without labels). An empty table gives
-no rows. Labels with several rows a document count as their least value.
+over all positives and all unlabelled rows. With the logistic loss the unbiased risk is
+convex, and its sum over rows is what a pass of Spark returns, so a limited-memory
+quasi-Newton method (L-BFGS) needs a pass over the saved inputs for each step; the driver
+holds the weights alone. The walk starts where the second term is positive, and a step
+that would turn it negative is shortened until it does not, which keeps the model from
+explaining away the unlabelled rows. The class prior is estimated as the share of good
+rows among the labelled ones that may be learned from.
+
+Measurements enter as they are and as steps at quantiles of the corpus, which Spark
+estimates over all rows; nothing is tuned to a corpus by hand. Labels, lang, source and
+doc_id are never inputs.
+
+A null text is an empty one and gets a score too. Repeated rows score alike, and count in
+the fit as often as they occur. Rows whose doc_id is null count as neither labelled nor
+learnable. Without any positive or unlabelled row every score is the prior (1/2 without
+labels). An empty table gives no rows. Labels with several rows a document count as their
+least value. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import measured
-
-SAMPLE = 20_000
-STEPS, RATE, DECAY = 600, 0.05, 1e-3
-
-_words = "greatest(n_words, 1)"
-_chars = "greatest(word_chars, 1)"
-#: Inputs of the model: SQL over the measurements. Rates are capped, and steps tell a trace from a habit.
-FEATURES = [
-    "ln(1 + n_words) / 5",
-    f"word_chars / {_words} / 10",
-    f"least(n_symbols / {_words}, 3) / 3",
-    f"CASE WHEN n_symbols / {_words} > 0.2 THEN 1 ELSE 0 END",
-    f"CASE WHEN n_symbols / {_words} > 0.6 THEN 1 ELSE 0 END",
-    f"n_repeat_words / {_words}",
-    f"CASE WHEN n_repeat_words / {_words} > 0.2 THEN 1 ELSE 0 END",
-    f"CASE WHEN n_repeat_words / {_words} > 0.5 THEN 1 ELSE 0 END",
-    "n_dup_lines / greatest(n_lines, 1)",
-    f"n_capitals / {_chars}",
-    f"CASE WHEN n_capitals / {_chars} > 0.4 THEN 1 ELSE 0 END",
-    f"least(n_exclamations / {_words}, 2) / 2",
-    f"CASE WHEN n_exclamations / {_words} > 0.2 THEN 1 ELSE 0 END",
-    f"n_digits / {_chars}",
-    f"ln(1 + n_lines / {_words})",
-]
+from .common import saved
+from .text_features import AT_ONCE, MEASURED, SEQUENCES, WORDS, measure_array
+from .tokens import pieces_of
+
+#: Passes over the inputs at most, the gradient's length at which they end, halvings of a step before the walk ends, weight decay, steps remembered.
+PASSES, ENOUGH, HALVINGS, DECAY, MEMORY = 30, 3e-3, 4, 1e-3, 8
+#: Where measurements have steps.
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.85, 0.9, 0.95, 0.98)
+INPUTS = "doc_id long, measured array<float>, hashed binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """row and x, the model's inputs."""
-    return measured(docs).select("row", F.array(*[F.expr(f"CAST({f} AS DOUBLE)") for f in FEATURES]).alias("x"))
+    """doc_id, measured and hashed (a byte a bucket) of each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in pieces_of(batch.column(1), AT_ONCE):
+                measured, hashed = measure_array(part)
+                lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * len(MEASURED), pa.array(measured.astype(np.float32).ravel()))
+                columns = [batch.column(0).slice(at, len(part)), lists, pa.array([row.tobytes() for row in hashed], pa.binary())]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "measured", "hashed"])
+
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return held.mapInArrow(run, INPUTS)
 
 
 def fold(parts: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
-    scale[scale < 1e-9] = 1.0
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    theta = np.zeros(p.shape[1] + 1)
-    theta[-1] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):
-        good_p, good_u = (1 / (1 + np.exp(-np.clip(x @ theta, -40, 40))) for x in (p, u))
-        negative = -np.log1p(-np.minimum(good_u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(good_p, 1 - 1e-12)).mean()
-        toward = -prior * ((1 - good_p)[:, None] * p).mean(axis=0)  # gradient of the positives' loss
-        away = (good_u[:, None] * u).mean(axis=0) - prior * (good_p[:, None] * p).mean(axis=0)
-        gradient = toward + away if negative >= 0 else -away
-        gradient[:-1] += DECAY * theta[:-1]
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = theta[:-1] / scale
-    return weights, float(theta[-1] - weights @ mean)
-
-
-def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[np.ndarray, float]:
-    """Weights and bias from the rows of docs and labels whose doc_id is learnable."""
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(learnable & F.col("quality").isNotNull())
+class Model:
+    """Steps of the measurements, and weights and bias over measurements, steps and hashed counts."""
+
+    def __init__(self, steps: np.ndarray, weights: np.ndarray, bias: float):
+        self.steps, self.weights, self.bias = steps, weights, bias
+
+    def inputs(self, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        over = (measured[:, :, None] > self.steps[None]).reshape(len(measured), -1)
+        return np.hstack([measured, over, hashed / 255.0])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
+
+
+WIDTH = len(MEASURED) * (1 + len(QUANTILES)) + SEQUENCES + WORDS
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], first: int, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of each batch with measured and hashed, the columns from first on, as matrices."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            measured = part.column(first).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURED)).astype(float)
+            hashed = np.frombuffer(b"".join(part.column(first + 1).to_pylist()), np.uint8).reshape(-1, SEQUENCES + WORDS)
+            yield part, measured, hashed
+
+
+def summed(rows: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over rows (good, measured, hashed) of a vector of the given size; of(good, measured, hashed) gives it for some rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for part, measured, hashed in _matrices(batches, 1):
+            total += of(part.column(0).to_numpy(zero_copy_only=False), measured, hashed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["place", "value"])
+
+    found = rows.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()  # size rows
+    out = np.zeros(size)
+    out[found["place"].to_numpy()] = found["value"].to_numpy()
+    return out
+
+
+def descend(risk: Callable[[np.ndarray], tuple[float, np.ndarray, float]], theta: np.ndarray) -> np.ndarray:
+    """Minimises risk(theta) = (value, gradient, second term) by L-BFGS, going nowhere where the second term is negative."""
+    value, gradient, _ = risk(theta)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    passes, length = 1, 1.0
+    while passes < PASSES and np.linalg.norm(gradient) > ENOUGH:
+        step, kept = -gradient, []
+        for s, y in reversed(moves):
+            kept.append((s @ step) / (s @ y))
+            step = step - kept[-1] * y
+        if moves:
+            s, y = moves[-1]
+            step = step * (s @ y) / (y @ y)
+        for (s, y), a in zip(moves, reversed(kept), strict=True):
+            step = step + s * (a - (y @ step) / (s @ y))
+        length = 1.0 if moves else min(1.0, 1 / np.linalg.norm(gradient))
+        for _ in range(HALVINGS):
+            there = theta + length * step
+            new, slope, negative = risk(there)
+            passes += 1
+            if negative >= 0 and new <= value + 1e-4 * length * (gradient @ step):
+                break
+            length /= 2
+        else:
+            return theta
+        s, y = there - theta, slope - gradient
+        if s @ y > 1e-12:
+            moves = [*moves, (s, y)][-MEMORY:]
+        theta, value, gradient = there, new, slope
+    return theta
+
+
+def train(inputs: DataFrame, labels: DataFrame, learnable: Column, path: str) -> Model:
+    """The model of those rows of inputs (from features(), saved) and labels whose doc_id is learnable."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marks = marks.where(learnable & F.col("quality").isNotNull())
     counts = marks.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") == 1).cast("long")).alias("good")).first()
     prior = counts.good / counts.n if counts.n else 0.5
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    positive = marks.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(SAMPLE).withColumn("kind", F.lit(1))
-    unlabelled = docs.where(F.col("doc_id").isNotNull()).select("doc_id").where(learnable).join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(SAMPLE).withColumn("kind", F.lit(0))
-    chosen = F.broadcast(positive.unionByName(unlabelled))  # at most two samples
-    rows = features(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "kind")).select("row.kind", "x").limit(4 * SAMPLE).collect()
-    sets = [np.array([r.x for r in rows if r.kind == kind]) for kind in (1, 0)]
-    if not len(sets[0]) or not len(sets[1]) or not 0 < prior < 1:
-        prior = min(max(prior, 1e-6), 1 - 1e-6)
-        return np.zeros(len(FEATURES)), float(np.log(prior / (1 - prior)))
-    return fit(*sets, prior)
-
-
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """row and score (0 to 1) of every row of docs."""
-    products = F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
-    total = F.aggregate(products, F.lit(float(bias)), lambda s, x: s + x)
-    return features(docs).select("row", (1 / (1 + F.exp(-total))).alias("score"))
+    held = inputs.where(F.col("doc_id").isNotNull() & learnable).join(marks, "doc_id", "left")
+    held = held.where("quality IS NULL OR quality = 1").select(F.col("quality").isNotNull().alias("good"), "measured", "hashed")
+    held = saved(held, f"{path}/fitted")
+    steps = held.agg(*[F.percentile_approx(F.col("measured")[k], list(QUANTILES), 1000).alias(f"q{k}") for k in range(len(MEASURED))]).first()
+    if steps[0] is None or not 0 < prior < 1:
+        return _constant(prior)
+    model = Model(np.array(steps, float), np.zeros(WIDTH), 0.0)
+
+    def moments(good: np.ndarray, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        x = model.inputs(measured, hashed)
+        return np.concatenate((x.sum(axis=0), (x**2).sum(axis=0), [good.sum(), (~good).sum()]))
+
+    found = summed(held, 2 * WIDTH + 2, moments)
+    n_good, n_rest = found[-2:]
+    if not n_good or not n_rest:
+        return _constant(prior)
+    mean = found[:WIDTH] / (n_good + n_rest)
+    scale = np.sqrt(np.maximum(found[WIDTH : 2 * WIDTH] / (n_good + n_rest) - mean**2, 0))
+    used = scale > 1e-6
+    scale[~used] = 1.0
+
+    def risk(theta: np.ndarray) -> tuple[float, np.ndarray, float]:
+        weights, bias = theta[:-1] * used / scale, theta[-1]
+
+        def terms(good: np.ndarray, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+            x = model.inputs(measured, hashed)
+            z = np.clip((x - mean) @ weights + bias, -40, 40)
+            soft = np.logaddexp(0, z)  # the loss of a negative; a positive's is z less
+            slope = np.where(good, -prior / n_good, 1 / (1 + np.exp(-z)) / n_rest)
+            onto = np.append((slope @ x - slope.sum() * mean) * used / scale, slope.sum())
+            return np.concatenate((onto, [(soft - z)[good].sum() / n_good, soft[good].sum() / n_good, soft[~good].sum() / n_rest]))
+
+        sums = summed(held, WIDTH + 4, terms)
+        negative = sums[-1] - prior * sums[-2]
+        decay = np.append(DECAY * theta[:-1], 0)
+        return prior * sums[-3] + negative + decay @ theta / 2, sums[: WIDTH + 1] + decay, negative
+
+    start = np.zeros(WIDTH + 1)
+    start[-1] = np.log(prior / (1 - prior))
+    theta = descend(risk, start)
+    model.weights = theta[:-1] * used / scale
+    model.bias = float(theta[-1] - mean @ model.weights)
+    return model
+
+
+def _constant(prior: float) -> Model:
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    return Model(np.zeros((len(MEASURED), len(QUANTILES))), np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
+
+
+def score(inputs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score (0 to 1) of every row of inputs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, measured, hashed in _matrices(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(model.inputs(measured, hashed)))], ["doc_id", "score"])
+
+    return inputs.select("doc_id", "measured", "hashed").mapInArrow(run, "doc_id long, score double")

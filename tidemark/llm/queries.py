@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import brown, line_runs, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
-from .common import table, work_dir
+from .common import saved, table, work_dir
 from .tokens import default_vocabulary
 
 
@@ -45,10 +45,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    weights, bias = pu_quality.train(docs, table(spark, sf_dir, "labels"), pu_quality.fold(5) != 0)
-    held = pu_quality.score(docs.select("doc_id", "text"), weights, bias).select("row.doc_id", "score")
-    return held.select("doc_id", F.coalesce(pu_quality.fold(5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    path = work_dir(spark)
+    inputs = saved(pu_quality.features(table(spark, sf_dir, "documents")), f"{path}/inputs")
+    model = pu_quality.train(inputs, table(spark, sf_dir, "labels"), pu_quality.fold(5) != 0, path)
+    held_out = F.coalesce(pu_quality.fold(5) == 0, F.lit(False)).alias("held_out")
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return pu_quality.score(inputs, model).select("doc_id", held_out, "score", predicted)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
