@@ -14,19 +14,19 @@ from .helpers import AWKWARD, awkward
 
 
 def brute(rows, k, scale):
-    held = [(i, d, [math.floor(scale * x) for x in v], q) for i, (d, v, q) in enumerate(rows) if d is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    held = [(i, d, [math.floor(scale * x) for x in v], q) for i, (d, v, q) in enumerate(rows) if d is not None and v is not None and all(x is not None and math.isfinite(scale * x) for x in v)]
     out = []
     for i, d, v, q in held:
         if q:
-            s = sorted((-sum(a * b for a, b in zip(v, w)), e) for j, e, w, _ in held if j != i)[:k]
+            s = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), e) for j, e, w, _ in held if j != i)[:k]
             out += [(d, rank, e, -score) for rank, (score, e) in enumerate(s, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivots,part,block", [(128, 8192, 1024), (7, 10, 3), (1, 5, 100)])
+@pytest.mark.parametrize("pivots,part,block", [(256, 8192, 1024), (7, 10, 3), (1, 5, 100), (40, 50, 10)])
 @pytest.mark.parametrize("shape", ["random", "clusters", "awkward", "few", "empty", "unasked"])
 def test_top_k(spark, shape, pivots, part, block, monkeypatch):
-    for name, value in (("PIVOTS", pivots), ("PART", part), ("QUERIES", block)):
+    for name, value in (("PIVOTS", pivots), ("PART", part), ("QUERIES", block), ("PER_PIVOT", 4), ("SENDING", part)):
         monkeypatch.setattr(voronoi, name, value)
     r = np.random.default_rng(5)
     if shape == "random":
@@ -34,7 +34,7 @@ def test_top_k(spark, shape, pivots, part, block, monkeypatch):
     elif shape == "clusters":
         rows = [(i, (r.normal(size=8) * 0.01 + 5 * np.eye(8)[i % 8]).tolist(), i % 5 == 0) for i in range(300)]
     elif shape == "awkward":
-        rows = [(1, [1.0, 2.0], True), (1, [1.0, 2.0], True), (2, None, True), (3, [1.0, None], True), (4, [float("nan"), 1.0], True), (5, [float("inf"), 1.0], False), (6, [], True), (7, [1.0], False), (None, [9.0, 9.0], True), (8, [1e9, -1e9], True), (9, [0.0, 0.0], None)] + [(20 + i, [1.0, 2.0], False) for i in range(30)]
+        rows = [(1, [1.0, 2.0], True), (1, [1.0, 2.0], True), (2, None, True), (3, [1.0, None], True), (4, [float("nan"), 1.0], True), (5, [float("inf"), 1.0], False), (6, [], True), (7, [1.0], False), (None, [9.0, 9.0], True), (8, [1e9, -1e9], True), (10, [1e300, 1.0], True), (11, [-1e300, 1e306], True), (12, [3e17, 5.0], False), (9, [0.0, 0.0], None)] + [(20 + i, [1.0, 2.0], False) for i in range(30)]
     elif shape == "few":
         rows = [(1, [1.0], True), (2, [2.0], True)]
     else:
@@ -47,7 +47,30 @@ def test_top_k(spark, shape, pivots, part, block, monkeypatch):
 def test_bounds_leave_cells_out():
     pivots = np.array([[100.0, 0.0], [0.0, 100.0], [-100.0, 0.0]])
     cells = [(c, 10, 1.0, [0.1] * 6) for c in range(3)]
-    assert voronoi.plan(pivots, cells, np.arange(3), {0: 1.0}, 5) == [(0, 0)]
+    assert voronoi.reach(pivots, cells, {0: (1, 1.0, 9000.0)}, 5) == {0: {}}
+    near = voronoi.reach(pivots, [*cells[:2], (2, 10, 500.0, [0.1] * 6)], {0: (1, 1.0, 9000.0)}, 5)
+    assert list(near[0]) == [2] and 195 < near[0][2] < 196  # (10000 - 100 - 10.1 + 10000 - 100) / 101
+
+
+def test_groups_are_joined_only_where_that_saves_work():
+    sizes, asked = dict.fromkeys(range(6), 1000), dict.fromkeys(range(6), 10)
+    everywhere = {g: {c: 0.0 for c in range(6) if c != g} for g in range(6)}
+    assert set(voronoi.joined(everywhere, sizes, asked).values()) == {0}
+    apart = {g: {g ^ 1: 0.0} for g in range(6)}
+    assert len(set(voronoi.joined(apart, sizes, asked).values())) == 6
+
+
+def test_most_rows_are_left_out_of_clustered_data(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.02 * r.normal(size=16)).tolist()) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    meet = voronoi.meet
+    monkeypatch.setattr(voronoi, "meet", lambda asked, data, groups, k: (sent.append((asked.count(), data.count(), data.select("to").distinct().count())), meet(asked, data, groups, k))[1])
+    got = voronoi.top_k(voronoi.scaled(frame, "vec_id", "embedding", 256, F.col("vec_id") % 50 == 0), work_dir(spark), k=5)
+    assert sorted(map(tuple, got.collect())) == brute([(d, v, d % 50 == 0) for d, v in rows], 5, 256)
+    assert sum(data for _, data, _ in sent[1:]) < 0.25 * 6000 * sent[0][2]  # rows sent beyond their home cells, of all there are
 
 
 def area(labels, scores):

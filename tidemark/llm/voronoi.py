@@ -1,21 +1,24 @@
 """Exact top-k by inner product, as a Voronoi join of queries with all rows.
 
-Pivots (a bounded sample of rows) part the rows into cells. Of each cell a summary is
-kept: its rows, its radius and the k + 1 least distances to its pivot. Cells are joined
-into query groups around a few of the pivots. From the summaries alone follow, for each
-group, a score that its k-th best match cannot miss (``theta``), and for each cell the
-best score that any row in it could reach. Only rows of cells that can reach theta are
-replicated to a group. Groups are solved locally, their rows in parts of at most about
+Pivots (a bounded sample of rows) part the rows into cells; the queries of a cell are a
+query group. Each group is first solved in its home cell, which gives a score that the
+k-th best match of none of its queries can miss (``theta``; where the home cell has too
+few rows, it follows from the cells' summaries). From the summaries (rows, radius, the k
++ 1 least distances to the pivot) follows next, for each group and cell, how far from its
+pivot a row must lie to reach theta, and only such rows are replicated to the group.
+Groups that need nearly the same cells are joined where that costs less: a row is then
+sent once for all of them. Groups are solved locally, their rows in parts of at most about
 PART and their queries in blocks of at most about QUERIES, and the parts' best are
 merged for each query.
 
 Bounds, with q = p + u, |u| <= R in the group and x = c + v in the cell:
 q.x lies within R|c| + (|p| + R)|v| of p.c.
 
-Rows whose id is null, or whose vector is null or holds a null or non-finite component,
-take no part. Shorter vectors are filled with zeros. A row is no candidate of itself, but
-other rows with its id are. Ties go to the smaller id. An empty table, or one without
-queries, gives no rows. Only the id and vector columns are read.
+Rows whose id is null, or whose vector is null or holds a component that is null or, once
+scaled, not finite, take no part. Shorter vectors are filled with zeros. A row is no
+candidate of itself, but other rows with its id are. Ties go to the smaller id. Products
+are exact; one beyond 64 bits counts as the largest or least long. An empty table, or one
+without queries, gives no rows. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -30,17 +33,27 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-PIVOTS, PART, QUERIES = 128, 8192, 1024
+#: Pivots at most; rows for each pivot at least; rows and values of a part; queries of a block.
+PIVOTS, PER_PIVOT, PART, VALUES, QUERIES = 256, 64, 8192, 1 << 21, 1024
+#: What sending a row to a group costs, in inner products.
+SENDING = 100
 ROW = "rid long, vec_id long, is_query boolean, v binary"
+FOUND = "rid long, query_id long, match long, vec_id long, score long"
 
 
 def scaled(vectors: DataFrame, vec_id: str, vector: str, scale: int, query: Column) -> DataFrame:
     """rid, vec_id, is_query and v: floor(scale * x) of each component, as doubles, of the rows that take part."""
     c = F.col(vector)
-    whole = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def component(x: Column) -> Column:
+        y = scale * x.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    whole = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scale * x.cast("double")) < float("inf")))
     held = vectors.withColumn("__rid", F.monotonically_increasing_id())
     held = held.where(F.col(vec_id).isNotNull() & c.isNotNull() & whole)
-    return held.select(F.col("__rid").alias("rid"), F.col(vec_id).cast("long").alias("vec_id"), F.coalesce(query, F.lit(False)).alias("is_query"), F.transform(c, lambda x: F.floor(scale * x.cast("double")).cast("double")).alias("v"))
+    asks = F.coalesce(query, F.lit(False)).alias("is_query")
+    return held.select(F.col("__rid").alias("rid"), F.col(vec_id).cast("long").alias("vec_id"), asks, F.transform(c, component).alias("v"))
 
 
 def matrix(lists: list[np.ndarray] | pa.ListArray, width: int) -> np.ndarray:
@@ -52,43 +65,129 @@ def matrix(lists: list[np.ndarray] | pa.ListArray, width: int) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products, in doubles where these are exact."""
-    if len(queries) and len(rows) and np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1]) < 2**53:
+    """Integer inner products: in doubles where these are exact, else in whole numbers of any size, cut to 64 bits."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+    if most < 2**53:
         return (queries @ rows.T).astype(np.int64)
-    return queries.astype(np.int64) @ rows.astype(np.int64).T
+    whole = [np.array([[int(x) for x in row] for row in held], object).reshape(held.shape) for held in (queries, rows)]
+    return np.clip(whole[0] @ whole[1].T, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def best_of(s: np.ndarray, k: int) -> list[np.ndarray]:
+    """Places of the k largest of each row, equal ones in order of place."""
+    n = s.shape[1]
+    if n <= k:
+        return list(np.argsort(-s.astype(float), axis=1, kind="stable")) if np.abs(s).max(initial=0) < 2**53 else [np.lexsort((np.arange(n), ~row)) for row in s]
+    least = np.partition(s, n - k, axis=1)[:, n - k]
+    out = []
+    for row, at in zip(s, least, strict=True):
+        place = np.flatnonzero(row >= at)
+        out.append(place[np.lexsort((place, ~row[place]))][:k])
+    return out
 
 
-def plan(pivots: np.ndarray, cells: list, groups: np.ndarray, reach: dict[int, float], k: int) -> list[tuple[int, int]]:
-    """(group, cell) pairs in which a match may lie. cells: (cell, n, radius, least distances); groups: the pivot of each cell's group; reach: each group's radius."""
-    norms, out = np.linalg.norm(pivots, axis=1), []
-    for g, far in reach.items():
+def reach(pivots: np.ndarray, cells: list, groups: dict[int, tuple[int, float, float]], k: int) -> dict[int, dict[int, float]]:
+    """For each group its cells but its own in which a match may lie, with the least distance from the pivot of a row that can be one.
+
+    cells: (cell, n, radius, least distances); groups: by cell (queries, radius, the score that no k-th best of the home cell falls short of)."""
+    norms, out = np.linalg.norm(pivots, axis=1), {}
+    np.seterr(invalid="ignore", over="ignore")  # bounds beyond doubles rule nothing out
+    for g, (_, far, theta) in groups.items():
         dots = pivots @ pivots[g]
-        low, high = [], {}
-        for cell, n, radius, least in cells:
-            around, spread = far * norms[cell], norms[g] + far
-            low += [dots[cell] - around - spread * d for d in least]
-            high[cell] = dots[cell] + around + spread * radius
-        low.sort(reverse=True)
-        theta = low[k] if len(low) > k else -np.inf  # one more than k, for a row is no match of itself
-        out += [(g, cell) for cell, best in high.items() if best + 1e-6 * (1 + abs(best)) >= theta]
+        spread = norms[g] + far
+        low = [dots[cell] - far * norms[cell] - spread * d for cell, _, _, least in cells for d in least]
+        low = sorted((x for x in low if np.isfinite(x)), reverse=True)
+        theta = max(theta, low[k] if len(low) > k else -np.inf)  # one more than k, for a row is no match of itself
+        out[g] = {}
+        for cell, _, radius, _ in cells:
+            if cell != g:
+                around = dots[cell] + far * norms[cell]
+                slack = 1e-6 * (1 + abs(around) + spread * radius)
+                if not around + spread * radius + slack < theta:
+                    least = (theta - around - slack) / spread if spread > 0 else -np.inf
+                    out[g][cell] = float(least) if np.isfinite(least) else -np.inf
     return out
 
 
+def joined(wanted: dict[int, dict[int, float]], sizes: dict[int, int], asked: dict[int, int]) -> dict[int, int]:
+    """The group that each group becomes part of: two are joined where sending their rows once saves more than the added products cost."""
+    head = {g: g for g in wanted}
+    sets = {g: frozenset(cells) for g, cells in wanted.items()}
+    alike: dict[frozenset, int] = {}
+    for g in sorted(wanted):  # equal needs first: those cost nothing
+        head[g] = alike.setdefault(sets[g], g)
+    held = {g: [sets[g], sum(asked[x] for x in head if head[x] == g)] for g in sorted(set(head.values()))}
+
+    def rows(cells: frozenset) -> int:
+        return sum(sizes[c] for c in cells)
+
+    def cost(cells: frozenset, queries: int) -> int:
+        return rows(cells) * (SENDING * -(-queries // QUERIES) + queries)
+
+    order = sorted(held, key=lambda g: (-rows(held[g][0]), g))
+    kept: list[int] = []
+    for g in order:  # each joins the earlier group where it saves most
+        cells, queries = held[g]
+        saving = [(cost(cells, queries) + cost(*held[h]) - cost(cells | held[h][0], queries + held[h][1]), -h) for h in kept]
+        if saving and max(saving)[0] > 0:
+            h = -max(saving)[1]
+            held[h] = [cells | held[h][0], queries + held[h][1]]
+            head = {x: h if y == g else y for x, y in head.items()}
+        else:
+            kept.append(g)
+    return head
+
+
+def solve(k: int):
+    """The k best rows of each query, both of one group, part and block."""
+
+    def run(_, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(held):
+            held = held.sort_values(["vec_id", "rid"], kind="stable")
+            x = np.frombuffer(b"".join(held["v"]), float).reshape(len(held), -1)
+            ids, rids = held["vec_id"].to_numpy(), held["rid"].to_numpy()
+            for at in range(0, len(queries), 256):
+                some = queries.iloc[at : at + 256]
+                s = scores(np.frombuffer(b"".join(some["v"]), float).reshape(len(some), -1), x)
+                for row, (rid, query_id, places) in enumerate(zip(some["rid"], some["vec_id"], best_of(s, k + 1), strict=True)):
+                    found += [(rid, query_id, rids[c], ids[c], s[row, c]) for c in [c for c in places if rids[c] != rid][:k]]
+        return pd.DataFrame(found, columns=["rid", "query_id", "match", "vec_id", "score"])
+
+    return run
+
+
+def _parts(rows: int, width: int) -> int:
+    return max(1, -(-rows // PART), -(-rows * width // VALUES))
+
+
+def meet(asked: DataFrame, data: DataFrame, groups: dict[int, tuple[int, int]], k: int) -> DataFrame:
+    """The best of each group's queries among its rows. asked, data: placed rows with their group ``to``; groups: (parts, blocks) of each."""
+    spark = asked.sparkSession
+    shape = spark.createDataFrame([(g, parts, blocks) for g, (parts, blocks) in groups.items()], "to int, parts int, blocks int")
+    shape, mixed, key = F.broadcast(shape), F.xxhash64("rid"), ["to", "part", "block"]  # a row a group, PIVOTS at most
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def one(n: str) -> Column:
+        return F.pmod(mixed, F.col(n).cast("long")).cast("int")
+
+    rows = data.join(shape, "to").select("to", one("parts").alias("part"), every("blocks").alias("block"), "rid", "vec_id", "v")
+    queries = asked.join(shape, "to").select("to", every("parts").alias("part"), one("blocks").alias("block"), "rid", "vec_id", "v")
+    return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(solve(k), FOUND)
+
+
 def top_k(prepared: DataFrame, path: str, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row with is_query among all others. prepared: from scaled()."""
     spark = prepared.sparkSession
     rows = saved(prepared, f"{path}/rows")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max(F.size("v")).alias("width")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not seen.n or not seen.q:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, seen.width)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "rid").limit(min(PIVOTS, max(1, seen.n // 64))).select("v").collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "rid").limit(min(PIVOTS, max(1, seen.n // PER_PIVOT))).select("v").collect()
     pivots = np.unique(matrix([r.v for r in sample], width), axis=0)
-    pivots = pivots[np.argsort(-np.abs(pivots).sum(axis=1), kind="stable")]
-    n_groups = min(len(pivots), max(1, -(-seen.q // QUERIES)))
-    heads = np.linspace(0, len(pivots) - 1, n_groups).astype(int)
-    group_of = heads[np.argmin(((pivots[:, None, :] - pivots[None, heads, :]) ** 2).sum(axis=2), axis=1)]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (pivots**2).sum(axis=1)
@@ -100,42 +199,49 @@ def top_k(prepared: DataFrame, path: str, k: int = 5) -> DataFrame:
                 values = lists.flatten().to_numpy(zero_copy_only=False)
                 x = matrix([values[a - starts[0] : b - starts[0]] for a, b in zip(starts[:-1], starts[1:], strict=True)], width)
                 cell = np.argmin(half[None, :] - 2 * (x @ pivots.T), axis=1)
-                group = group_of[cell]
                 near = np.linalg.norm(x - pivots[cell], axis=1)
-                far = np.linalg.norm(x - pivots[group], axis=1)
-                columns = [*part.columns[:3], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(group.astype(np.int32)), pa.array(near), pa.array(far)]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "is_query", "v", "cell", "grp", "near", "far"])
+                columns = [*part.columns[:3], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(near)]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "is_query", "v", "cell", "near"])
 
-    placed = saved(rows.mapInArrow(assign, f"{ROW}, cell int, grp int, near double, far double"), f"{path}/placed")
+    placed = saved(rows.mapInArrow(assign, f"{ROW}, cell int, near double"), f"{path}/placed")
+    asked = spark.read.schema(placed.schema).parquet(f"{path}/placed").where("is_query")  # read anew, for it meets its own table
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("near"))
     least = placed.select("cell", "near").withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("cell").agg(F.collect_list("near").alias("least"))
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).join(least, "cell").collect()  # one row a pivot
-    groups = placed.where("is_query").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
-    pairs = plan(pivots, [(r.cell, r.n, r.radius, r["least"]) for r in cells], group_of, {r.grp: r.far for r in groups}, k)
-    sizes = {r.cell: r.n for r in cells}
-    parts = {r.grp: -(-sum(sizes[c] for g, c in pairs if g == r.grp) // PART) for r in groups}
-    blocks = {r.grp: -(-r.n // QUERIES) for r in groups}
-    where = F.broadcast(spark.createDataFrame([(g, c, parts[g], blocks[g]) for g, c in pairs], "to int, cell int, parts int, blocks int"))  # at most PIVOTS squared
-    spread = F.broadcast(spark.createDataFrame([(g, parts[g], blocks[g]) for g in parts], "grp int, parts int, blocks int"))
-    mixed = F.xxhash64("rid")
-    data = placed.join(where, "cell").select("to", F.pmod(mixed, F.col("parts").cast("long")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rid", "vec_id", "v")
-    asked = spark.read.schema(placed.schema).parquet(f"{path}/placed").where("is_query").join(spread, "grp").select(F.col("grp").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod(mixed, "blocks").cast("int").alias("block"), "rid", "vec_id", "v")
-
-    def solve(_, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(held):
-            held = held.sort_values(["vec_id", "rid"], kind="stable")
-            x = np.frombuffer(b"".join(held["v"]), float).reshape(len(held), -1)
-            ids, rids = held["vec_id"].to_numpy(), held["rid"].to_numpy()
-            for at in range(0, len(queries), 256):
-                some = queries.iloc[at : at + 256]
-                s = scores(np.frombuffer(b"".join(some["v"]), float).reshape(len(some), -1), x)
-                order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                for row, (rid, query_id) in enumerate(zip(some["rid"], some["vec_id"], strict=True)):
-                    found += [(rid, query_id, ids[c], s[row, c]) for c in [c for c in order[row] if rids[c] != rid][:k]]
-        return pd.DataFrame(found, columns=["rid", "query_id", "vec_id", "score"])
-
-    key = ["to", "part", "block"]
-    best = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(solve, "rid long, query_id long, vec_id long, score long")
+    far = F.max(F.when(F.col("is_query"), F.col("near"))).alias("far")
+    queries = F.sum(F.col("is_query").cast("long")).alias("queries")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius"), queries, far).join(least, "cell").collect()  # a row a pivot
+    sizes, homes = {r.cell: r.n for r in cells}, {r.cell: r for r in cells if r.queries}
+
+    def shapes(rows_of: dict[int, int], queries_of: dict[int, int]) -> dict[int, tuple[int, int]]:
+        return {g: (_parts(n, width), max(1, -(-queries_of[g] // QUERIES))) for g, n in rows_of.items()}
+
+    counts = {g: r.queries for g, r in homes.items()}
+    home = meet(asked.withColumn("to", F.col("cell")), placed.withColumn("to", F.col("cell")), shapes({g: sizes[g] for g in homes}, counts), k)
+    home = saved(home, f"{path}/home")
+    # of each query the k-th best so far, of each group the least of those
+    worst = home.groupBy("rid").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("rid", F.get("s", F.lit(k - 1)).alias("kth"))
+    worst = asked.select("rid", "cell").join(worst, "rid", "left").groupBy("cell")
+    thetas = {r.cell: r for r in worst.agg(F.min("kth").alias("least"), F.count("kth").alias("n"), F.count(F.lit(1)).alias("of")).collect()}  # a row a group
+    groups = {g: (r.queries, r.far, float(thetas[g]["least"]) if thetas[g].n == thetas[g].of else -np.inf) for g, r in homes.items()}
+    wanted = reach(pivots, [(r.cell, r.n, r.radius, r["least"]) for r in cells], groups, k)
+    head = joined(wanted, sizes, counts)
+    found = home
+    pairs: dict[tuple[int, int], float] = {}
+    for g, needed in wanted.items():
+        for cell, from_ in needed.items():
+            pairs[head[g], cell] = min(from_, pairs.get((head[g], cell), np.inf))
+    if pairs:
+        rows_of: dict[int, int] = {}
+        queries_of: dict[int, int] = {}
+        for to, cell in pairs:
+            rows_of[to] = rows_of.get(to, 0) + sizes[cell]
+        for g, to in head.items():
+            queries_of[to] = queries_of.get(to, 0) + counts[g]
+        where = F.broadcast(spark.createDataFrame([(to, cell, x) for (to, cell), x in pairs.items()], "to int, cell int, from_ double"))  # PIVOTS squared at most
+        heads = F.broadcast(spark.createDataFrame(list(head.items()), "cell int, to int"))
+        data = placed.join(where, "cell").where("NOT near < from_")
+        # the home cell of one part of a joined group may be among the cells that another part needs
+        others = meet(asked.join(heads, "cell"), data, shapes(rows_of, queries_of), k)
+        found = home.unionByName(others).dropDuplicates(["rid", "match"])
     order = Window.partitionBy("rid").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
