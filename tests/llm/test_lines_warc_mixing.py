@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from tidemark.llm import line_runs, mixing, warc
+from tidemark.llm import common, line_runs, mixing, queries, warc
 from tidemark.llm.common import work_dir
 
 from .helpers import WORD, awkward, prose
@@ -28,7 +28,7 @@ def dedup(texts, min_chars, min_docs):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 5])
+@pytest.mark.parametrize("batches", [1, 5, None])
 @pytest.mark.parametrize("min_chars,min_docs", [(1, 2), (0, 3), (6, 2)])
 def test_line_dedup(spark, batches, min_chars, min_docs):
     docs = awkward(spark)
@@ -43,13 +43,33 @@ def test_line_dedup_of_nothing(spark):
 
 
 def test_levels_are_compacted(spark):
-    runs = line_runs.LineRuns(work_dir(spark), threshold=4)
-    for _ in range(7):
-        runs.add(spark.createDataFrame([(1, 1), (2, 2)], "a long, b long"))
-    assert all(len(v) < line_runs.FANOUT for v in runs.levels.values())
+    runs = line_runs.LineRuns(spark, work_dir(spark), threshold=4)
+    for k in range(13):
+        runs.add(spark.createDataFrame([(1, 1), (2, 2), (3, k)], "a long, b long"))
+    assert all(len(v) < line_runs.FANOUT for v in [*runs.levels.values(), runs.settled])
+    assert set(runs.compacted) == {1, 2}
     assert {(r.a, r.b) for r in runs.shared().collect()} == {(1, 1), (2, 2)}
 
 
+def test_the_query_compacts_its_runs_and_merges_without_a_shuffle(spark, sf, monkeypatch):
+    made, plans = [], []
+    start, merged = line_runs.LineRuns.__init__, line_runs.LineRuns._merged
+    monkeypatch.setattr(line_runs.LineRuns, "__init__", lambda self, *a: (made.append(self), start(self, *a))[1])
+    monkeypatch.setattr(line_runs.LineRuns, "_merged", staticmethod(lambda runs: plans.append(merged(runs)) or plans[-1]))
+    queries.op8_line_dedup(spark, sf).count()
+    assert made[0].compacted and plans
+    runs = line_runs.LineRuns(spark, work_dir(spark), 2)
+    some = [runs._run(spark.createDataFrame([(k, 1, 1)], "a long, b long, n long")) for k in range(3)]
+    assert "Exchange" not in merged(some)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_text_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    docs = awkward(spark, [(k, "same\nline", "s") for k in range(20)] + [(99, "other\nline", "s")])
+    got = line_runs.drop_shared_lines(docs, 1, 5).collect()
+    assert sorted((r.row.doc_id, r.kept, r.n_dropped) for r in got) == [(k, "", 2) for k in range(20)] + [(99, "other", 1)]
+
+
 def test_warc_round_trip(spark):
     big, other = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 100, "x" * 1000
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (9, "http://b", big), (3, "http://c", None), (4, "http://d", ""), (5, "u", "same"), (6, "u", "same"), (None, "n", other), (7, "r", other), (7, "r", other)]

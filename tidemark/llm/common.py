@@ -58,12 +58,32 @@ def saved(df: DataFrame, path: str, partition_by: str | None = None) -> DataFram
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    names = [c for c in df.columns if c != partition_by] + ([partition_by] if partition_by else [])
+    return spark.read.schema(df.select(*[f"`{c}`" for c in names]).schema).parquet(path)
 
 
-def row_key(*columns: Column) -> Column:
-    """128 bits of a row's values as a struct of two longs: equal rows have equal keys."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("row"), *columns).alias("b"))
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text as two longs, ta and tb: equal texts have equal keys."""
+    return [F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("text"), text).alias("tb")]
+
+
+#: A key with over this share of all rows, and over HOT_ROWS, is dealt over several tasks.
+HOT_SHARE, HOT_ROWS = 10_000, 200
+
+
+def joined_to_facts(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined to facts, which has one row a key and ``copies``, the rows of that key in rows (n_rows in all).
+
+    Hot keys are dealt over parts, their fact once for each. There are HOT_SHARE hot keys at most, so that many rows are
+    broadcast at most; what meets in a task besides is a HOT_SHARE-th of the rows or HOT_ROWS, whichever is more.
+    """
+    limit = max(HOT_ROWS, n_rows // HOT_SHARE)
+    parts = F.ceil(F.col("copies") / limit).cast("int")
+    hot = facts.where(F.col("copies") > limit).select(*key, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts").cast("long")), F.lit(0))).drop("__parts")
+    spread = facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))).drop("copies")
+    return dealt.join(spread, [*key, "__part"], how).drop("__part")
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
