@@ -88,6 +88,13 @@ def test_whole_documents_are_mixed(spark):
         assert abs(taken.get(r.source, 0) - r.target) <= max(sizes[r.source])
 
 
+def test_rows_that_differ_in_one_column_stay_themselves(spark):
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "de"), (1, "a b c", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sorted(map(str, (r.lang for r in mixing.mixed_documents(docs, share=1.0).collect())))
+    assert got == ["None", "de", "en"]  # one source of rate 1: each row once
+
+
 def test_stages_keep_columns_and_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows, names = {r.doc_id: r for r in docs.collect()}, [name for name, _ in corpus_pipeline.STAGES]

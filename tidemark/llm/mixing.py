@@ -12,7 +12,9 @@ until one is left in each source. That one is cut to the words still due
 Null text has size 0 and takes nothing. A source without words has target 0. Null
 sources come last. Repeated rows are documents of their own. Order, ties and every
 random draw come from hashes of ids and sizes, so reruns agree. An empty table gives
-no rows. Only doc_id, text and source are read, so other columns may have any names.
+no rows. mix() reads doc_id, text and source alone, mixed_documents() returns all columns,
+whatever their names; rows are one another's copies if they are equal in all of them, and
+such rows share a block. A very long text counts as one document, whatever its share.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from .common import WORD, saved, text_of, work_dir
 WEIGHTS = (3, 1, 2)
 #: Open documents that one task of the tree brings down to one.
 BLOCK = 4096
-SLIM = "rid long, source string, doc_id long, size long, source_size long, target double, whole long, part double, tie long, block long, open boolean"
+SLIM = "ra long, rb long, source string, doc_id long, size long, source_size long, target double, whole long, part double, tie long, block long, open boolean"
 
 
-def row_id() -> Column:
-    """Equal rows, which share it, take their copies together."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_of())
+def row_key(docs: DataFrame) -> list[Column]:
+    """128 bits of a row's values in all columns, as two longs: equal rows, which share them, take their copies together."""
+    values = [F.col(f"`{c}`") if "map<" not in kind else F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes]
+    return [F.xxhash64(*values).alias("ra"), F.xxhash64(F.lit("row"), *values).alias("rb")]
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -89,7 +92,7 @@ def pivot(sizes: list[int], parts: list[float], ties: list[int]) -> tuple[list[f
 
 
 def _reduce(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["tie", "doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+    block = block.sort_values(["tie", "ra", "rb"], kind="stable", na_position="first").reset_index(drop=True)
     parts, held = pivot(block["size"].tolist(), block["part"].tolist(), block["tie"].tolist())
     block["part"] = parts
     block["open"] = block.index == (-1 if held is None else held)
@@ -97,20 +100,24 @@ def _reduce(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, last: str = "cut") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and rid (a hash of the row) of every row of docs."""
+    """doc_id, source, size, source_size, target, taken, copies and the row's key (ra, rb) of every row of docs."""
     path = work_dir(docs.sparkSession)
-    slim = docs.select(row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
+    slim = docs.select(*row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size)
     slim = saved(slim, f"{path}/sizes")
     targets = with_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most)
     targets = saved(targets, f"{path}/targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a target's rate may come out a hair above a whole number
     whole = F.least(F.floor(rate + 1e-12), F.lit(int(most))).cast("long")
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "size")
+    hashed = F.xxhash64(F.lit(seed), "ra", "rb")
     rows = slim.join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.withColumns({"whole": F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long"), "part": F.when((F.col("size") > 0) & (rate - whole > 1e-12), rate - whole).otherwise(0.0), "tie": hashed})
+    taken_whole = F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long")
+    taken_part = F.when((F.col("size") > 0) & (rate - whole > 1e-12), rate - whole).otherwise(0.0)
+    rows = rows.withColumns({"whole": taken_whole, "part": taken_part, "tie": hashed})
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64(F.lit("block"), "tie"), blocks), "open": F.col("part") > 0}).select("rid", "source", "doc_id", "size", "source_size", "target", "whole", "part", "tie", "block", "open")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64(F.lit("block"), "tie"), blocks), "open": F.col("part") > 0})
+    rows = rows.select("ra", "rb", "source", "doc_id", "size", "source_size", "target", "whole", "part", "tie", "block", "open")
     done = [rows.where("NOT open")]
     most_blocks = (targets.agg(F.max("n")).first()[0] or 0) / BLOCK
     opened, level = rows.where("open"), 0
@@ -123,16 +130,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
             break
         most_blocks /= BLOCK
     if last == "round":
-        opened = opened.withColumns({"part": F.when(F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "tie"), F.lit(1 << 20)) < F.col("part") * (1 << 20), 1.0).otherwise(0.0), "open": F.lit(False)})
+        drawn = F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "tie"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+        opened = opened.withColumns({"part": F.when(drawn, 1.0).otherwise(0.0), "open": F.lit(False)})
     out = opened
     for part in done:
         out = out.unionByName(part)
     copies = F.col("whole") + F.when(F.col("open"), F.col("part")).otherwise(F.round("part"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.round(copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "rid")
+    taken = F.round(copies * F.col("size")).cast("long").alias("taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken, copies.alias("copies"), "ra", "rb")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it: whole documents only."""
-    plan = mix(docs, **{**options, "last": "round"}).groupBy("rid").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy("rid").agg(F.first("row").alias("row"))
-    return rows.join(plan, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    plan = mix(docs, **{**options, "last": "round"}).groupBy("ra", "rb").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(*row_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.groupBy("ra", "rb").agg(F.first("row").alias("row"))  # rows that are equal in all columns
+    return rows.join(plan, ["ra", "rb"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -12,7 +12,8 @@ leave it. Only pairs of the similarity or more are links; groups are their compo
 
 Texts without a word are copies of one another. Of each group the row of the smallest
 doc_id stays (a null one last); of repeated rows, one. An empty table gives no rows.
-Input columns are returned as they were, whatever their names.
+Input columns are returned as they were, whatever their names. Texts are known by 128
+bits (t). A very long text is hashed whole; its set of windows is one array of longs.
 """
 
 from __future__ import annotations
@@ -102,8 +103,8 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: list[tuple[str, str]] = []
-            crowds: list[tuple[str, str]] = []
+            pairs: list[tuple[bytes, bytes]] = []
+            crowds: list[tuple[bytes, bytes]] = []
             for row in batch.column(0):
                 held = row.values
                 names = held.field("t").to_pylist()
@@ -115,18 +116,18 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
                         pairs += [(min(p), max(p)) for p in close]
                     else:
                         inside = sorted(names[k] for k in group)
-                        g = md5("".join(inside).encode()).hexdigest()
+                        g = md5(b"".join(inside)).digest()
                         crowds += [(g, t) for t in inside]
             columns = [[None] * len(pairs) + [g for g, _ in crowds], [x for x, _ in pairs] + [t for _, t in crowds], [y for _, y in pairs] + [None] * len(crowds)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["g", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["g", "a", "b"])
 
-    return groups.select("members").mapInArrow(run, "g string, a string, b string").distinct()
+    return groups.select("members").mapInArrow(run, "g binary, a binary, b binary").distinct()
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
     """t (the text's hash), doc_id, fp and sig of each row of docs."""
     held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text_of().alias("text"))
-    held = held.select("doc_id", F.md5("text").alias("t"), words(ascii_lower(F.col("text"))).alias("w"))
+    held = held.select("doc_id", F.unhex(F.md5("text")).alias("t"), words(ascii_lower(F.col("text"))).alias("w"))
     held = held.select("doc_id", "t", window_hashes(F.col("w"), width).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +140,16 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
                 prints = pa.array(_majority(values, starts).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), prints, pa.array(signatures(values, starts), pa.binary())], ["doc_id", "t", "fp", "sig"])
 
-    return held.mapInArrow(run, "doc_id long, t string, fp long, sig binary")
+    return held.mapInArrow(run, "doc_id long, t binary, fp long, sig binary")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, crowds: DataFrame, width: int, similarity: float, path: str) -> DataFrame:
-    """(a, b) of text hashes whose sets of windows have at least the similarity: all such pairs, and of each group g of crowds (g, t) enough to join its components."""
+def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, crowds: DataFrame, width: int, similarity: float, path: str) -> DataFrame:
+    """(a, b) of texts whose sets of windows have at least the similarity: all such pairs, and of each group g of crowds (g, t) enough to join its components. texts: t, doc_id."""
     ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).union(crowds.select("t")).distinct()
-    held = docs.select(text_of().alias("text")).withColumn("t", F.md5("text")).join(ends, "t", "left_semi")
+    # of a text's rows that of its least doc_id alone, so that copies do not meet
+    chosen = texts.select("t", "doc_id").join(ends, "t", "left_semi")
+    held = docs.select(text_of().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"))
+    held = held.withColumn("t", F.unhex(F.md5("text"))).join(chosen, ["t", "doc_id"], "left_semi")
     held = held.select("t", words(ascii_lower(F.col("text"))).alias("w")).select("t", F.array_distinct(window_hashes(F.col("w"), width)).alias("h"))
     sets = saved(held.groupBy("t").agg(F.first("h").alias("h")), f"{path}/sets")
     joined = pairs.join(sets.withColumnsRenamed({"t": "a", "h": "x"}), "a").join(sets.withColumnsRenamed({"t": "b", "h": "y"}), "b")
@@ -158,9 +162,9 @@ def similar(docs: DataFrame, pairs: DataFrame, crowds: DataFrame, width: int, si
         starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         values = pc.list_flatten(lists).to_numpy()
         found = linked_pairs(values, starts, similarity)
-        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.string()), "b": pa.array([names[y] for _, y in found], pa.string())})
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()), "b": pa.array([names[y] for _, y in found], pa.binary())})
 
-    return linked.union(crowds.join(sets, "t").select("g", "t", "h").groupBy("g").applyInArrow(run, "a string, b string"))
+    return linked.union(crowds.join(sets, "t").select("g", "t", "h").groupBy("g").applyInArrow(run, "a binary, b binary"))
 
 
 def keep_one(docs: DataFrame, path: str, width: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -175,9 +179,9 @@ def keep_one(docs: DataFrame, path: str, width: int = 5, radius: int = 4, simila
     looks = saved(candidates(texts, similarity), f"{path}/candidates")
     crowds = looks.where("g IS NOT NULL").select("g", F.col("a").alias("t"))
     pairs = saved(looks.where("g IS NULL").select("a", "b").union(same).union(near).distinct(), f"{path}/pairs")
-    linked = saved(similar(docs, pairs, crowds, width, similarity, path), f"{path}/similar")
+    linked = saved(similar(docs, texts, pairs, crowds, width, similarity, path), f"{path}/similar")
     labels = components(linked, f"{path}/components").withColumnRenamed("node", "t")
     grouped = texts.select("t", "doc_id").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     stay = saved(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("stay")).select("stay.*"), f"{path}/stay")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(text_of()).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(text_of())).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"))
     return keyed.join(stay, ["t", "doc_id"]).groupBy("t", "doc_id").agg(F.first("row").alias("row")).select("row.*")

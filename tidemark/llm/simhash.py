@@ -15,7 +15,9 @@ Fingerprints: a text's words, A-Z lower-cased, in windows of ``width``, repeats
 included; a bit is set if it is set in over half of the windows' XXH64. Fewer words
 than the width make one window, none make fingerprint zero, which links like any other.
 Null text has no words. A component's id is its smallest doc_id that is not null.
-Repeated rows share a fingerprint and a component. An empty table gives no rows.
+Repeated rows share a fingerprint and a component. A very long text is hashed whole, its
+windows as one array of longs. An empty table gives no rows. Columns besides doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, text_of, words
+from .common import ascii_lower, joined_to_facts, saved, text_of, words
 from .components import components
 
 BLOCK = 1024
@@ -128,12 +130,13 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, path: str, width: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint and component_id of each row of docs. path: a new folder that all executors share."""
     prints = saved(fingerprints(docs, width), f"{path}/fingerprints")
-    distinct = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), f"{path}/distinct")
+    distinct = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{path}/distinct")
     labels = components(links(distinct, radius), f"{path}/components")
     joined = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     named = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = saved(joined.join(named, "label").select("fingerprint", "component_id"), f"{path}/classes")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = saved(joined.join(named, "label").select("fingerprint", "component_id", "copies"), f"{path}/classes")
+    # rows of one fingerprint (every empty text, every copy) are dealt over tasks where they are many
+    return joined_to_facts(prints, classes, ["fingerprint"], prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def hexadecimal(fingerprint: str = "fingerprint") -> Column:
