@@ -1,4 +1,4 @@
-"""A corpus from raw documents to packed sequences: STAGES in order, each on all that the one before kept.
+"""A corpus from raw documents to packed sequences: STAGES, each on all that the one before kept.
 
 * ``quality_rules`` rejects documents that fail policy ``web-1`` of the rule ledger.
 * ``line_dedup`` drops lines found in ten documents or more from every document.
@@ -10,7 +10,15 @@
   its target; a document that is taken twice has two rows.
 * ``pack`` cuts and packs the ids of all documents into sequences of 2048.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, in their order; n_chars, where
+it is there, is that of the text after line_dedup.
+
+Edge cases, by stage: a null or empty text fails ``few_words`` and goes in quality_rules;
+a text that line_dedup empties stays as an empty one; empty texts are copies of one
+another, and of equal rows (nulls, ties in doc_id) one stays in simhash_near_dedup;
+mix_sources gives a document without words no copy and puts the null source last; pack
+cuts a very long text into many pieces. An empty table passes through all stages as one.
+Extra columns come through whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +37,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = line_runs.drop_shared_lines(docs, min_chars=1, min_docs=10)
-    return left.select(*[F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("row.text").isNotNull(), F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return left.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = packing.pack(docs, default_vocabulary(), end_id=1, capacity=2048)
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
