@@ -1,4 +1,8 @@
+import gzip
 import hashlib
+import io
+import random
+from pathlib import Path
 
 import pytest
 
@@ -95,6 +99,30 @@ def test_warc_round_trip(spark):
     assert sorted(map(repr, seen)) == sorted(map(repr, want))
 
 
+def test_archives_are_members_at_their_offsets_in_files_closed_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    r = random.Random(1)
+    rows = [(k, f"http://h/{k}", "".join(r.choice("abcdefgh ") for _ in range(2000))) for k in range(30)]
+    path = work_dir(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    files = spark.read.parquet(f"{path}/files").collect()
+    assert len(files) > 4 and max(f.n_bytes for f in files) < 6000
+    seen = set()
+    for f in files:
+        data = Path(f"{path}/archives/{f.file}").read_bytes()
+        assert f.file.endswith(".warc.gz") and len(data) == f.n_bytes
+        found = list(warc.members(io.BytesIO(data), 100))
+        assert len(found) == f.n_records and warc.parse(found[0][1])["type"] == "warcinfo"
+        for (at, content), end in zip(found, [x for x, _ in found[1:]] + [len(data)], strict=True):
+            assert gzip.decompress(data[at:end]) == content
+        assert gzip.decompress(data) == b"".join(content for _, content in found)
+        seen |= {warc.parse(content)["payload"] for _, content in found}
+    assert {html.encode() for _, _, html in rows} <= seen
+    # what a lost attempt left behind is not read
+    Path(f"{path}/archives/part-lost.warc.gz").write_bytes(b"cut off")
+    assert warc.read_archives(spark, path).count() == 90
+
+
 def test_warc_of_nothing(spark):
     path = work_dir(spark)
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)

@@ -63,19 +63,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path, least=1000)
     records = warc.read_archives(spark, path)
     records = records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")}).drop("payload")
-    held = warc.transactions(records)
-    c = F.col
-    held = held.select(
-        "capture_id",
-        c("metadata.fields")["page-id"].cast("long").alias("page_id"),
+    c, fields = F.col, F.col("metadata.fields")
+    return warc.transactions(records).select(
+        fields["page-id"].cast("long").alias("page_id"),
         # a revisit has no payload: its length stands in the metadata record, its digest in the header
-        F.coalesce(c("response.payload_bytes"), c("metadata.fields")["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.coalesce(c("response.payload_bytes"), fields["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.coalesce(c("response.payload_sha1"), F.substring_index("response.digest", ":", -1)).alias("payload_digest"),
         c("response.type").alias("record_type"),
-        c("response.refers_to").alias("answer_id"),
+        fields["answering-page-id"].cast("long").alias("refers_to"),
     )
-    answers = held.where("record_type = 'response'").select(c("capture_id").alias("answer_id"), c("page_id").alias("refers_to"))
-    return held.join(answers, "answer_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

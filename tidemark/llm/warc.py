@@ -2,124 +2,210 @@
 
 Every capture is three records of one archive: a response (or a revisit, where a
 later capture holds the same payload), a request and a metadata record, the latter
-two with the first one's id in WARC-Concurrent-To. Archives are gzip files of
-standard records, written by Spark's text writer with the record end as line end
-and read whole, file by file, by Content-Length.
+two with the first one's id in WARC-Concurrent-To. An archive is a ``.warc.gz`` file that
+begins with a warcinfo record; each record is a gzip member of its own, so that it can be
+read by its offset, and a file is closed once it holds FILE_BYTES. Archives are read back
+a member at a time.
+
+The tasks of one Spark stage write the archives, each to a name of its own attempt, and
+report what they wrote; only reported files are listed in the archive table, so that what
+a lost executor left behind is not read. Readers take files by that list.
 
 Of captures with equal payloads of at least ``least`` bytes that with the largest
 page_id answers (of repeated rows of it, one), the others revisit it. A null payload
 is empty, a null url is written as ``urn:none``, line ends in a url are percent-encoded.
-A null page_id has no page-id field and reads back as null. An empty table gives no
-archives and reads back empty. Other columns are not read.
+A null page_id has no page-id field and reads back as null. A very long payload is one
+record. An empty table gives no archives and reads back empty. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
+import io
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Records in a file: three for each capture.
-RECORDS_PER_FILE = 6000
-END = "\r\n\r\n"
+from .common import joined_to_facts, saved
+
+#: A file is closed beyond so many bytes.
+FILE_BYTES = 32_000_000
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, uri string, concurrent_to string, refers_to string, digest string, fields map<string,string>, payload binary"
+_NAMES = ("record_id", "type", "uri", "concurrent_to", "refers_to", "digest")
+_ARROW = pa.schema([(n, pa.string()) for n in _NAMES] + [("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 #: Placed in every record, so that equal captures give equal archives.
 DATE = "2024-01-01T00:00:00Z"
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+
+
+def captures(pages: DataFrame, path: str, least: int) -> DataFrame:
+    """page_id, uri, payload, digest, bytes, same (a hash of the payload), answers (its record is the one revisits refer to), revisit and top (the answer's page_id)."""
+    base = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("urn:none")), "\r", "%0D"), "\n", "%0A").alias("uri"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
+    )
+    base = base.withColumns({"bytes": F.octet_length("payload").cast("long"), "same": F.md5("payload")})
+    large = base.where(F.col("bytes") >= least).groupBy("same", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    facts = large.groupBy("same").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    facts = saved(facts.select("same", F.col("top.page_id").alias("top"), F.col("top.n").alias("n_top"), "copies"), f"{path}/copies")
+    # small payloads meet nothing: a key of their own keeps equal ones apart
+    alone = F.concat(F.lit("alone"), F.monotonically_increasing_id().cast("string"))
+    keyed = base.withColumn("same", F.when(F.col("bytes") >= least, F.col("same")).otherwise(alone))
+    held = joined_to_facts(keyed, facts, ["same"], pages.count(), "left")
+    at_top = F.col("page_id").eqNullSafe(F.col("top"))
+    answers = F.col("n_top").isNotNull() & at_top
+    if facts.where("n_top > 1").limit(1).count():  # repeated rows of an answering page: one of them answers
+        order = Window.partitionBy("same", "page_id").orderBy("uri")
+        held = held.withColumn("k", F.row_number().over(order))
+        answers = answers & (F.col("k") == 1)
+    return held.select("page_id", "uri", "payload", F.sha1("payload").alias("digest"), "bytes", "same", answers.alias("answers"), (F.col("n_top").isNotNull() & ~answers).alias("revisit"), "top")
 
 
-def _urn(*of: Column) -> Column:
-    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in of]))
-    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+def _urn(*of: object) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(repr(of).encode()).hexdigest())}>"
 
 
-def _record(kind: str, record_id: Column, uri: Column, content_type: str, block: Column, *headers: Column) -> Column:
-    lines = [F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), uri), *headers, F.lit(f"Content-Type: {content_type}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
+def member(kind: str, record_id: str, content_type: str, block: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """One record as a gzip member."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {DATE}"]
+    lines += [f"{name}: {value}" for name, value in headers] + [f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+    packer = zlib.compressobj(3, wbits=31)
+    return b"".join((packer.compress("\r\n".join(lines).encode() + END), packer.compress(block), packer.compress(END), packer.flush()))
 
 
-def captures(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, uri, payload, digest, bytes, record_id and, for revisits, the answering capture's ids."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("urn:none")).alias("uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    base = base.withColumn("row", F.monotonically_increasing_id())
-    base = base.withColumns({"uri": F.replace(F.replace("uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), "bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
-    base = base.withColumn("record_id", _urn(F.lit("capture"), F.col("page_id"), F.col("uri"), F.col("same"), F.col("row")))
-    answers = base.where(F.col("bytes") >= least).groupBy("same").agg(F.max(F.struct("page_id", "row", "record_id")).alias("answer"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = base.join(answers, "same", "left")
-    revisits = F.col("answer").isNotNull() & (F.col("answer.record_id") != F.col("record_id"))
-    return joined.select("page_id", "uri", "payload", "digest", "bytes", "record_id", F.when(revisits, F.col("answer.record_id")).alias("refers_to"))
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """Writes (page_id, url, html) as gzip WARC files below path."""
-    held = captures(pages, least)
-    c = F.col
-    answered = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), c("bytes").cast("string"), F.lit(END))
-    digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), c("digest"))
-    with_it = F.concat(F.lit("WARC-Concurrent-To: "), c("record_id"))
-    capture = F.when(c("refers_to").isNull(), _record("response", c("record_id"), c("uri"), "application/http; msgtype=response", F.concat(answered, c("payload")), digest)).otherwise(
-        _record("revisit", c("record_id"), c("uri"), "application/http; msgtype=response", answered, digest, F.concat(F.lit("WARC-Refers-To: "), c("refers_to")), F.lit(f"WARC-Profile: {PROFILE}"))
-    )
-    request = _record("request", _urn(F.lit("request"), c("record_id")), c("uri"), "application/http; msgtype=request", F.concat(F.lit("GET "), c("uri"), F.lit(" HTTP/1.1"), F.lit(END)), with_it)
-    fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), c("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), c("bytes").cast("string"), F.lit("\r\n"))
-    metadata = _record("metadata", _urn(F.lit("metadata"), c("record_id")), c("uri"), "application/warc-fields", fields, with_it)
-    records = held.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
-        begin = end + 4
-        block = data[begin : begin + int(head["content-length"])]
-        kind, payload, fields = head["warc-type"], None, {}
-        if kind == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
-        elif kind == "metadata":
-            fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if line)
-        yield {"record_id": head["warc-record-id"], "type": kind, "uri": head.get("warc-target-uri"), "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "digest": head.get("warc-payload-digest"), "fields": fields, "payload": payload}
-        at = begin + len(block) + 4
+    """Writes (page_id, url, html) as .warc.gz files below path, and the table of those files."""
+    held = captures(pages, path, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = filesystem(f"{path}/archives")
+        store.create_dir(folder, recursive=True)
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        out, name, size, n_records, n_files, row = None, "", 0, 0, 0, 0
+        done: list[tuple[str, int, int]] = []
+
+        def put(record: bytes) -> None:
+            nonlocal size, n_records
+            out.write(record)
+            size, n_records = size + len(record), n_records + 1
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7, 8)]
+            for k, (page_id, uri, digest, n_bytes, same, answers, revisit, top) in enumerate(zip(*columns, strict=True)):
+                if out is None:
+                    name, size, n_records, n_files = f"part-{task:05d}-{n_files:05d}-{attempt}.warc.gz", 0, 0, n_files + 1
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    put(member("warcinfo", _urn("info", name), "application/warc-fields", b"format: WARC File Format 1.1\r\n", [("WARC-Filename", name)]))
+                record_id = _urn("answer", same) if answers else _urn("capture", attempt, task, row)
+                target, with_it = [("WARC-Target-URI", uri)], [("WARC-Target-URI", uri), ("WARC-Concurrent-To", record_id)]
+                fields = ([] if page_id is None else [f"page-id: {page_id}"]) + [f"payload-bytes: {n_bytes}"]
+                block, headers = HEAD % n_bytes, [*target, ("WARC-Payload-Digest", f"sha1:{digest}")]
+                if revisit:
+                    headers += [("WARC-Refers-To", _urn("answer", same)), ("WARC-Profile", PROFILE)]
+                    fields += [] if top is None else [f"answering-page-id: {top}"]
+                else:
+                    block += batch.column(2)[k].as_py().encode()
+                put(member("request", _urn("request", record_id), "application/http; msgtype=request", f"GET {uri} HTTP/1.1\r\n\r\n".encode(), with_it))
+                put(member("revisit" if revisit else "response", record_id, "application/http; msgtype=response", block, headers))
+                put(member("metadata", _urn("metadata", record_id), "application/warc-fields", "".join(f"{x}\r\n" for x in fields).encode(), with_it))
+                row += 1
+                if size >= FILE_BYTES:
+                    out.close()
+                    done.append((name, n_records, size))
+                    out = None
+        if out is not None:
+            out.close()
+            done.append((name, n_records, size))
+        names, records, sizes = zip(*done, strict=True) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], ["file", "n_records", "n_bytes"])
+
+    held.mapInArrow(run, "file string, n_records long, n_bytes long").write.parquet(f"{path}/files")
+
+
+def members(data: io.BufferedIOBase, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member of a stream, held one at a time."""
+    rest, at = data.read(step), 0
+    while rest:
+        unpacker, out, begin = zlib.decompressobj(wbits=31), [], at
+        while not unpacker.eof:
+            out.append(unpacker.decompress(rest))
+            at += len(rest) - len(unpacker.unused_data)
+            rest = unpacker.unused_data or data.read(step)
+            if not rest and not unpacker.eof:
+                raise ValueError("the archive ends within a record")
+        yield begin, b"".join(out)
+
+
+def parse(record: bytes) -> dict:
+    """One record."""
+    end = record.index(END)
+    version, *lines = record[:end].decode().split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    head = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
+    block = record[end + 4 : end + 4 + int(head["content-length"])]
+    kind, payload, fields = head["warc-type"], None, {}
+    if kind == "response":
+        payload = block[block.index(END) + 4 :]
+    elif kind in ("metadata", "warcinfo"):
+        fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if line)
+    names = ("warc-record-id", "warc-type", "warc-target-uri", "warc-concurrent-to", "warc-refers-to", "warc-payload-digest")
+    return dict(zip(_NAMES, map(head.get, names), strict=True)) | {"fields": list(fields.items()), "payload": payload}
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record below path."""
-    kinds = pa.schema([(n, pa.string()) for n in ("record_id", "type", "uri", "concurrent_to", "refers_to", "digest")] + [("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    """Every record of the listed archives below path but their warcinfo records."""
+    listed = spark.read.parquet(f"{path}/files")
+    n = listed.count()
+    if not n:
+        return spark.createDataFrame([], RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = filesystem(f"{path}/archives")
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
+            for name in batch.column(0).to_pylist():
                 rows: list[dict] = []
-                for row in parse(gzip.decompress(data) if name.endswith(".gz") else data):
-                    rows.append(row | {"fields": list(row["fields"].items())})
-                    if len(rows) == 300:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                size = 0
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as data:
+                    for _, record in members(data):
+                        rows.append(parse(record))
+                        size += len(record)
+                        if size >= 4_000_000:
+                            yield pa.RecordBatch.from_pylist([r for r in rows if r["type"] != "warcinfo"], _ARROW)
+                            rows, size = [], 0
+                yield pa.RecordBatch.from_pylist([r for r in rows if r["type"] != "warcinfo"], _ARROW)
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("path", "content").mapInArrow(run, RECORD)
+    tasks = min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)
+    return listed.select("file").repartition(tasks).mapInArrow(run, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
     """One row per capture: its id, and its response (or revisit), request and metadata records nested, joined by concurrent-to ids.
 
-    records may lack columns that the caller has dropped (payload, say) and may have more."""
+    A request or metadata record that names no capture of these records is left out. records may lack columns that the
+    caller has dropped (payload, say) and may have more."""
     nested = F.struct(*[F.col(f"`{c}`") for c in records.columns])
-    held = records.select("record_id", "type", "concurrent_to", nested.alias("record"))
-    answer = held.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.col("record").alias("response"))
+    kind = F.col("type")
 
-    def others(kind: str) -> DataFrame:
-        return held.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("capture_id"), F.col("record").alias(kind))
+    def one(of: Column) -> Column:
+        return F.first(F.when(of, F.col("record")), ignorenulls=True)
 
-    return answer.join(others("request"), "capture_id", "left").join(others("metadata"), "capture_id", "left")
+    held = records.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), kind, nested.alias("record"))
+    held = held.groupBy("capture_id").agg(
+        one(kind.isin("response", "revisit")).alias("response"), one(kind == "request").alias("request"), one(kind == "metadata").alias("metadata")
+    )
+    return held.where(F.col("response").isNotNull())
