@@ -72,9 +72,9 @@ rm AS (SELECT st.vec_id, round(len(list_filter(px, lambda x: x < 110)) / CAST(n
 
 
 def scored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visual segments with the features of one of the frames, and their score by position in the run."""
-    seen = inputs.visual(spark, sf_dir).select("run_id", "seg_id", "s", (F.col("seg_id") % 500).alias("vec_id"))
-    rows = seen.join(region_metrics(spark, sf_dir), "vec_id")
+    """Visual segments with the features of the image that each shows, of the whole table, and their score by position in the run."""
+    seen = inputs.visual(spark, sf_dir).select("run_id", "seg_id", "s")
+    rows = inputs.shown(seen, inputs.placed_frames(spark, sf_dir, region_metrics(spark, sf_dir)))
     run = Window.partitionBy("run_id")
     low, high = F.min("s").over(run), F.max("s").over(run)
     position = F.coalesce((F.col("s") - low) / F.nullif(high - low, F.lit(0)), F.lit(0.0))
@@ -121,7 +121,7 @@ def crop_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (quality_reasons, quality_histogram, histogram_distance, hash_distance, region_metrics, fuller_score_topk, low_content_flags, resolution_status, crop_region)}
 
 _SCORED = f"""{_REGION},
-sf AS (SELECT run_id, seg_id, s, rm.*, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / CAST(max(s) OVER w - min(s) OVER w AS DOUBLE) ELSE 0 END AS position FROM vi JOIN rm ON vi.seg_id % 500 = rm.vec_id WINDOW w AS (PARTITION BY run_id)),
+sf AS (SELECT run_id, seg_id, s, rm.*, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / CAST(max(s) OVER w - min(s) OVER w AS DOUBLE) ELSE 0 END AS position FROM vi JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM rm) rm ON vi.seg_id % (SELECT count(DISTINCT vec_id) FROM fr) = rm.place WINDOW w AS (PARTITION BY run_id)),
 sc AS (SELECT *, round(0.45 * content_area_ratio + 0.25 * detail_density + 0.30 * layout_richness + 0.08 * greatest(0, least(1, position)), 6) AS score FROM sf)
 """
 

@@ -11,11 +11,9 @@ from .inputs import table
 
 
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' text by hash. Decoded are the five entities of the query's SQL; the library's strip_markup decodes all."""
-    plain = T.without_tags(F.coalesce("html", F.lit("")))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip(plain), 256).alias("text_sha"), T.image_path(F.col("url")).alias("image_path"))
+    """Pages' text, all entities decoded, by hash."""
+    plain = T.strip_markup(F.coalesce("html", F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(plain, 256).alias("text_sha"), T.image_path(F.col("url")).alias("image_path"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +21,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contains_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a turn's first 20 characters are found in the turn before or after it."""
+    """Whether a turn is found, whole, in the turn before or after it."""
     order = Window.partitionBy("run_id").orderBy("seg_id")
     rows = turns(spark, sf_dir).withColumns({"before": F.lag("text").over(order), "after": F.lead("text").over(order)})
-    probe = F.substring("text", 1, 20)
-    return rows.select("run_id", "seg_id", F.coalesce(T.contained(probe, F.col("before")), F.lit(False)).alias("in_before"), F.coalesce(T.contained(probe, F.col("after")), F.lit(False)).alias("in_after"))
+    held = {name: F.coalesce(T.contained(F.col("text"), F.col(name)), F.lit(False)).alias(f"in_{name}") for name in ("before", "after")}
+    return rows.select("run_id", "seg_id", *held.values())
 
 
 def redundant_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +60,7 @@ def subtitle_language_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
     kind = F.when(F.col("doc_id") % 2 == 0, 0).otherwise(2)
     language = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.concat(F.col("lang"), F.lit("-"), (F.col("doc_id") % 5).cast("string")))
-    rows = docs.where(F.col("doc_id") % 11 == 0).select("source", kind.alias("kind"), language.alias("language"))
+    rows = docs.select("source", kind.alias("kind"), language.alias("language"))
     prefs = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(p).alias("pref")) for k, p in enumerate(("es", "de", "fr", "en"))])
     pairs = rows.select("source", "kind", "language", F.explode(prefs).alias("p"))
     exact = F.col("language") == F.col("p.pref")
@@ -105,15 +103,17 @@ _rstrip = lambda x: f"regexp_replace({x}, '{_WS}+$', '')"
 _TURNS = "tu AS (SELECT conv_id AS run_id, turn AS seg_id, role, coalesce(text, '') AS text FROM conversations)"
 _within = lambda a, b: f"(length({_norm(a)}) > 0 AND contains(lower({_norm(b)}), lower({_norm(a)})))"
 _ENTITIES = _norm("regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')")
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+# the entities that the pages hold; an ampersand is decoded last, with or without its semicolon, so that nothing is decoded twice
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·")):
     _ENTITIES = f"replace({_ENTITIES}, '{_a}', '{_b}')"
+_ENTITIES = f"regexp_replace({_ENTITIES}, '&amp;?', '&', 'g')"
 
 ORACLE_SQL = {
-    "subtitle_language_choice": """WITH r AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 2 END AS kind, CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || CAST(doc_id % 5 AS VARCHAR) END AS language FROM documents WHERE lang IS NOT NULL AND doc_id % 11 = 0),
+    "subtitle_language_choice": """WITH r AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 2 END AS kind, CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || CAST(doc_id % 5 AS VARCHAR) END AS language FROM documents WHERE lang IS NOT NULL),
 p AS (SELECT source, language, kind + CASE WHEN language = pref THEN 0 ELSE 1 END AS tier, pos FROM r, (VALUES (0, 'es'), (1, 'de'), (2, 'fr'), (3, 'en')) AS q(pos, pref) WHERE language = pref OR starts_with(language, pref || '-')),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tier, pos, language) AS k FROM p) SELECT source, CAST(tier AS BIGINT) AS tier, language FROM o WHERE k = 1""",
     "strip_markup": f"SELECT page_id, sha256(trim({_ENTITIES})) AS text_sha, 'assets/keyframes/' || string_split(url, '/')[-1] AS image_path FROM pages",
-    "contains_text": f"WITH {_TURNS}, n AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM tu WINDOW w AS (PARTITION BY run_id ORDER BY seg_id)) SELECT run_id, seg_id, coalesce({_within('substr(text, 1, 20)', 'b')}, false) AS in_before, coalesce({_within('substr(text, 1, 20)', 'a')}, false) AS in_after FROM n",
+    "contains_text": f"WITH {_TURNS}, n AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM tu WINDOW w AS (PARTITION BY run_id ORDER BY seg_id)) SELECT run_id, seg_id, coalesce({_within('text', 'b')}, false) AS in_before, coalesce({_within('text', 'a')}, false) AS in_after FROM n",
     "redundant_neighbours": f"WITH {_TURNS}, n AS (SELECT *, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text) OVER w, '') AS a FROM tu WINDOW w AS (PARTITION BY run_id ORDER BY seg_id)) SELECT run_id, count(*) AS n_turns, count(*) FILTER (WHERE {_within('text', 'b')} OR {_within('text', 'a')}) AS n_redundant FROM n GROUP BY run_id",
     "clip_excerpts": f"""WITH {_TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_id) AS k, count(*) OVER (PARTITION BY run_id) AS n, {_norm('text')} AS x FROM tu),
 h AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda l: {_norm('l')}), lambda l: length(l) >= 40) AS lines FROM o)
