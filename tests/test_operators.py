@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import coerce
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import budgets, checks, folds, reports, timeline
-from tidemark.sources import artifacts, config, subtitles
+from tidemark.operators import budgets, captions, checks, content_map, folds, reports, timeline
+from tidemark.sources import artifacts, config, options, subtitles
 from tidemark.streaming import sessions
 
 
@@ -124,12 +124,16 @@ def test_checks(spark):
     assert [(r.run, r.rule, r.pos) for r in got] == [(1, "large", 1)]
 
 
-def test_redundant_and_rolling():
+def test_redundant_and_rolling(spark):
+    kinds = "run_id string, seg_id long, text string"
     texts = ["So, hi", "so, hi everyone", "everyone", "Other", "other  thing", "x", "X"]
-    got = folds.without_redundant([{"text": t} for t in texts])
-    assert [(r["number"], r["text"]) for r in got] == [(1, "so, hi everyone"), (2, "other  thing")]
-    rows = [{"text": "Okay, let's get started. So, hi"}, {"text": "Okay, let's get started. So, hi\neveryone. My name is Yan"}, {"text": "everyone. My name is Yan"}, {"text": None}]
-    assert [r["text"] for r in folds.rolling(rows)] == ["Okay, let's get started. So, hi", "everyone. My name is Yan"]
+    rows = spark.createDataFrame([("r", k, t) for k, t in enumerate(texts)] + [("s", 1, None)], kinds)
+    got = captions.without_redundant(rows).where("run_id = 'r'").orderBy("number").collect()
+    assert [(r.number, r.text) for r in got] == [(1, "so, hi everyone"), (2, "other  thing")]
+    assert [r.text for r in captions.without_redundant(rows).where("run_id = 's'").collect()] == [""]
+    shown = ["Okay, let's get started. So, hi", "Okay, let's get started. So, hi\neveryone. My name is Yan", "everyone. My name is Yan", None]
+    rows = spark.createDataFrame([("r", k, t) for k, t in enumerate(shown)], kinds)
+    assert [r.text for r in captions.rolling(rows).orderBy("seg_id").collect()] == ["Okay, let's get started. So, hi", "everyone. My name is Yan"]
 
 
 def frame(k, t, kind=0, content=0.5, detail=0.5, layout=0.5, ok=True):
@@ -175,11 +179,85 @@ def test_images():
     assert [(f and f["id"], why) for f, why in picked] == [(None, "no_selected_handout_image"), (3, "selected"), (None, "handout_image_density_limit"), (21, "selected"), (None, "handout_image_density_limit")]
 
 
-def test_units_of_the_small_run():
-    items = [{"s": 10 * (i - 1) + 5 * o, "e": 10 * (i - 1) + 5 * o + 4, "chars": 55, "visual": i} for i, o in itertools.product(range(1, 5), range(2))]
-    assert folds.content_units(items, folds.Options()) == [{"unit_no": 1, "s": 0, "e": 39, "n_items": 8, "n_visuals": 4, "chars": 440}]
-    far = [{"s": 0, "e": 10, "chars": 500, "visual": 1}, {"s": 100, "e": 110, "chars": 500, "visual": 2}, {"s": 115, "e": 120, "chars": 10, "visual": 4}]
-    assert [u["n_items"] for u in folds.content_units(far, folds.Options())] == [1, 1, 1]
+def small_run(spark):
+    kinds = "run_id string, seg_id long, s double, e double, chars long, text string, visual int, visual_id long"
+    rows = []
+    for k, (i, o) in enumerate(itertools.product(range(1, 5), range(2)), 1):
+        start, text = 10.0 * (i - 1) + 5 * o, f"Grounded transcript excerpt {k} for visual segment {i}."
+        rows.append(("run", k, start, start + 4, len(text), text, i, i))
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_content_map_of_the_small_run(spark):
+    """Four visual segments ten seconds apart, two transcript rows each: one unit, one group, one burst of four."""
+    held = content_map.with_excerpts(content_map.units(small_run(spark), folds.Options()))
+    unit = held.first()
+    assert held.count() == 1 and (unit.unit_no, unit.s, unit.e, unit.visuals) == (1, 0.0, 39.0, [1, 2, 3, 4])
+    assert [x.seg_id for x in unit["items"]] == list(range(1, 9)) and [x.seg_id for x in unit.excerpts] == [1, 5, 8]
+    assert unit.summary.startswith("Grounded transcript excerpt 1 for visual segment 1. / Grounded")
+    faces = [("run", i, 10.0 * (i - 1), [1.0, 0.0], [1, 0], 0.5 + i / 100, 0.1) for i in range(1, 5)]
+    visual = spark.createDataFrame(faces, "run_id string, seg_id long, t double, hist array<double>, hash array<int>, content double, detail double")
+    found = content_map.candidates(held, visual.withColumn("id", F.col("seg_id")))
+    found = found.withColumn("run_id", F.lit(1).cast("long"))
+    image = content_map.select_images(found, spacing=0.0).first()
+    assert image.selected == 4 and [d.id for d in image.dropped] == [1, 2, 3] and image.review_required
+    assert {d.reason for d in image.dropped} == {"rapid_visual_burst_keep_one_representative"} and set(image.warnings) == {"rapid_visual_burst_review_required"}
+    groups = content_map.image_groups(found)
+    assert sorted((r.kind, r.id, r.kept) for r in groups.collect()) == [("rapid_visual_burst", i, i == 4) for i in range(1, 5)]
+    whole = held.withColumn("run_id", F.lit(1).cast("long")).join(content_map.select_images(found, spacing=0.0), ["run_id", "unit_no"])
+    whole = whole.join(content_map.topic_groups(whole), ["run_id", "unit_no"])
+    summary = content_map.validation_summary(whole, groups).first()
+    assert (summary.content_unit_count, summary.topic_group_count, summary.selected_keyframe_count, summary.dropped_keyframe_count) == (1, 1, 1, 3)
+    assert (summary.near_duplicate_image_group_count, summary.review_required_unit_count, summary.units_monotonic_by_time) == (1, 1, True)
+    request = content_map.requests(whole, whole=60).first()
+    assert request.unit_id == "unit_001" and request.transcript_item_ids == list(range(1, 9)) and request.selected_keyframe == 4
+    assert sum(len(x.text) for x in request.transcript_excerpts) <= 60 and len(request.transcript_excerpts) == 2
+    assert content_map.pack_descriptor(whole, "p", False).first().item_count == 0 and content_map.pack_descriptor(whole, "p", True).first().item_count == 1
+    pointed = content_map.review_points(whole.withColumns({"n_visuals": F.size("visuals"), "n_candidates": F.size("visuals"), "n_selected": F.lit(1)}))
+    assert pointed.first().points == ["too_many_candidates"]
+    report = content_map.review_report(pointed).first().markdown
+    assert "- `unit_001`: `1` - `rapid_visual_burst_keep_one_representative`" in report and "- Units without selected image: `none`" in report
+
+
+def test_units_that_may_not_merge(spark):
+    far = [("r", 1, 0.0, 10.0, 500, "", 1, 1), ("r", 2, 100.0, 110.0, 500, "", 2, 2), ("r", 3, 115.0, 120.0, 10, "", 4, 4)]
+    rows = spark.createDataFrame(far, small_run(spark).schema)
+    assert [len(u["items"]) for u in content_map.units(rows, folds.Options()).collect()] == [1, 1, 1]
+
+
+def test_a_used_or_too_early_image_is_dropped_with_its_reason():
+    first, again, soon = frame(1, 100, kind=1), frame(1, 100, kind=1), frame(2, 141, kind=2)
+    got, _ = folds.handout_images([[first], [again], [soon]])
+    assert [u["selected"] for u in got] == [1, None, None]
+    assert [d["reason"] for u in got for d in u["dropped"]] == ["keyframe_already_selected_for_previous_unit", "handout_image_density_limit"]
+
+
+def test_collapse_keeps_the_tail_and_covered_times():
+    o = folds.Collapse()
+    # falls by less than a reset, by more than the later position gains
+    falling = [{**frame(1, 0, content=1.0, detail=1.0, layout=1.0), "covered": [0.0]}, {**frame(2, 10, content=0.85, detail=0.9, layout=0.9), "covered": [10.0, 12.0]}]
+    kept, summary = folds.collapse_run(falling, o)
+    assert [(f["id"], f["how"], f["covered"]) for f in kept] == [(1, "fullest_of_group", [0.0, 10.0, 12.0]), (2, "tail_guard_preserved", [10.0, 12.0])]
+    assert summary["guarded"] and summary["last_before"] == summary["last_after"] == 10.0 and summary["n_suppressed"] == 1
+    assert folds.collapse_run([], o)[0] == [] and folds.boundary_reasons(falling, o)[0][1] == []
+
+
+def test_options_and_backends():
+    found = options.content_map({"handout_min_image_spacing_seconds": "0", "generate_content_map": "no", "output_language": " "})
+    assert (found["handout_min_image_spacing_seconds"], found["generate_content_map"], found["output_language"], len(found)) == (0.0, False, "zh-CN", 36)
+    for wrong in ({"llm_concurrency": 0}, {"llm_max_retries": -1}, {"content_unit_max_gap_seconds": "x"}, {"generate_content_map": "maybe"}, {"handout_max_images_per_unit": 2}, {"handout_near_duplicate_image_policy": "all"}):
+        with pytest.raises(ValueError):
+            options.content_map(wrong)
+    section = options.backend(found).section({"unit_id": "unit_001"})
+    assert section["status"] == "skipped" and section["source_unit_id"] == "unit_001" and section["key_points"] == []
+    with pytest.raises(options.UnsupportedBackend):
+        options.backend({**found, "content_generation_backend": "openai_compatible", "llm_api_key_env": "EXAMPLE_KEY"})
+    with pytest.raises(options.MissingKeyVariable):
+        options.backend({**found, "content_generation_backend": "local"})
+    with pytest.raises(options.NetworkCallsDisabled):
+        options.backend({**found, "llm_allow_network_calls": True})
+    with pytest.raises(ValueError):
+        options.backend({**found, "content_generation_backend_mode": "full"})
 
 
 def test_chunks_and_budgets(spark):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def chunk_numbers(items: Column, longest: float, most: int | None = None) -> Column:
-    """For an array of structs (s, e, ...) in order, the chunk of each, from 1: a new one where an item would end over ``longest`` after its chunk's start, or the chunk has ``most`` items."""
-    state = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+def chunk_numbers(items: Column, longest: float, most: int | None = None, start: str = "long") -> Column:
+    """For an array of structs (s, e, ...) in order, the chunk of each, from 1: a new one where an item would end over ``longest`` after its chunk's start, or the chunk has ``most`` items. start: the type of s."""
+    state = F.struct(F.lit(0).alias("k"), F.lit(0).cast(start).alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(held: Column, item: Column) -> Column:
         new = (held["k"] == 0) | (item["e"] - held["s"] > longest)

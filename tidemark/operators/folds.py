@@ -2,7 +2,9 @@
 
 The cores are plain functions on lists; :func:`per_run` runs them with Spark, one group
 a run. A run is one recording, thousands of rows at most, and runs are the unit of
-parallelism. Folds that fit higher-order functions stay in the JVM: see :mod:`budgets`.
+parallelism; a run of over LONGEST rows is refused rather than held by one task. Folds
+that fit higher-order functions stay in the JVM: see :mod:`budgets`, :mod:`captions` and
+:mod:`content_map`.
 """
 
 from __future__ import annotations
@@ -10,118 +12,50 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Rows of a run that a task may hold: over two months at a frame a second.
+LONGEST = 5_000_000
+
+
 def per_run(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str, order: list[str]) -> DataFrame:
     """fold over the rows of each run_id, sorted by order; its rows get the run's id."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > LONGEST:
+            raise ValueError(f"a run of {len(group)} rows is no recording")
         found = fold(group.sort_values(order, kind="stable").to_dict("records"))
         return pd.DataFrame([{**row, "run_id": group["run_id"].iloc[0]} for row in found], columns=names)
 
     return rows.groupBy("run_id").applyInPandas(run, schema)
 
 
-# Text
-
-
-def plain(text: str | None) -> str:
-    return " ".join((text or "").split()).lower()
-
-
-def within(inner: str, outer: str) -> bool:
-    return bool(plain(inner)) and plain(inner) in plain(outer)
-
-
-def without_redundant(segments: list[dict]) -> list[dict]:
-    """Segments not held by a neighbour of the input; of one that holds the last kept one, or is held by it, the longer stays. Numbered anew."""
-    kept: list[dict] = []
-    for k, segment in enumerate(segments):
-        text = segment["text"]
-        neighbours = [segments[j]["text"] for j in (k - 1, k + 1) if 0 <= j < len(segments)]
-        if any(within(text, other) for other in neighbours):
-            continue
-        if kept and (within(text, kept[-1]["text"]) or within(kept[-1]["text"], text)):
-            if len(text) > len(kept[-1]["text"]):
-                kept[-1] = segment
-        else:
-            kept.append(segment)
-    return [{**segment, "number": k} for k, segment in enumerate(kept, 1)]
-
-
-def rolling(cues: list[dict]) -> list[dict]:
-    """Cues without the lines that the last cue with text has shown already; cues that become empty go."""
-    out, last = [], ""
-    for cue in cues:
-        lines = [" ".join(line.split()) for line in (cue["text"] or "").split("\n")]
-        text = " ".join(line for line in lines if line and not within(line, last))
-        if text:
-            out.append({**cue, "text": text})
-            last = text
-    return out
-
-
-# Content units
-
-
 @dataclass
 class Options:
+    """Of content units: see :mod:`content_map`."""
+
     max_duration: float = 240.0
     max_gap: float = 45.0
     short: float = 120.0
     least_chars: int = 80
 
 
-def split_items(items: list[dict], longest: float) -> list[list[dict]]:
-    """Items by start, a new chunk where one would end over ``longest`` after its chunk's start."""
-    chunks: list[list[dict]] = []
-    for item in items:
-        if chunks and item["e"] - chunks[-1][0]["s"] <= longest:
-            chunks[-1].append(item)
-        else:
-            chunks.append([item])
-    return chunks
-
-
-def block(items: list[dict], visuals: list[int]) -> dict:
-    return {"items": items, "visuals": list(dict.fromkeys(visuals)), "s": min(i["s"] for i in items), "e": max(i["e"] for i in items), "chars": sum(i["chars"] for i in items)}
-
-
-def mergeable(left: dict, right: dict, options: Options) -> bool:
-    duration = right["e"] - left["s"]
-    if right["s"] - left["e"] > options.max_gap or duration > options.max_duration or right["visuals"][0] - left["visuals"][-1] not in (0, 1):
-        return False
-    return duration <= min(options.max_duration, options.short) or left["chars"] < options.least_chars or right["chars"] < options.least_chars
-
-
-def content_units(items: list[dict], options: Options) -> list[dict]:
-    """Items (s, e, chars, visual) split within each visual, then neighbours merged while they may; one row a unit."""
-    by_visual: dict[int, list[dict]] = {}
-    for item in items:
-        by_visual.setdefault(item["visual"], []).append(item)
-    blocks: list[dict] = []
-    for visual in sorted(by_visual):
-        for chunk in split_items(sorted(by_visual[visual], key=lambda i: i["s"]), options.max_duration):
-            new = block(chunk, [visual])
-            if blocks and mergeable(blocks[-1], new, options):
-                blocks[-1] = block(blocks[-1]["items"] + new["items"], blocks[-1]["visuals"] + new["visuals"])
-            else:
-                blocks.append(new)
-    return [{"unit_no": k, "s": b["s"], "e": b["e"], "n_items": len(b["items"]), "n_visuals": len(b["visuals"]), "chars": b["chars"]} for k, b in enumerate(blocks, 1)]
-
-
 # Frames: dicts with id, t, hist, hash, title (a hash), slide (a hash), content, detail, layout, ok
 
 
 def hist_difference(a, b) -> float:
-    return sum(abs(x - y) for x, y in zip(a, b, strict=False)) / 2
+    a, b = np.asarray(a), np.asarray(b)
+    n = min(len(a), len(b))
+    return float(np.abs(a[:n] - b[:n]).sum()) / 2
 
 
 def hash_difference(a, b, unequal: float = 0.0) -> float:
-    return unequal if not len(a) or len(a) != len(b) else sum(x != y for x, y in zip(a, b, strict=True)) / len(a)
+    a, b = np.asarray(a), np.asarray(b)
+    return unequal if not len(a) or len(a) != len(b) else int(np.count_nonzero(a != b)) / len(a)
 
 
 def difference(a: dict, b: dict) -> float:
@@ -260,6 +194,39 @@ def collapse(keyframes: list[dict], o: Collapse) -> list[tuple[list[dict], list[
     return out
 
 
+def collapse_run(keyframes: list[dict], o: Collapse) -> tuple[list[dict], dict]:
+    """Keyframes after collapse, and its summary.
+
+    A representative takes over the covered times of those that it stands for; where the last keyframe would be lost to an
+    earlier one, it is preserved."""
+    out, suppressed, n_groups = [], [], 0
+    for group, keep in collapse(keyframes, o):
+        kept = {f["id"] for f in keep}
+        gone = [f for f in group if f["id"] not in kept]
+        n_groups += bool(gone)
+        suppressed += [(n_groups, f) for f in gone]
+        for f in keep:
+            times = {t for x in (gone if f is keep[-1] else []) for t in [x["t"], *x["covered"]]}
+            out.append({**f, "covered": sorted({*f["covered"], *times}), "group_no": n_groups if gone else None, "how": "fullest_of_group" if gone else "single"})
+    guarded = bool(keyframes) and max(f["t"] for f in out) < keyframes[-1]["t"]
+    if guarded:
+        out.append({**keyframes[-1], "group_no": None, "how": "tail_guard_preserved"})
+    last = (keyframes[-1]["t"], out[-1]["t"]) if keyframes else (None, None)
+    return out, {"n_groups": n_groups, "n_suppressed": len(suppressed), "suppressed": suppressed, "guarded": guarded, "last_before": last[0], "last_after": last[1]}
+
+
+def boundary_reasons(keyframes: list[dict], o: Collapse) -> list[tuple[dict, list[str]]]:
+    """Each keyframe after the first with the reasons why it does not continue the group before it; none where it does."""
+    decisions: list[tuple[dict, list[str]]] = []
+    group: list[dict] = []
+    for frame in keyframes:
+        reasons = break_reasons(group, frame, o) if group else []
+        if group:
+            decisions.append((frame, reasons))
+        group = [frame] if reasons else [*group, frame]
+    return decisions
+
+
 @dataclass
 class Lookahead:
     within: float = 180.0
@@ -354,27 +321,54 @@ def best_image(images: list[dict]) -> dict:
     return max(images, key=lambda f: (image_score(f), f["t"]))
 
 
-def pick_images(units: list[list[dict]], spacing: float = 45.0) -> list[tuple[dict | None, str]]:
-    """One image for each unit or none, with the reason; dropped group members, used images and ones too soon after the last are passed over."""
+def handout_images(units: list[list[dict]], spacing: float = 45.0) -> tuple[list[dict], list[tuple[str, list[dict]]]]:
+    """For each unit its image or none, with what was dropped and why; and the groups of near-duplicates among all images."""
     unique: dict = {}
     for images in units:
         for f in images:
             unique.setdefault(f["id"], f)
-    dropped = set()
-    for _, members in image_groups(sorted(unique.values(), key=lambda f: f["t"])):
+    groups = image_groups(sorted(unique.values(), key=lambda f: f["t"]))
+    dropped: dict = {}
+    for kind, members in groups:
         keep = best_image(members)["id"]
-        dropped |= {f["id"] for f in members if f["id"] != keep}
+        dropped |= {f["id"]: kind for f in members if f["id"] != keep}
     out, used, last = [], set(), None
     for images in units:
-        left = [f for f in images if f["id"] not in dropped and f["id"] not in used]
-        if not left:
-            out.append((None, "no_selected_handout_image"))
-            continue
-        chosen = best_image(left)
-        if last is not None and chosen["t"] - last < spacing:
-            out.append((None, "handout_image_density_limit"))
-            continue
-        used.add(chosen["id"])
-        last = chosen["t"]
-        out.append((chosen, "selected"))
-    return out
+        gone, warnings, left, chosen = [], [], [], None
+        for f in images:
+            if kind := dropped.get(f["id"]):
+                gone.append((f, f"{kind}_keep_one_representative"))
+                if kind == "rapid_visual_burst":
+                    warnings.append("rapid_visual_burst_review_required")
+            elif f["id"] in used:
+                gone.append((f, "keyframe_already_selected_for_previous_unit"))
+            else:
+                left.append(f)
+        if left:
+            chosen = best_image(left)
+            if last is not None and chosen["t"] - last < spacing:
+                gone.append((chosen, "handout_image_density_limit"))
+                chosen = None
+        if chosen is None:
+            warnings.append("no_selected_handout_image")
+        else:
+            used.add(chosen["id"])
+            last = chosen["t"]
+        out.append({
+            "selected": None if chosen is None else chosen["id"],
+            "reason": None if chosen is None else "best_available_handout_representative",
+            "dropped": [{"id": f["id"], "t": f["t"], "reason": why} for f, why in gone],
+            "warnings": warnings,
+            "review_required": bool(warnings),
+        })
+    return out, groups
+
+
+def pick_images(units: list[list[dict]], spacing: float = 45.0) -> list[tuple[dict | None, str]]:
+    """One image for each unit or none, with the reason; dropped group members, used images and ones too soon after the last are passed over."""
+    picked = []
+    for images, image in zip(units, handout_images(units, spacing)[0], strict=True):
+        chosen = next((f for f in images if f["id"] == image["selected"]), None)
+        limit = any(d["reason"] == "handout_image_density_limit" for d in image["dropped"])
+        picked.append((chosen, "selected" if chosen else "handout_image_density_limit" if limit else "no_selected_handout_image"))
+    return picked

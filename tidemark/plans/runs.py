@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import budgets, folds
+from ..operators import budgets, captions, content_map, folds
 from . import images, inputs, timelines
 from .inputs import SQL
 from .texts import _TURNS, _norm, _rstrip, _within, turns
@@ -33,38 +33,67 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redundancy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.per_run(turns(spark, sf_dir), folds.without_redundant, "run_id long, number long, seg_id long, text string", ["seg_id"])
+    return captions.without_redundant(turns(spark, sf_dir))
 
 
 def rolling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.per_run(turns(spark, sf_dir), folds.rolling, "run_id long, seg_id long, text string", ["seg_id"])
+    return captions.rolling(turns(spark, sf_dir))
 
 
-def merge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned transcript segments as content units, at a scale of 1 to 1440 in time."""
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content units of aligned transcript segments, at a scale of 1 to 1440 in time."""
     al = timelines.align_best_overlap(spark, sf_dir).where("visual_id IS NOT NULL").select("run_id", "seg_id", "visual_id")
     position = inputs.visual(spark, sf_dir).select("run_id", F.col("seg_id").alias("visual_id"), F.col("idx").alias("visual"))
     rows = inputs.transcript(spark, sf_dir).join(al, ["run_id", "seg_id"]).join(position, ["run_id", "visual_id"])
-    rows = rows.select("run_id", "seg_id", "visual", (F.col("s") / 1440).alias("s"), (F.col("e") / 1440).alias("e"), (F.col("seg_id") % 150).alias("chars"))
-    schema = "run_id long, unit_no long, s double, e double, n_items long, n_visuals long, chars long"
-    return folds.per_run(rows, lambda items: folds.content_units(items, folds.Options()), schema, ["s", "seg_id"])
+    text = F.concat(F.lit("segment "), F.col("seg_id").cast("string"))
+    s, e = (F.col("s") / 1440).alias("s"), (F.col("e") / 1440).alias("e")
+    return content_map.units(rows.select("run_id", "seg_id", "visual", "visual_id", s, e, (F.col("seg_id") % 150).alias("chars"), text.alias("text")), folds.Options())
+
+
+def merge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _units(spark, sf_dir)
+    n_items, n_visuals = F.size("items").cast("long").alias("n_items"), F.size("visuals").cast("long").alias("n_visuals")
+    return held.select("run_id", "unit_no", "s", "e", n_items, n_visuals, "chars")
+
+
+def content_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with their ids, excerpts, visual segments and topic group."""
+    held = content_map.with_excerpts(_units(spark, sf_dir))
+    ids = F.array_join(F.transform("items", lambda x: x["seg_id"].cast("string")), ",").alias("item_ids")
+    excerpt_ids = F.array_join(F.transform("excerpts", lambda x: x["seg_id"].cast("string")), ",").alias("excerpt_ids")
+    visual_ids = F.array_join(F.transform("visuals", lambda x: x.cast("string")), ",").alias("visual_ids")
+    return held.join(content_map.topic_groups(held), ["run_id", "unit_no"]).select("run_id", "unit_no", "group_no", ids, excerpt_ids, visual_ids, "summary")
+
+
+def review_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by the four points of a review; as selected counts a unit with a visual segment whose id is not a multiple of four."""
+    held = _units(spark, sf_dir).withColumn("n_visuals", F.size("visuals"))
+    held = held.withColumns({"n_candidates": F.col("n_visuals"), "n_selected": F.exists("visuals", lambda v: v % 4 != 0).cast("int"), "chars": F.col("chars") * 12})
+    found = content_map.review_points(held)
+    return found.select("run_id", "unit_no", F.array_join("points", ",").alias("points"))
+
+
+def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all units within a budget of 24 characters, 10 an excerpt."""
+    held = content_map.with_excerpts(_units(spark, sf_dir)).withColumns({"selected": F.get("visuals", F.lit(0)), "warnings": F.array().cast("array<string>")})
+    found = content_map.requests(held, each=10, whole=24)
+    texts = F.array_join(F.transform("transcript_excerpts", lambda x: x["text"]), "|").alias("excerpts")
+    n = F.size("transcript_item_ids").cast("long").alias("n_items")
+    return found.select("run_id", "unit_id", F.col("time_range.start_time").alias("start_time"), texts, n, "selected_keyframe", F.size("grounding_rules").cast("long").alias("n_rules"))
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visual segments as frames, at a scale of 1 to 1440 in time: three ids in a row show an image, by its place in the whole table modulo its rows."""
+    """Visual segments as frames, at a scale of 1 to 1440 in time: three ids in a row show an image of the whole table."""
     px = F.col("px")
     images_ = inputs.frames(spark, sf_dir).where("vec_id IS NOT NULL")
     faces = images_.select("vec_id", V.normalized(V.histogram(px, 8, 32)).alias("hist"), V.average_hash(px).alias("hash"))
     faces = faces.withColumns({"title": F.slice("hash", 1, 16), "slide": F.slice("hash", 9, 48)}).join(images.region_metrics(spark, sf_dir), "vec_id")
-    ordered = images_.select("vec_id").distinct().orderBy("vec_id")
-    places = spark.createDataFrame(ordered.rdd.map(lambda r: r[0]).zipWithIndex(), "vec_id long, place long")
-    n = images_.select(F.count_distinct("vec_id").alias("n"))
-    seen = inputs.visual(spark, sf_dir).select("run_id", F.col("seg_id").alias("id"), (F.col("s") / 1440).alias("t")).crossJoin(F.broadcast(n))  # one row
-    seen = seen.withColumn("place", F.pmod(F.floor(F.col("id") / 3), F.col("n")))
-    rows = seen.join(places, "place").join(faces, "vec_id")
+    seen = inputs.visual(spark, sf_dir).select("run_id", "seg_id", (F.col("s") / 1440).alias("t"))
+    rows = inputs.shown(seen, inputs.placed_frames(spark, sf_dir, faces), every=3).withColumnRenamed("seg_id", "id")
     # a frame's own fullness: the image's, dimmed by its id
     dim = (F.col("id") % 10) / 10
-    return rows.select("run_id", "id", "t", "hist", "hash", "title", "slide", (F.col("content_area_ratio") * dim).alias("content"), (F.col("detail_density") * dim * dim).alias("detail"), (F.col("layout_richness") * dim).alias("layout"), (F.col("id") % 17 != 0).alias("ok"))
+    full = [(F.col("content_area_ratio") * dim).alias("content"), (F.col("detail_density") * dim * dim).alias("detail"), (F.col("layout_richness") * dim).alias("layout")]
+    return rows.select("run_id", "id", "t", "hist", "hash", "title", "slide", *full, (F.col("id") % 17 != 0).alias("ok"))
 
 
 def _selected(frames: list[dict]) -> list[dict]:
@@ -89,13 +118,29 @@ def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyframes after collapse: their group, how they were chosen and what they stand for."""
+
+    def fold(frames: list[dict]) -> list[dict]:
+        kept, _ = folds.collapse_run(_selected(frames), folds.Collapse())
+        return [{"id": f["id"], "t": f["t"], "group_no": f["group_no"], "how": f["how"], "n_covered": len(f["covered"])} for f in kept]
+
+    return folds.per_run(_frames(spark, sf_dir), fold, "run_id long, id long, t double, group_no long, how string, n_covered long", ["t", "id"])
+
+
+def collapse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run: groups collapsed, keyframes suppressed, the last time before and after, whether the tail was guarded, and why groups broke."""
+    schema = "run_id long, n_groups long, n_suppressed long, last_before double, last_after double, guarded boolean, break_reasons string"
+
     def fold(frames: list[dict]) -> list[dict]:
-        out = []
-        for k, (group, keep) in enumerate(folds.collapse(_selected(frames), folds.Collapse()), 1):
-            out += [{"group_no": k, "n_members": len(group), "id": f["id"], "low": group[0]["t"], "high": group[-1]["t"]} for f in keep]
-        return out
+        keyframes, o = _selected(frames), folds.Collapse()
+        summary = folds.collapse_run(keyframes, o)[1]
+        counts: dict[str, int] = {}
+        for reason in (r for _, reasons in folds.boundary_reasons(keyframes, o) for r in reasons):
+            counts[reason] = counts.get(reason, 0) + 1
+        del summary["suppressed"]
+        return [{**summary, "break_reasons": ",".join(f"{k}={counts[k]}" for k in sorted(counts))}]
 
-    return folds.per_run(_frames(spark, sf_dir), fold, "run_id long, group_no long, n_members long, id long, low double, high double", ["t", "id"])
+    return folds.per_run(_frames(spark, sf_dir), fold, schema, ["t", "id"])
 
 
 def low_content_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +172,10 @@ def image_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.per_run(_frames(spark, sf_dir), fold, "run_id long, unit_no long, id long, reason string", ["t", "id"])
 
 
-QUERIES = {f.__name__: f for f in (split_units, topic_groups, prompt_budget, redundancy_full, rolling_lines, merge_units, keyframe_select, selection_summary, collapse_groups, low_content_suppress, image_groups, image_density)}
+QUERIES = {f.__name__: f for f in (
+    split_units, topic_groups, prompt_budget, redundancy_full, rolling_lines, merge_units, content_units, review_points, prompt_requests, keyframe_select,
+    selection_summary, collapse_groups, collapse_summary, low_content_suppress, image_groups, image_density,
+)}
 
 _SPLIT = """o AS (SELECT run_id, s, e, row_number() OVER (PARTITION BY run_id ORDER BY s, seg_id) AS i FROM tr),
 f AS (SELECT run_id, i, s AS start, 1 AS chunk, s, e FROM o WHERE i = 1
@@ -136,7 +184,144 @@ c AS (SELECT run_id, CAST(chunk AS BIGINT) AS chunk, min(s) AS s, max(e) AS e, c
 
 _shown = lambda last: f"array_to_string(list_filter(list_transform(string_split(t.text, chr(10)), lambda l: {_norm('l')}), lambda l: l <> '' AND NOT contains(lower({_norm(last)}), lower(l))), ' ')"
 
+_JOINS = "b.s - m.e <= 45 AND b.e - m.s <= 240 AND b.visual - m.visual IN (0, 1) AND (b.e - m.s <= 120 OR m.chars < 80 OR b.chars < 80)"
+_UNITS = f"""{timelines._ALIGN},
+it AS (SELECT t.run_id, v.idx AS visual, v.seg_id AS visual_id, t.seg_id, t.s / CAST(1440 AS DOUBLE) AS s, t.e / CAST(1440 AS DOUBLE) AS e, t.seg_id % 150 AS chars
+       FROM al JOIN tr t ON t.run_id = al.run_id AND t.seg_id = al.seg_id JOIN vi v ON v.run_id = al.run_id AND v.seg_id = al.visual_id),
+io AS (SELECT *, row_number() OVER (PARTITION BY run_id, visual ORDER BY s, seg_id) AS i FROM it),
+sp AS (SELECT *, s AS start, 1 AS chunk FROM io WHERE i = 1
+UNION ALL SELECT o.*, CASE WHEN o.e - sp.start > 240 THEN o.s ELSE sp.start END, CASE WHEN o.e - sp.start > 240 THEN sp.chunk + 1 ELSE sp.chunk END
+FROM sp JOIN io o ON o.run_id = sp.run_id AND o.visual = sp.visual AND o.i = sp.i + 1),
+bl AS (SELECT run_id, visual, chunk, min(s) AS s, max(e) AS e, sum(chars) AS chars, row_number() OVER (PARTITION BY run_id ORDER BY visual, chunk) AS i FROM sp GROUP BY run_id, visual, chunk),
+m AS (SELECT run_id, i, visual, chunk, s, e, chars, 1 AS unit FROM bl WHERE i = 1
+UNION ALL SELECT b.run_id, b.i, b.visual, b.chunk, CASE WHEN {_JOINS} THEN least(m.s, b.s) ELSE b.s END, CASE WHEN {_JOINS} THEN greatest(m.e, b.e) ELSE b.e END,
+CASE WHEN {_JOINS} THEN m.chars + b.chars ELSE b.chars END, CASE WHEN {_JOINS} THEN m.unit ELSE m.unit + 1 END FROM m JOIN bl b ON b.run_id = m.run_id AND b.i = m.i + 1),
+ui AS (SELECT sp.*, m.unit AS unit_no, row_number() OVER (PARTITION BY sp.run_id, m.unit ORDER BY sp.visual, sp.chunk, sp.s, sp.seg_id) AS p, count(*) OVER (PARTITION BY sp.run_id, m.unit) AS n
+       FROM sp JOIN m ON m.run_id = sp.run_id AND m.visual = sp.visual AND m.chunk = sp.chunk)
+"""
+# frames as in _frames(): o is the place in the run's order; title and slide are slices of the hash
+_FRAMES_SQL = f"""{images._REGION},
+im AS (SELECT fr.vec_id, list_transform(range(0, 8), lambda b: len(list_filter(px, lambda x: x // 32 = b)) / CAST(len(px) AS DOUBLE)) AS hist,
+       list_transform(px, lambda x: CAST(x * len(px) > list_sum(px) AS INTEGER)) AS hash, row_number() OVER (ORDER BY fr.vec_id) - 1 AS place, content_area_ratio, detail_density, layout_richness FROM fr JOIN rm ON rm.vec_id = fr.vec_id),
+fa AS (SELECT run_id, seg_id AS id, s / CAST(1440 AS DOUBLE) AS t, hist, hash, content_area_ratio * ((seg_id % 10) / CAST(10 AS DOUBLE)) AS content,
+       detail_density * ((seg_id % 10) / CAST(10 AS DOUBLE)) * ((seg_id % 10) / CAST(10 AS DOUBLE)) AS detail, layout_richness * ((seg_id % 10) / CAST(10 AS DOUBLE)) AS layout, seg_id % 17 <> 0 AS ok,
+       row_number() OVER (PARTITION BY run_id ORDER BY s, seg_id) AS o FROM vi JOIN im ON im.place = (seg_id // 3) % (SELECT count(*) FROM im)),
+fx AS (SELECT *, round(0.45 * content + 0.25 * detail + 0.30 * layout, 6) AS full_, round(0.65 * content + 0.35 * detail, 6) AS score FROM fa)"""
+
+
+def _bits(a: str, b: str, low: int = 1, high: int = 64) -> str:
+    return f"list_sum(list_transform(range({low}, {high + 1}), lambda z: abs({a}.hash[z] - {b}.hash[z]))) / {high - low + 1}.0"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"greatest(list_sum(list_transform(range(1, 9), lambda z: abs({a}.hist[z] - {b}.hist[z]))) / 2, {_bits(a, b)})"
+
+
+# the scan for keyframes: last is the frame that the last keyframe shows, key its number
+_SELECT = f"""{_FRAMES_SQL},
+ks AS (SELECT run_id, o, id, CASE WHEN ok THEN id END AS last, CASE WHEN ok THEN 1 ELSE 0 END AS key, CASE WHEN ok THEN 'first_accepted_frame' END AS why, CASE WHEN ok THEN 1 ELSE 0 END AS covered, 0 AS updates,
+       CASE WHEN ok THEN 'first_accepted_frame' ELSE 'quality_rejected' END AS decision FROM fx WHERE o = 1
+UNION ALL SELECT run_id, o, id, CASE WHEN decision IN ('first_accepted_frame', 'visual_difference_threshold') OR moves THEN id ELSE last END, CASE WHEN decision IN ('first_accepted_frame', 'visual_difference_threshold') THEN key + 1 ELSE key END,
+       CASE WHEN decision IN ('first_accepted_frame', 'visual_difference_threshold') THEN decision ELSE why END, CASE WHEN decision IN ('first_accepted_frame', 'visual_difference_threshold') THEN 1 WHEN moves OR decision = 'duplicate_suppressed' THEN covered + 1 ELSE covered END,
+       CASE WHEN decision IN ('first_accepted_frame', 'visual_difference_threshold') THEN 0 WHEN moves THEN updates + 1 ELSE updates END, decision
+FROM (SELECT *, coalesce(decision LIKE '%_fuller_state_update', false) AS moves FROM (SELECT *, CASE WHEN NOT ok THEN 'quality_rejected' WHEN last IS NULL THEN 'first_accepted_frame'
+      WHEN 1 - apart >= 0.92 AND bits <= 0.08 THEN CASE WHEN fuller THEN 'duplicate_fuller_state_update' ELSE 'duplicate_suppressed' END
+      WHEN gap < 20 AND NOT (title > 0.14 AND apart >= 0.12) THEN 'stable_too_short_rejected' WHEN apart >= 0.12 THEN 'visual_difference_threshold' WHEN fuller THEN 'low_difference_fuller_state_update' ELSE 'low_difference_rejected' END AS decision
+FROM (SELECT x.run_id, x.o, x.id, x.ok, ks.last, ks.key, ks.why, ks.covered, ks.updates, x.t - l.t AS gap, {_apart('x', 'l')} AS apart, {_bits('x', 'l')} AS bits, {_bits('x', 'l', 1, 16)} AS title,
+      {_bits('x', 'l', 1, 16)} <= 0.14 AND x.full_ - l.full_ >= 0.01 AS fuller FROM ks JOIN fx x ON x.run_id = ks.run_id AND x.o = ks.o + 1 LEFT JOIN fx l ON l.run_id = ks.run_id AND l.id = ks.last) a) b) c),
+kf AS (SELECT run_id, key, arg_max(last, o) AS id, arg_max(why, o) AS why, arg_max(covered, o) AS n_covered, arg_max(updates, o) AS updates FROM ks WHERE key > 0 GROUP BY run_id, key)
+"""
+# bursts are scanned from frame i on, j the last frame taken in; the rest chains by likeness
+_GROUPS = f"""{_FRAMES_SQL},
+bs AS (SELECT run_id, 1 AS i, 1 AS j, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high FROM fx WHERE o = 1
+UNION ALL SELECT run_id, CASE WHEN more THEN i WHEN j - i >= 2 THEN j + 1 ELSE i + 1 END, CASE WHEN more THEN j + 1 WHEN j - i >= 2 THEN j + 1 ELSE i + 1 END, CASE WHEN NOT more AND j - i >= 2 THEN i END, CASE WHEN NOT more AND j - i >= 2 THEN j END
+FROM (SELECT bs.run_id, bs.i, bs.j, coalesce(b.t - c.t <= 40 AND b.t - a.t <= 60, false) AS more FROM bs JOIN fx a ON a.run_id = bs.run_id AND a.o = bs.i JOIN fx c ON c.run_id = bs.run_id AND c.o = bs.j LEFT JOIN fx b ON b.run_id = bs.run_id AND b.o = bs.j + 1) x),
+bu AS (SELECT DISTINCT fx.run_id, bs.low, fx.o FROM bs JOIN fx ON fx.run_id = bs.run_id AND fx.o BETWEEN bs.low AND bs.high WHERE bs.low IS NOT NULL),
+re AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o) AS r FROM fx WHERE NOT EXISTS (SELECT 1 FROM bu WHERE bu.run_id = fx.run_id AND bu.o = fx.o)),
+ch AS (SELECT b.run_id, b.o, sum(CASE WHEN a.run_id IS NOT NULL AND b.t - a.t <= 40 AND {_apart('a', 'b')} <= 0.2 THEN 0 ELSE 1 END) OVER (PARTITION BY b.run_id ORDER BY b.r) AS chain FROM re b LEFT JOIN re a ON a.run_id = b.run_id AND a.r = b.r - 1),
+mb AS (SELECT run_id, 0 AS rule, 'rapid_visual_burst' AS kind, low AS start, o FROM bu
+UNION ALL SELECT run_id, 1, 'near_duplicate_visual_pair', min(o) OVER (PARTITION BY run_id, chain), o FROM (SELECT *, count(*) OVER (PARTITION BY run_id, chain) AS n FROM ch) y WHERE n > 1),
+gr AS (SELECT mb.*, fx.id, fx.t, fx.score, dense_rank() OVER (PARTITION BY mb.run_id ORDER BY rule, start) AS group_no, row_number() OVER (PARTITION BY mb.run_id, rule, start ORDER BY score DESC, t DESC, mb.o) AS best FROM mb JOIN fx ON fx.run_id = mb.run_id AND fx.o = mb.o)
+"""
+# collapse: each keyframe against the group before it (its anchor, last and fullest frame); then each group's first against the joined groups
+_KEYS = f"""{_SELECT},
+kk AS (SELECT fx.*, kf.n_covered, row_number() OVER (PARTITION BY fx.run_id ORDER BY key) AS n FROM kf JOIN fx ON fx.run_id = kf.run_id AND fx.id = kf.id)"""
+
+
+def _breaks(x: str, anchor: str, last: str, best: str) -> str:
+    """SQL of the reasons (a list of names) why frame x breaks a group."""
+    gap, span = f"({x}.t - {last}.t)", f"({x}.t - {anchor}.t)"
+    visual = f"least({_apart(x, last)}, {_apart(x, best)})"
+    bits = f"least({_bits(x, last)}, {_bits(x, best)})"
+    title = f"({_bits(x, last, 1, 16)})"
+    titles = f"least({title}, {_bits(x, anchor, 1, 16)}, {_bits(x, best, 1, 16)})"
+    continuity = f"least(1.0, greatest(0.0, 1 - {titles} - CAST(0.1 AS DOUBLE) * {visual} / CAST(0.55 AS DOUBLE) - CAST(0.05 AS DOUBLE) * {gap} / CAST(150 AS DOUBLE)))"
+    falls = f"({best}.full_ - {x}.full_ >= 0.18)"
+    strong = f"({title} <= 0.08 AND {gap} <= 300 AND {visual} < 0.55 AND {bits} <= 0.45 AND NOT {falls})"
+    rules = [("gap", f"{gap} > 150 AND NOT {strong}"), ("title", f"{title} > 0.14"), ("visual", f"{visual} >= 0.55"), ("hash", f"{bits} > 0.35 AND NOT {strong}")]
+    rules += [("span", f"{span} > 90 AND {continuity} < 0.72 AND NOT {strong}"), ("similarity", f"1 - {_apart(x, last)} < 0.45"), ("reset", falls)]
+    return "list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in rules) + "], lambda x: x IS NOT NULL)"
+
+
+_COLLAPSE = f"""{_KEYS},
+cg AS (SELECT run_id, n, 1 AS g, n AS anchor, n AS best, CAST([] AS VARCHAR[]) AS reasons FROM kk WHERE n = 1
+UNION ALL SELECT run_id, n, CASE WHEN len(reasons) > 0 THEN g + 1 ELSE g END, CASE WHEN len(reasons) > 0 THEN n ELSE anchor END, CASE WHEN len(reasons) > 0 OR fuller THEN n ELSE best END, reasons
+FROM (SELECT x.run_id, x.n, cg.g, cg.anchor, cg.best, x.full_ > b.full_ AS fuller, {_breaks('x', 'a', 'l', 'b')} AS reasons FROM cg JOIN kk x ON x.run_id = cg.run_id AND x.n = cg.n + 1
+      JOIN kk a ON a.run_id = cg.run_id AND a.n = cg.anchor JOIN kk l ON l.run_id = cg.run_id AND l.n = cg.n JOIN kk b ON b.run_id = cg.run_id AND b.n = cg.best) y),
+gg AS (SELECT run_id, g, min(n) AS low, max(n) AS high, arg_max(best, n) AS best FROM cg GROUP BY run_id, g),
+cj AS (SELECT run_id, g, 1 AS joined, low AS anchor, high AS last, best FROM gg WHERE g = 1
+UNION ALL SELECT run_id, g, CASE WHEN apart THEN joined + 1 ELSE joined END, CASE WHEN apart THEN low ELSE anchor END, high, CASE WHEN apart OR fuller THEN own ELSE best END
+FROM (SELECT gg.run_id, gg.g, cj.joined, cj.anchor, cj.best, gg.low, gg.high, gg.best AS own, ob.full_ > b.full_ AS fuller, len({_breaks('x', 'a', 'l', 'b')}) > 0 AS apart
+      FROM cj JOIN gg ON gg.run_id = cj.run_id AND gg.g = cj.g + 1 JOIN kk x ON x.run_id = gg.run_id AND x.n = gg.low JOIN kk a ON a.run_id = cj.run_id AND a.n = cj.anchor
+      JOIN kk l ON l.run_id = cj.run_id AND l.n = cj.last JOIN kk b ON b.run_id = cj.run_id AND b.n = cj.best JOIN kk ob ON ob.run_id = gg.run_id AND ob.n = gg.best) y),
+cm AS (SELECT kk.run_id, kk.id, kk.t, kk.n, kk.n_covered, cj.joined, count(*) OVER w AS members, sum(kk.n_covered) OVER w AS covers, min(kk.t) OVER w AS low, max(kk.t) OVER w AS high, kk.content, kk.detail, kk.layout
+       FROM kk JOIN cg ON cg.run_id = kk.run_id AND cg.n = kk.n JOIN cj ON cj.run_id = kk.run_id AND cj.g = cg.g WINDOW w AS (PARTITION BY kk.run_id, cj.joined)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY run_id, joined ORDER BY round(0.45 * content + 0.25 * detail + 0.30 * layout + CAST(0.08 AS DOUBLE) * CASE WHEN high > low THEN (t - low) / (high - low) ELSE 0 END, 6) DESC, t DESC) AS k FROM cm),
+co AS (SELECT run_id, id, t, n, joined, CASE WHEN members > 1 THEN dense_rank() OVER (PARTITION BY run_id, members > 1 ORDER BY joined) END AS group_no, CASE WHEN members > 1 THEN 'fullest_of_group' ELSE 'single' END AS how, CASE WHEN members > 1 THEN covers ELSE n_covered END AS n_covered FROM cr WHERE k = 1),
+la AS (SELECT run_id, max(n) AS n FROM kk GROUP BY run_id),
+ce_ AS (SELECT run_id, id, t, group_no, how, CAST(n_covered AS BIGINT) AS n_covered FROM co
+UNION ALL SELECT kk.run_id, kk.id, kk.t, NULL, 'tail_guard_preserved', CAST(kk.n_covered AS BIGINT) FROM kk JOIN la ON la.run_id = kk.run_id AND la.n = kk.n WHERE kk.t > (SELECT max(t) FROM co WHERE co.run_id = kk.run_id))
+"""
+_PICKED = "n <= 3 OR p = 1 OR p = n // 2 + 1 OR p = n"
+
 ORACLE_SQL = {
+    "keyframe_select": f"""WITH RECURSIVE {_SELECT} SELECT kf.run_id, kf.id, fx.t, why, CAST(n_covered AS BIGINT) AS n_covered, CAST(updates AS BIGINT) AS updates FROM kf JOIN fx ON fx.run_id = kf.run_id AND fx.id = kf.id""",
+    "selection_summary": f"""WITH RECURSIVE {_SELECT} SELECT decision, count(*) AS n FROM ks GROUP BY decision""",
+    "collapse_groups": f"""WITH RECURSIVE {_COLLAPSE} SELECT run_id, id, t, group_no, how, n_covered FROM ce_""",
+    "collapse_summary": f"""WITH RECURSIVE {_COLLAPSE},
+re AS (SELECT run_id, string_agg(reason || '=' || CAST(c AS VARCHAR), ',' ORDER BY reason) AS break_reasons FROM (SELECT run_id, reason, count(*) AS c FROM (SELECT run_id, unnest(reasons) AS reason FROM cg) x GROUP BY run_id, reason) y GROUP BY run_id),
+ke AS (SELECT run_id, count(*) AS n_keys, max(t) AS last_before FROM kk GROUP BY run_id),
+en AS (SELECT run_id, count(*) FILTER (WHERE how <> 'tail_guard_preserved') AS n_kept, max(t) AS last_after, bool_or(how = 'tail_guard_preserved') AS guarded, coalesce(max(group_no), 0) AS n_groups FROM ce_ GROUP BY run_id)
+SELECT ke.run_id, n_groups, n_keys - n_kept AS n_suppressed, last_before, last_after, guarded, coalesce(break_reasons, '') AS break_reasons FROM ke JOIN en ON en.run_id = ke.run_id LEFT JOIN re ON re.run_id = ke.run_id""",
+    "image_groups": f"""WITH RECURSIVE {_GROUPS} SELECT run_id, group_no, kind, count(*) AS n_members, arg_min(id, best) AS representative FROM gr GROUP BY run_id, group_no, kind""",
+    "image_density": f"""WITH RECURSIVE {_GROUPS},
+lf AS (SELECT run_id, CAST(floor(t / 240) AS BIGINT) AS u, id, t, score, o, EXISTS (SELECT 1 FROM gr WHERE gr.run_id = fx.run_id AND gr.o = fx.o AND gr.best > 1) AS dropped FROM fx),
+un AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY u) AS unit_no, u FROM (SELECT DISTINCT run_id, u FROM lf) x),
+bi AS (SELECT run_id, u, id, t FROM (SELECT *, row_number() OVER (PARTITION BY run_id, u ORDER BY score DESC, t DESC, o) AS k FROM lf WHERE NOT dropped) x WHERE k = 1),
+uc AS (SELECT un.run_id, un.unit_no, bi.id, bi.t FROM un LEFT JOIN bi ON bi.run_id = un.run_id AND bi.u = un.u),
+d AS (SELECT run_id, unit_no, id, t AS last, CASE WHEN id IS NULL THEN 'no_selected_handout_image' ELSE 'selected' END AS reason FROM uc WHERE unit_no = 1
+UNION ALL SELECT uc.run_id, uc.unit_no, CASE WHEN uc.t - d.last < 45 THEN NULL ELSE uc.id END, CASE WHEN uc.id IS NULL OR uc.t - d.last < 45 THEN d.last ELSE uc.t END,
+CASE WHEN uc.id IS NULL THEN 'no_selected_handout_image' WHEN uc.t - d.last < 45 THEN 'handout_image_density_limit' ELSE 'selected' END FROM d JOIN uc ON uc.run_id = d.run_id AND uc.unit_no = d.unit_no + 1)
+SELECT run_id, CAST(unit_no AS BIGINT) AS unit_no, id, reason FROM d""",
+    "merge_units": f"""WITH RECURSIVE {_UNITS} SELECT run_id, CAST(unit_no AS BIGINT) AS unit_no, min(s) AS s, max(e) AS e, count(*) AS n_items, count(DISTINCT visual_id) AS n_visuals, CAST(sum(chars) AS BIGINT) AS chars FROM ui GROUP BY run_id, unit_no""",
+    "content_units": f"""WITH RECURSIVE {_UNITS},
+u AS (SELECT run_id, unit_no, min(s) AS s, max(e) AS e, string_agg(CAST(seg_id AS VARCHAR), ',' ORDER BY p) AS item_ids, string_agg(CAST(seg_id AS VARCHAR), ',' ORDER BY p) FILTER (WHERE {_PICKED}) AS excerpt_ids,
+      string_agg('segment ' || CAST(seg_id AS VARCHAR), ' / ' ORDER BY p) FILTER (WHERE {_PICKED}) AS summary FROM ui GROUP BY run_id, unit_no),
+vs AS (SELECT run_id, unit_no, string_agg(CAST(visual_id AS VARCHAR), ',' ORDER BY visual) AS visual_ids FROM (SELECT DISTINCT run_id, unit_no, visual, visual_id FROM ui) x GROUP BY run_id, unit_no),
+g AS (SELECT run_id, unit_no, s AS start, 1 AS k, 1 AS c FROM u WHERE unit_no = 1
+UNION ALL SELECT u.run_id, u.unit_no, CASE WHEN g.c >= 4 OR u.e - g.start > 720 THEN u.s ELSE g.start END, CASE WHEN g.c >= 4 OR u.e - g.start > 720 THEN g.k + 1 ELSE g.k END, CASE WHEN g.c >= 4 OR u.e - g.start > 720 THEN 1 ELSE g.c + 1 END FROM g JOIN u ON u.run_id = g.run_id AND u.unit_no = g.unit_no + 1)
+SELECT u.run_id, CAST(u.unit_no AS BIGINT) AS unit_no, CAST(g.k AS BIGINT) AS group_no, item_ids, excerpt_ids, visual_ids, summary FROM u JOIN vs ON vs.run_id = u.run_id AND vs.unit_no = u.unit_no JOIN g ON g.run_id = u.run_id AND g.unit_no = u.unit_no""",
+    "review_points": f"""WITH RECURSIVE {_UNITS}, u AS (SELECT run_id, unit_no, 12 * sum(chars) AS chars, count(DISTINCT visual_id) AS n, bool_or(visual_id % 4 <> 0) AS has FROM ui GROUP BY run_id, unit_no)
+SELECT run_id, CAST(unit_no AS BIGINT) AS unit_no, array_to_string(list_filter([CASE WHEN NOT has THEN 'no_selected_image' END, CASE WHEN n > 2 THEN 'too_many_candidates' END, CASE WHEN chars > 1800 AND n <= 1 THEN 'long_text_little_visual' END,
+CASE WHEN n > 1 AND chars < 160 THEN 'visual_change_little_text' END], lambda x: x IS NOT NULL), ',') AS points FROM u""",
+    "prompt_requests": f"""WITH RECURSIVE {_UNITS},
+c AS (SELECT run_id, unit_no, row_number() OVER (PARTITION BY run_id, unit_no ORDER BY p) AS j, CASE WHEN length(x) <= 10 THEN x ELSE {_rstrip('substr(x, 1, 7)')} || '...' END AS c FROM (SELECT *, 'segment ' || CAST(seg_id AS VARCHAR) AS x FROM ui) y WHERE {_PICKED}),
+f AS (SELECT run_id, unit_no, j, c AS fit, length(c) AS used FROM c WHERE j = 1
+UNION ALL SELECT c.run_id, c.unit_no, c.j, CASE WHEN length(c) <= 24 - used THEN c ELSE {_rstrip('substr(c, 1, greatest(21 - used, 0))')} || '...' END,
+used + length(CASE WHEN length(c) <= 24 - used THEN c ELSE {_rstrip('substr(c, 1, greatest(21 - used, 0))')} || '...' END) FROM f JOIN c ON c.run_id = f.run_id AND c.unit_no = f.unit_no AND c.j = f.j + 1 WHERE used < 24),
+t AS (SELECT run_id, unit_no, string_agg(fit, '|' ORDER BY j) AS excerpts FROM f GROUP BY run_id, unit_no),
+u AS (SELECT run_id, unit_no, round(min(s), 3) AS start_time, count(*) AS n_items, arg_min(visual_id, p) AS selected_keyframe FROM ui GROUP BY run_id, unit_no)
+SELECT u.run_id, 'unit_' || lpad(CAST(u.unit_no AS VARCHAR), CAST(greatest(3, length(CAST(u.unit_no AS VARCHAR))) AS INTEGER), '0') AS unit_id, start_time, excerpts, n_items, selected_keyframe, CAST(5 AS BIGINT) AS n_rules FROM u JOIN t ON t.run_id = u.run_id AND t.unit_no = u.unit_no""",
     "rolling_lines": f"""WITH RECURSIVE {_TURNS}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_id) AS i FROM tu),
 f AS (SELECT run_id, seg_id, i, {_shown("''")} AS out, {_shown("''")} AS last FROM t WHERE i = 1
 UNION ALL SELECT t.run_id, t.seg_id, t.i, {_shown('f.last')}, CASE WHEN {_shown('f.last')} <> '' THEN {_shown('f.last')} ELSE f.last END FROM f JOIN t ON t.run_id = f.run_id AND t.i = f.i + 1)
