@@ -10,7 +10,7 @@ that fit higher-order functions stay in the JVM: see :mod:`budgets`, :mod:`capti
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -79,7 +79,12 @@ class Selection:
     same_title: float = 0.14
     fuller_by: float = 0.01
     most: int = 1000
-    counts: dict = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, options: dict) -> Selection:
+        """From the visual options of :mod:`tidemark.sources.options`."""
+        keys = ("duplicate_similarity_threshold", "duplicate_hash_distance_threshold", "min_stable_duration_seconds", "min_visual_difference_score")
+        return cls(*[options[key] for key in keys], options["title_region_max_difference"], options["fuller_replacement_min_delta"], options["max_keyframes"])
 
 
 def select_keyframes(frames: list[dict], o: Selection) -> tuple[list[dict], list[tuple[dict, str]]]:
@@ -143,6 +148,18 @@ class Collapse:
     strong_gap: float = 300.0
     strong_hash: float = 0.45
     keep: int = 1
+    merge: bool = True
+
+    @classmethod
+    def of(cls, options: dict) -> Collapse:
+        """From the visual options."""
+        title, strong = options["title_region_max_difference"], options["strong_title_region_max_difference"]
+        held = {"max_visual": options["min_scene_change_score"], "max_hash": options["build_group_hash_distance_threshold"], "span": options["collapse_window_seconds"]}
+        held |= {"continuity": options["group_merge_min_continuity_score"], "least_similarity": options["build_group_similarity_threshold"]}
+        held |= {"reset": options["group_fullness_reset_min_delta"], "strong_gap": options["strong_title_group_merge_max_gap_seconds"]}
+        held |= {"strong_hash": options["strong_title_build_group_hash_distance_threshold"], "keep": options["max_intermediate_keyframes_per_group"]}
+        held |= {"max_gap": options["group_merge_max_gap_seconds"], "merge": options["conservative_group_merge_enabled"]}
+        return cls(same_title=title, strong_title=strong, **held)
 
 
 def break_reasons(group: list[dict], frame: dict, o: Collapse) -> list[str]:
@@ -170,7 +187,7 @@ def break_reasons(group: list[dict], frame: dict, o: Collapse) -> list[str]:
 
 
 def collapse(keyframes: list[dict], o: Collapse) -> list[tuple[list[dict], list[dict]]]:
-    """(group, representatives) of keyframes in time order: greedy groups, then neighbours joined once more by the next group's first."""
+    """(group, representatives) of keyframes in time order: greedy groups, then, if o.merge, neighbours joined once more by the next group's first."""
     groups: list[list[dict]] = []
     for frame in keyframes:
         if groups and not break_reasons(groups[-1], frame, o):
@@ -179,7 +196,7 @@ def collapse(keyframes: list[dict], o: Collapse) -> list[tuple[list[dict], list[
             groups.append([frame])
     joined: list[list[dict]] = []
     for group in groups:
-        if joined and not break_reasons(joined[-1], group[0], o):
+        if o.merge and joined and not break_reasons(joined[-1], group[0], o):
             joined[-1] = joined[-1] + group
         else:
             joined.append(group)
@@ -197,7 +214,7 @@ def collapse(keyframes: list[dict], o: Collapse) -> list[tuple[list[dict], list[
 def collapse_run(keyframes: list[dict], o: Collapse) -> tuple[list[dict], dict]:
     """Keyframes after collapse, and its summary.
 
-    A representative takes over the covered times of those that it stands for; where the last keyframe would be lost to an
+    Each representative of a group takes over the covered times of all that the group loses; where the last keyframe would be lost to an
     earlier one, it is preserved."""
     out, suppressed, n_groups = [], [], 0
     for group, keep in collapse(keyframes, o):
@@ -206,7 +223,7 @@ def collapse_run(keyframes: list[dict], o: Collapse) -> tuple[list[dict], dict]:
         n_groups += bool(gone)
         suppressed += [(n_groups, f) for f in gone]
         for f in keep:
-            times = {t for x in (gone if f is keep[-1] else []) for t in [x["t"], *x["covered"]]}
+            times = {t for x in gone for t in [x["t"], *x["covered"]]}
             out.append({**f, "covered": sorted({*f["covered"], *times}), "group_no": n_groups if gone else None, "how": "fullest_of_group" if gone else "single"})
     guarded = bool(keyframes) and max(f["t"] for f in out) < keyframes[-1]["t"]
     if guarded:
@@ -238,6 +255,12 @@ class Lookahead:
     scene: float = 0.12
     fuller_by: float = 0.01
 
+    @classmethod
+    def of(cls, options: dict) -> Lookahead:
+        """From the visual options."""
+        names = ("seconds", "content_area_threshold", "detail_density_threshold", "layout_richness_threshold", "title_region_max_difference", "slide_region_max_difference")
+        return cls(*[options[f"low_content_lookahead_{name}" if name == "seconds" else f"low_content_{name}"] for name in names], options["min_visual_difference_score"], options["fuller_replacement_min_delta"])
+
 
 def later_fuller(early: dict, later: list[dict], o: Lookahead) -> dict | None:
     """The fullest later frame of the same context in reach; the scan ends at a new scene after a match."""
