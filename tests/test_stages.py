@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, regions, transcription
+from tidemark.operators import folds, regions, transcription, visual_runs
 from tidemark.sources import options
 
 
@@ -106,3 +106,55 @@ def test_transcription_gates(spark):
     chosen = spark.createDataFrame([("a", "automatic", "en", "a.vtt"), ("b", "manual", "de", "b.vtt")], "run_id string, source string, language string, subtitle_path string")
     heads = transcription.subtitle_transcripts(chosen, spark.createDataFrame([("a", 1)], "run_id string, seg_id long")).orderBy("run_id").collect()
     assert [(r.source.type, r.source.is_auto_generated, r.segment_count) for r in heads] == [("automatic_subtitle", True, 1), ("platform_subtitle", False, 0)]
+
+
+def test_covering_keyframe_is_the_first_within_a_millisecond(spark):
+    keyframes = spark.createDataFrame([("a", 1, 11, 5.0, [5.0, 7.5]), ("a", 2, 12, 9.0, [7.5, 9.0]), ("b", 1, 13, 2.0, None)], "run_id string, place long, id long, t double, covered array<double>")
+    wanted = spark.createDataFrame([("a", 1, 7.5009), ("a", 2, 7.502), ("a", 3, 9.0), ("b", 4, 5.0), ("b", 5, 1.9995)], "run_id string, seg_id long, at double")
+    assert {r.seg_id: r.keyframe for r in visual_runs.covering(wanted, keyframes).collect()} == {1: 11, 2: None, 3: 12, 4: None, 5: 13}
+
+
+def test_trace(spark):
+    low = spark.createDataFrame([("a", 1, 10.0, 40.0, "candidate_pool", 40.0), ("a", 2, 300.0, None, None, None), ("a", 3, 500.0, 520.0, "covered_candidate", 515.0)], "run_id string, number long, at double, selected double, source string, matched double")
+    bounds = spark.createDataFrame([("a", 1, 500.0, 520.0, ["gap"]), ("a", 2, 520.0, 600.0, [])], "run_id string, number long, at double, selected double, overridden array<string>")
+    times = {"candidates": [10.0, 40.0, 300.0, 500.0, 515.0, 520.0], "initial": [10.0, 300.0, 500.0], "pre_collapse": [10.0, 300.0, 500.0, 520.0], "final": [40.0, 300.0, 500.0]}
+    points = spark.createDataFrame([("a", side, t) for side, ts in times.items() for t in ts], "run_id string, side string, t double")
+    groups = spark.createDataFrame([("a", 1, 500.0, 500.0), ("a", 1, 520.0, 500.0)], "run_id string, group_no long, t double, representative double")
+    windows = visual_runs.trace_windows(low, bounds, 180.0)
+    rows = visual_runs.trace(windows, points, groups).orderBy("k").collect()
+    assert [r.window for r in rows] == ["auto_low_content_001", "auto_low_content_002", "auto_low_content_003", "auto_boundary_override_001"]
+    assert [(r.candidates_presence, r.initial_presence, r.pre_collapse_presence, r.final_presence) for r in rows] == [(True, False, False, True), (False,) * 4, (True, False, True, True), (True, False, True, True)]
+    assert [r.cause for r in rows] == ["initial_selection_miss", "human_review_ambiguity", "group_boundary_miss", "group_boundary_miss"]
+    assert (rows[0].candidates_times, rows[0].initial_times, rows[3].pre_collapse_times) == ([10.0, 40.0], [10.0], [500.0, 520.0])
+    assert (rows[2].group_no, rows[2].representative_time, rows[2].covering_representative_time) == (1, 500.0, 500.0)
+    assert (rows[1].representative_time, rows[1].sampling_miss, rows[0].covering_representative_time) == (None, True, None)
+    short = visual_runs.trace(windows, points, groups, most=2).collect()
+    assert len(short) == 2 and all(r.n_all == 4 and r.truncated for r in short)
+
+
+def test_visual_report(spark):
+    rows = [("a", k, 10.0 * k, d) for k, d in enumerate(["first_accepted_frame", "quality_rejected", "duplicate_suppressed", "duplicate_fuller_state_update", "visual_difference_threshold"])]
+    counts = visual_runs.selection_counts(spark.createDataFrame(rows, "run_id string, id long, t double, decision string"), most=2)
+    r = counts.first()
+    assert (r.scanned_frame_count, r.valid_frame_count, r.duplicate_suppressed_count, r.stable_segment_count, r.max_keyframes_reached) == (5, 4, 2, 2, True)
+    assert ([x.id for x in r.update_samples], [x.id for x in r.rejected_samples]) == ([3], [1])
+    bounds = visual_runs.boundary_counts(spark.createDataFrame([("a", ["gap", "title"]), ("a", ["gap"]), ("a", [])], "run_id string, reasons array<string>"))
+    b = bounds.first()
+    assert (b.join_count, b.break_count, b.break_reasons) == (1, 2, {"gap": 2, "title": 1})
+    runs = spark.createDataFrame([("a", "v", False, None, ["x", "b", "x", None]), ("b", None, True, "MissingVideo", None)], "run_id string, video_path string, smoke_test boolean, error_type string, warnings array<string>")
+    held = visual_runs.report(runs, [counts, bounds], options.visual({}))
+    got = {r.run_id: r for r in held.collect()}
+    assert (got["a"].status, got["a"].warnings, got["a"].join_count) == ("success", ["b", "x"], 1)
+    assert (got["b"].status, got["b"].stable_segment_count, got["b"].thresholds.min_sharpness_score) == ("failed", 0, 1.5)
+    documents = visual_runs.segment_documents(held, spark.createDataFrame([("a", 5.0, 9.0, "k2"), ("a", 0.0, 5.0, "k1"), ("b", 0.0, 1.0, "k")], "run_id string, s double, e double, keyframe string"))
+    assert {r.run_id: ([x.keyframe for x in r.segments], r.segment_count) for r in documents.collect()} == {"a": (["k1", "k2"], 2), "b": ([], 0)}
+    files = visual_runs.keyframe_files(spark.createDataFrame([("a", 8, 12.5), ("a", 9, 3.25)], "run_id string, id long, t double"))
+    assert [r.file for r in files.orderBy("number").collect()] == ["keyframe_0001_t000003.250.jpg", "keyframe_0002_t000012.500.jpg"]
+
+
+def test_changed_sources(spark):
+    make = lambda rows: visual_runs.source_hashes(spark.createDataFrame(rows, "run_id string, name string, content binary"))
+    before = make([("a", "x", b"1"), ("a", "y", b"2"), ("b", "x", b"3")])
+    assert visual_runs.changed_sources(before, before).collect() == []
+    found = visual_runs.changed_sources(before, make([("a", "x", b"1"), ("a", "y", b"9"), ("b", "z", b"3")])).collect()
+    assert sorted(map(tuple, found)) == [("a", "y"), ("b", "x"), ("b", "z")]
