@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, regions, transcription, visual_runs
+from tidemark import jobs
+from tidemark.operators import folds, gates, regions, transcription, visual_runs
 from tidemark.sources import options
 
 
@@ -158,3 +159,47 @@ def test_changed_sources(spark):
     assert visual_runs.changed_sources(before, before).collect() == []
     found = visual_runs.changed_sources(before, make([("a", "x", b"1"), ("a", "y", b"9"), ("b", "z", b"3")])).collect()
     assert sorted(map(tuple, found)) == [("a", "y"), ("b", "x"), ("b", "z")]
+
+
+FRAMES = "run_id string, id long, t double, hist array<double>, hash array<int>, title array<int>, slide array<int>, content double, detail double, layout double, ok boolean"
+
+
+def test_visual_job(spark, tmp_path):
+    def frame(run, k, t, kind, full, ok=True):
+        bits = [int(kind >> b & 1) for b in range(8)] * 2
+        return (run, k, t, [float(kind == b) for b in range(8)], bits, bits[:4], bits, full, full, full, ok)
+
+    rows = [frame("a", 1, 0.0, 1, 0.05), frame("a", 2, 10.0, 1, 0.05, ok=False), frame("a", 3, 30.0, 1, 0.6), frame("a", 4, 60.0, 6, 0.5), frame("a", 5, 200.0, 6, 0.5), frame("b", 6, 0.0, 1, 0.5, ok=False), frame("c", 7, 0.0, 1, 0.5)]
+    runs = spark.createDataFrame([("a", "v", False, 240.0, None, None), ("b", "v", False, 9.0, None, ["w"]), ("c", None, False, None, "MissingVideo", None)], "run_id string, video_path string, smoke_test boolean, duration double, error_type string, warnings array<string>")
+    got = jobs.visual(runs, spark.createDataFrame(rows, FRAMES), options.visual({}), str(tmp_path))
+    assert [(r.id, r.covered, r.number) for r in got["keyframes"].orderBy("t").collect()] == [(3, [0.0, 30.0], 1), (4, [60.0, 200.0], 2)]
+    assert [(r.s, r.e) for r in got["segments"].orderBy("s").collect()] == [(30.0, 60.0), (60.0, 240.0)]
+    held = {r.run_id: r for r in got["reports"].collect()}
+    assert {k: (r.status, r.error_type, r.frame_count, r.keyframe_count, r.quality_rejected_count) for k, r in held.items()} == {"a": ("success", None, 5, 2, 1), "b": ("failed", "NoKeyframes", 1, 0, 1), "c": ("failed", "MissingVideo", 1, 0, 0)}
+    assert {r.run_id: r.segment_count for r in got["documents"].collect()} == {"a": 2, "b": 0, "c": 0}
+    assert got["trace"].count() == 0 and got["boundaries"].count() == 1
+
+
+def test_content_map_job(spark):
+    """Four visual segments ten seconds apart, two transcript rows each, from the gates to the outline; a run whose transcript ids repeat is refused."""
+    t, v, f = [], [], []
+    for run in ("good", "twice"):
+        for i in range(4):
+            t += [(run, 2 * i + o, 1 if run == "twice" else 2 * i + o + 1, 10.0 * i + 5 * o, 10.0 * i + 5 * o + 4, f"Excerpt {i} {o}") for o in range(2)]
+            v.append((run, i, i + 1, 10.0 * i, 10.0 * i + 10, f"k{i}.jpg"))
+            f.append((run, i + 1, 10.0 * i, [1.0, 0.0], [1, 0], 0.5 + i / 100, 0.1))
+    runs = spark.createDataFrame([("good", "success", False), ("twice", "success", False)], "run_id string, status string, smoke_test boolean")
+    transcript = spark.createDataFrame(t, "run_id string, pos long, id long, s double, e double, text string")
+    visual = spark.createDataFrame(v, "run_id string, pos long, id long, s double, e double, keyframe_path string")
+    features = spark.createDataFrame(f, "run_id string, seg_id long, t double, hist array<double>, hash array<int>, content double, detail double")
+    aligned, reports = gates.align_runs(runs, transcript, visual)
+    r = reports.where("run_id = 'good'").first()
+    assert (r.transcript_count, r.visual_count, r.coverage.end_ratio, r.gap_summary.transcript_gap_count, r.gap_summary.largest_transcript_gap, r.warnings) == (8, 4, round(40 / 39, 6), 7, 1.0, [])
+    got = jobs.content_maps(aligned, reports, transcript, visual, features, options.content_map({"content_unit_min_transcript_chars": 20}))
+    units = got["units"].collect()
+    assert [(u.run_id, u.unit_no, u.selected, len(u.dropped), u.points) for u in units] == [("good", 1, 4, 3, ["too_many_candidates", "visual_change_little_text"])]
+    assert [(r.run_id, r.error_type) for r in got["errors"].collect()] == [("twice", "DuplicateTranscriptSegment")]
+    assert got["requests"].count() == 1 and got["prompt_packs"].first().item_count == 1 and got["summaries"].first().dropped_keyframe_count == 3
+    assert got["outlines"].first().markdown.startswith("## Topic 001") and "rapid_visual_burst" in got["review_reports"].first().markdown
+    with pytest.raises(options.UnsupportedBackend):
+        jobs.content_maps(aligned, reports, transcript, visual, features, options.content_map({"content_generation_backend": "other", "llm_api_key_env": "X"}))

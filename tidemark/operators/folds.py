@@ -22,14 +22,17 @@ LONGEST = 5_000_000
 
 
 def per_run(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str, order: list[str]) -> DataFrame:
-    """fold over the rows of each run_id, sorted by order; its rows get the run's id."""
+    """fold over the rows of each run_id, sorted by order; its rows get the run's id, of whatever type it is (the schema says long)."""
     names = [part.split()[0] for part in schema.split(", ")]
+    schema = schema.replace("run_id long", f"run_id {rows.schema['run_id'].dataType.simpleString()}")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) > LONGEST:
             raise ValueError(f"a run of {len(group)} rows is no recording")
         found = fold(group.sort_values(order, kind="stable").to_dict("records"))
-        return pd.DataFrame([{**row, "run_id": group["run_id"].iloc[0]} for row in found], columns=names)
+        run_id = group["run_id"].iloc[0]
+        # columns of objects, so that what a row lacks is null and no number turns into a float
+        return pd.DataFrame({name: pd.Series([run_id if name == "run_id" else row.get(name) for row in found], dtype=object) for name in names})
 
     return rows.groupBy("run_id").applyInPandas(run, schema)
 

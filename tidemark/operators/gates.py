@@ -60,9 +60,32 @@ def align_runs(runs: DataFrame, transcript: DataFrame, visual: DataFrame, neares
     v = numbered(visual).withColumns({"seg_id": F.col("id"), "idx": F.col("pos"), "at": F.col("s")}).join(passed, "run_id", "left_semi")
     aligned = timeline.align(t, v, nearest, max(nearest, 60)).withColumnsRenamed({"seg_id": "transcript_index", "visual_id": "matched_visual_segment_id"})
     counts = aligned.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("confidence") == "none").alias("unaligned_count"), F.count_if(F.col("confidence") == "low").alias("low_confidence_count"))
-    reports = runs.select("run_id").join(errors, "run_id", "left").join(counts, "run_id", "left")
-    failed = F.col("error_type").isNotNull()
-    return aligned, reports.select("run_id", F.when(failed, "failed").otherwise("success").alias("status"), F.lit(METHOD).alias("method"), "error_type", "error_pos", (F.col("n_rows") - F.col("unaligned_count")).alias("aligned_count"), "unaligned_count", "low_confidence_count")
+    size = lambda rows, name: rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    reports = runs.select("run_id").join(errors, "run_id", "left").join(counts, "run_id", "left").join(size(transcript, "n_transcript"), "run_id", "left").join(size(visual, "n_visual"), "run_id", "left")
+    spans = timeline.coverage(transcript.withColumn("seg_id", F.col("pos")), visual.withColumn("seg_id", F.col("pos")))
+    end_ratio = F.round(F.try_divide("visual_end", "transcript_end"), 6).alias("end_ratio")
+    spans = spans.select("run_id", F.struct(*[c for c in spans.columns if c != "run_id"], end_ratio).alias("coverage"))
+    gap = lambda rows, side: timeline.gaps(rows.withColumn("seg_id", F.col("pos"))).withColumnsRenamed({"gap_count": f"{side}_gap_count", "max_gap": f"largest_{side}_gap"})
+    gaps = gap(transcript, "transcript").join(gap(visual, "visual"), "run_id", "left")
+    gaps = gaps.select("run_id", F.struct(*[c for c in gaps.columns if c != "run_id"]).alias("gap_summary"))
+    reports = reports.join(spans, "run_id", "left").join(gaps, "run_id", "left")
+    failed, none = F.col("error_type").isNotNull(), F.lit(0).cast("long")
+    warnings = F.array_compact(F.array(F.when(F.col("unaligned_count") > 0, "some transcript segments are unaligned"), F.when(F.col("low_confidence_count") > 0, "some alignments have low confidence")))
+    return aligned, reports.select(
+        "run_id",
+        F.when(failed, "failed").otherwise("success").alias("status"),
+        F.lit(METHOD).alias("method"),
+        "error_type",
+        "error_pos",
+        F.coalesce("n_transcript", none).alias("transcript_count"),
+        F.coalesce("n_visual", none).alias("visual_count"),
+        (F.col("n_rows") - F.col("unaligned_count")).alias("aligned_count"),
+        "unaligned_count",
+        "low_confidence_count",
+        "coverage",
+        F.when(~failed, F.col("gap_summary")).alias("gap_summary"),
+        F.coalesce(F.when(~failed, warnings), F.array().cast("array<string>")).alias("warnings"),
+    )
 
 
 def content_map_violations(reports: DataFrame, aligned: DataFrame, transcript: DataFrame, visual: DataFrame) -> DataFrame:
@@ -73,5 +96,6 @@ def content_map_violations(reports: DataFrame, aligned: DataFrame, transcript: D
     held = aligned.join(known_t, ["run_id", "transcript_index"], "left").join(known_v, ["run_id", "matched_visual_segment_id"], "left").withColumn("pos", F.col("transcript_index"))
     a = violations(held, [("UnknownTranscriptSegment", F.col("t").isNull()), ("UnknownVisualSegment", F.col("v").isNull()), ("LowConfidence", F.col("confidence").isin("low", "none"))], 10)
     lost = known_t.join(aligned, ["run_id", "transcript_index"], "left_anti").withColumn("pos", F.col("transcript_index"))
-    again = numbered(visual).groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"))
-    return reduce(DataFrame.unionByName, [r, a, violations(lost, [("TranscriptNotAligned", F.lit(True))], 20), violations(again, [("DuplicateVisualSegment", F.col("n") > 1)], 30)])
+    again = lambda rows: numbered(rows).groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"))
+    twice = violations(again(visual), [("DuplicateVisualSegment", F.col("n") > 1)], 30).unionByName(violations(again(transcript), [("DuplicateTranscriptSegment", F.col("n") > 1)], 31))
+    return reduce(DataFrame.unionByName, [r, a, violations(lost, [("TranscriptNotAligned", F.lit(True))], 20), twice])
