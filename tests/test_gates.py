@@ -65,3 +65,20 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nHello\n")
     assert main(["subtitles", str(tmp_path / "a.vtt"), str(tmp_path / "cues")]) == 0
     assert spark.read.parquet(str(tmp_path / "cues")).first().text == "Hello"
+
+
+def test_command_line_of_content_maps(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    runs, t, v = [df.where("run_id IN ('good', 'failed')") for df in tables(spark)]
+    features = v.selectExpr("run_id", "pos + 1 AS seg_id", "s AS t", "array(1D) AS hist", "array(1) AS hash", "0.5D AS content", "0.1D AS detail")
+    paths = {name: str(tmp_path / name) for name in ("runs", "transcript", "visual", "features")}
+    for path, df in zip(paths.values(), (runs, t, v, features), strict=True):
+        df.write.parquet(path)
+    (tmp_path / "settings.yaml").write_text("video_url: u\nrun_id: r\noutput_dir: o\ngenerate_lecture_handout: no\n")
+    aligned, out = str(tmp_path / "aligned"), str(tmp_path / "out")
+    assert main(["align", paths["runs"], paths["transcript"], paths["visual"], aligned]) == 1
+    assert main(["content-map", str(tmp_path / "settings.yaml"), aligned, paths["transcript"], paths["visual"], paths["features"], out]) == 1
+    assert [r.run_id for r in spark.read.parquet(f"{out}/units").collect()] == ["good"]
+    assert [r.error_type for r in spark.read.parquet(f"{out}/errors").collect()] == ["AlignmentFailed"]
+    assert spark.read.parquet(f"{out}/outlines").count() == 0

@@ -1,8 +1,13 @@
-"""Command line: ``python -m tidemark subtitles|align|outline``, each a Spark job from tables to tables.
+"""Command line: ``python -m tidemark subtitles|align|visual|content-map|outline``, each a Spark job from tables to tables.
 
 * ``subtitles IN OUT`` parses subtitle files into a table of cues.
 * ``align RUNS TRANSCRIPT VISUAL OUT`` runs the gates, aligns the runs that pass and
   writes ``alignment`` (by run) and ``reports``; the exit code is 1 if any run failed.
+* ``visual SETTINGS RUNS FRAMES OUT`` selects keyframes and writes ``keyframes``, ``segments``,
+  ``trace``, ``boundaries``, ``reports`` and ``documents``; the exit code is 1 if any run failed.
+* ``content-map SETTINGS ALIGNED TRANSCRIPT VISUAL FEATURES OUT`` (ALIGNED: the output of
+  ``align``) writes ``units``, ``requests``, ``review_reports``, ``outlines`` and the rest;
+  the exit code is 1 if a run was refused.
 * ``outline UNITS OUT`` writes a Markdown outline for each run.
 """
 
@@ -11,34 +16,57 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from . import jobs
 from .operators import gates, reports
-from .sources import artifacts, subtitles
+from .sources import artifacts, config, options, subtitles
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tidemark", description=__doc__.splitlines()[0])
-    jobs = out.add_subparsers(dest="job", required=True)
-    held = jobs.add_parser("subtitles")
+    parts = out.add_subparsers(dest="job", required=True)
+    held = parts.add_parser("subtitles")
     held.add_argument("source")
     held.add_argument("out")
     held.add_argument("--keep-numbers", action="store_true", help="keep SubRip cue numbers in the text")
-    held = jobs.add_parser("align")
+    held = parts.add_parser("align")
     for name in ("runs", "transcript", "visual", "out"):
         held.add_argument(name)
     held.add_argument("--nearest", type=int, default=30, help="seconds within which a nearest segment still matches")
-    held = jobs.add_parser("outline")
+    held = parts.add_parser("visual")
+    for name in ("settings", "runs", "frames", "out"):
+        held.add_argument(name)
+    held.add_argument("--frame-interval", type=float)
+    held.add_argument("--smoke-seconds", type=float)
+    held.add_argument("--max-keyframes", type=int)
+    held = parts.add_parser("content-map")
+    for name in ("settings", "aligned", "transcript", "visual", "features", "out"):
+        held.add_argument(name)
+    held = parts.add_parser("outline")
     held.add_argument("units")
     held.add_argument("out")
     return out
 
 
+def written(tables: dict[str, DataFrame], out: str) -> None:
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{out}/{name}")
+
+
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"tidemark {a.job}").getOrCreate()
     if a.job == "subtitles":
         subtitles.read(spark, a.source, keep_numbers=a.keep_numbers).write.mode("overwrite").parquet(a.out)
+    elif a.job == "visual":
+        found = options.visual(config.load(a.settings), a.frame_interval, a.smoke_seconds, a.max_keyframes)
+        written(jobs.visual(spark.read.parquet(a.runs), spark.read.parquet(a.frames), found, a.out), a.out)
+        return int(not spark.read.parquet(f"{a.out}/reports").where("status = 'failed'").isEmpty())
+    elif a.job == "content-map":
+        paths = (f"{a.aligned}/alignment", f"{a.aligned}/reports", a.transcript, a.visual, a.features)
+        written(jobs.content_maps(*[spark.read.parquet(p) for p in paths], options.content_map(config.load(a.settings))), a.out)
+        return int(not spark.read.parquet(f"{a.out}/errors").isEmpty())
     elif a.job == "outline":
         reports.outline(spark.read.parquet(a.units)).write.mode("overwrite").parquet(a.out)
     else:
