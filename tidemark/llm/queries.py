@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown, line_runs, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
+from . import brown, line_runs, merkle, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
 from .common import saved, table, work_dir
 from .tokens import default_vocabulary
 
@@ -81,7 +81,18 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", brown.held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm)} | {"pipeline": corpus_pipeline.run}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.digest(*[merkle.field(F.col(c) + 1 if c == "n_chars" else F.col(c)) for c in fields])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    held = merkle.manifest(docs, work_dir(spark), fields, "lang", "doc_id", {"doc_id": F.col("doc_id"), "tampered": F.when(hit, tampered)})
+    root = merkle.folded(F.coalesce("tampered", "leaf"))
+    held = held.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), root.alias("folded_root"))
+    return held.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm, op11_merkle)} | {"pipeline": corpus_pipeline.run}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -126,5 +137,29 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_
        CASE WHEN g.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
 FROM p LEFT JOIN g ON p.html = g.html
+""",
+    "op11_merkle": """
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+      coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+      list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda b, i: xor(b >> 1, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM documents),
+d AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || tail) AS leaf,
+      CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') || tail) END AS tampered FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT lang, n, 0 AS level, k, leaf AS h FROM r
+      UNION ALL SELECT lang, n, level + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)) FROM t WHERE n > (1 << level) GROUP BY lang, n, level, k // 2),
+s AS (SELECT *, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM (SELECT lang, arg_max(h, level) AS subroot FROM t GROUP BY lang)),
+u AS (SELECT n, 0 AS level, k, subroot AS h FROM s
+      UNION ALL SELECT n, level + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)) FROM u WHERE n > (1 << level) GROUP BY n, level, k // 2),
+root AS (SELECT arg_max(h, level) AS root FROM u),
+above AS (SELECT s.lang, list(CASE WHEN u.h IS NULL THEN 'N' WHEN (s.k >> e.level) % 2 = 1 THEN 'L' || u.h ELSE 'R' || u.h END ORDER BY e.level) AS up
+      FROM s JOIN (SELECT DISTINCT level FROM u) e ON s.n > (1 << e.level) LEFT JOIN u ON u.level = e.level AND u.k = xor(s.k >> e.level, 1) GROUP BY s.lang),
+own AS (SELECT r.lang, r.k, list(CASE WHEN t.h IS NULL THEN 'N' WHEN (r.k >> e.level) % 2 = 1 THEN 'L' || t.h ELSE 'R' || t.h END ORDER BY e.level) AS up
+      FROM r JOIN (SELECT DISTINCT level FROM t) e ON r.n > (1 << e.level) LEFT JOIN t ON t.lang IS NOT DISTINCT FROM r.lang AND t.level = e.level AND t.k = xor(r.k >> e.level, 1) GROUP BY r.lang, r.k),
+p AS (SELECT r.*, s.subroot, root.root, coalesce(own.up, []) || coalesce(above.up, []) AS up FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang CROSS JOIN root
+      LEFT JOIN own ON own.lang IS NOT DISTINCT FROM r.lang AND own.k = r.k LEFT JOIN above ON above.lang IS NOT DISTINCT FROM r.lang),
+g AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(up, lambda x: x[2:]), '')) AS proof_sha256,
+      list_reduce(list_prepend(coalesce(tampered, leaf), up), lambda h, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || h WHEN 'R' THEN h || x[2:] ELSE h END)) AS folded_root FROM p)
+SELECT *, folded_root = root AS verified FROM g
 """,
 }
