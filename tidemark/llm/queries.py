@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown, line_runs, merkle, mixing, packing, pu_quality, quality, simhash, token_store, voronoi, warc
+from . import brown, line_runs, merkle, mixing, packing, pu_quality, quality, simhash, token_store, trie_join, voronoi, warc
 from .common import saved, table, work_dir
 from .tokens import default_vocabulary
 
@@ -92,7 +92,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm, op11_merkle)} | {"pipeline": corpus_pipeline.run}
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.similar_documents(table(spark, sf_dir, "documents"), work_dir(spark), width=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm, op11_merkle, op12_jaccard)} | {"pipeline": corpus_pipeline.run}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -161,5 +165,16 @@ p AS (SELECT r.*, s.subroot, root.root, coalesce(own.up, []) || coalesce(above.u
 g AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(up, lambda x: x[2:]), '')) AS proof_sha256,
       list_reduce(list_prepend(coalesce(tampered, leaf), up), lambda h, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || h WHEN 'R' THEN h || x[2:] ELSE h END)) AS folded_root FROM p)
 SELECT *, folded_root = root AS verified FROM g
+""",
+    "op12_jaccard": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS h FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.r <> y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT a, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = b GROUP BY a) c ON c.a = d.r
 """,
 }
