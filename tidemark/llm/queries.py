@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown, line_runs, merkle, mixing, packing, pu_quality, quality, simhash, token_store, trie_join, voronoi, warc
+from . import brown, line_runs, merkle, mixing, packing, phrases, pu_quality, quality, simhash, token_store, trie_join, voronoi, warc
 from .common import saved, table, work_dir
 from .tokens import default_vocabulary
 
@@ -96,7 +96,11 @@ def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.similar_documents(table(spark, sf_dir, "documents"), work_dir(spark), width=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm, op11_merkle, op12_jaccard)} | {"pipeline": corpus_pipeline.run}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), work_dir(spark), least=100, longest=5, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_store, op3_top_k, op4_quality_rules, op5_pack, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_warc, op10_class_lm, op11_merkle, op12_jaccard, op13_phrases)} | {"pipeline": corpus_pipeline.run}
 
 _SPACES = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -176,5 +180,21 @@ l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >
 reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT a, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = b GROUP BY a) c ON c.a = d.r
+""",
+    "op13_phrases": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM i, range(1, 6) AS r(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE k > 1 AND f >= 100),
+kept AS (SELECT * FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.k > x.k AND 100 * y.a >= 100 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+cut AS (SELECT lang, phrase, a, v, k, unnest(range(1, k)) AS j FROM kept),
+s AS (SELECT cut.*, l.f AS l, r.f AS r, n.n, CAST((CAST(a AS HUGEINT) * n.n * 1000) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(v[:j], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(v[j + 1:], ' ') JOIN n ON n.lang = cut.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
 """,
 }
