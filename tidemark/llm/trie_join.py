@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import joined_to_facts, saved, text_of
@@ -45,6 +46,10 @@ from .word_windows import parts, shingle_sets
 
 #: Windows of the sets that meet in one group, one pair of sets at least.
 CROWD = 2_000_000
+#: Sets whose texts' keys (40 bytes each) are sent to the texts, at most.
+SENT = 200_000
+#: Windows that a task looks through for such as it has twice.
+LOCAL = 8_000_000
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -60,7 +65,7 @@ def _first(n: int | np.ndarray, percent: int) -> tuple[int | np.ndarray, int | n
 
 
 def marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, t (the text's MD5), n (windows in its set), s (the set's MD5; null without words) and head (its smallest windows) of each row."""
+    """doc_id, t (the text's MD5), n (windows in its set), key (the set's MD5; null without words) and head (its smallest windows) of each row."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of())).alias("t"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,15 +79,18 @@ def marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ends = pa.array(np.concatenate(([0], np.cumsum(heads))), pa.int32())
                 head = pa.ListArray.from_arrays(ends, pa.array(values[inside].view(np.int64)))
                 own = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), head], ["doc_id", "t", "n", "s", "head"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), head], ["doc_id", "t", "n", "key", "head"])
 
-    return held.mapInArrow(run, "doc_id long, t binary, n long, s binary, head array<long>")
+    return held.mapInArrow(run, "doc_id long, t binary, n long, key binary, head array<long>")
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     """s, n and h (all windows) of each of chosen (s, doc_id, t), from the texts."""
     held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.unhex(F.md5(text_of())).alias("t"), text_of().alias("text"))
-    held = held.join(chosen.select("s", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "t"), ["doc_id", "t"]).select("s", "text")
+    chosen = chosen.select("s", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "t")
+    # few enough go to the texts; else the texts are shuffled
+    chosen = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    held = held.join(chosen, ["doc_id", "t"]).select("s", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +100,7 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offsets) - 1), pa.array(np.diff(starts), pa.int64()), lists], ["s", "n", "h"])
 
     # equal rows give a set more than once
-    return held.mapInArrow(run, "s binary, n long, h array<long>").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"))
+    return held.mapInArrow(run, "s long, n long, h array<long>").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"))
 
 
 def _ceiled(n: str, percent: int) -> str:
@@ -101,9 +109,40 @@ def _ceiled(n: str, percent: int) -> str:
 
 def possible(sets: DataFrame, percent: int) -> DataFrame:
     """The rows of sets (s, n, head) that may have a partner."""
-    heads = sets.select("s", F.explode("head").alias("h"))
-    twice = heads.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    shared = heads.join(twice, "h", "left_semi").groupBy("s").agg(F.count(F.lit(1)).alias("shared"))
+
+    def combined(names: np.ndarray, heads: list[pa.Array]) -> pa.RecordBatch:
+        """(h, s, c): windows of one set here (c 1), windows of several, without a set (c 2), and how many of the latter each set has (-c)."""
+        sizes = np.concatenate([pc.list_value_length(x).to_numpy() for x in heads])
+        values = np.concatenate([x.flatten().to_numpy() for x in heads])
+        owner = np.repeat(np.arange(len(names)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        new = np.append(True, values[1:] != values[:-1])[: len(values)]
+        single = new & np.append(new[1:], True)[: len(values)]
+        again = np.bincount(owner[~single], minlength=len(names))
+        has = again > 0
+        h = np.concatenate([values[single], values[new & ~single], names[has]])
+        s = np.concatenate([names[owner[single]], np.full(int((new & ~single).sum()), -1), names[has]])
+        c = np.concatenate([np.ones(int(single.sum()), np.int32), np.full(int((new & ~single).sum()), 2, np.int32), -again[has].astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(c)], ["h", "s", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, heads, size = [], [], 0
+        for batch in batches:
+            names.append(batch.column(0).to_numpy())
+            heads.append(batch.column(1))
+            size += len(heads[-1].flatten())
+            if size > LOCAL:
+                yield combined(np.concatenate(names), heads)
+                names, heads, size = [], [], 0
+        if names:
+            yield combined(np.concatenate(names), heads)
+
+    # a window that many sets have comes once from each task, so that none meets more than a row a task
+    rows = sets.select("s", "head").mapInArrow(run, "h long, s long, c int")
+    seen = F.sum(F.greatest("c", F.lit(0))).over(W.partitionBy("h"))
+    rows = rows.withColumn("seen", seen).where("c < 0 OR (seen > 1 AND s >= 0)")
+    shared = rows.groupBy("s").agg(F.sum(F.greatest(-F.col("c"), F.lit(1))).alias("shared"))
     least = _ceiled("n", percent)  # the fewest windows of a partner
     return sets.drop("head").join(shared, "s").where(f"shared >= 1 + ({least} - {_ceiled(f'({least})', percent)} + 1) div 2").drop("shared")
 
@@ -136,7 +175,7 @@ def groups(ordered: DataFrame, percent: int, path: str) -> DataFrame:
     block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     met = met.withColumn("block", block).select("s", "h", F.explode(pairs).alias("x"))
-    return small.union(met.select(F.unhex(F.md5(F.concat_ws(" ", "h", "x.i", "x.j"))).alias("g"), "s"))
+    return small.union(met.select(F.xxhash64("h", "x.i", "x.j").alias("g"), "s"))
 
 
 class Tree:
@@ -262,26 +301,26 @@ def links(ordered: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         names, lists = group.column("s").to_pylist(), group.column("h")
         starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         found = forest(pc.list_flatten(lists).to_numpy(), starts, group.column("n").to_numpy(), percent) if len(names) > 1 else []
-        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()), "b": pa.array([names[y] for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.int64()), "b": pa.array([names[y] for _, y in found], pa.int64())})
 
-    return members.join(ordered, "s").select("g", "s", "n", "h").groupBy("g").applyInArrow(run, "a binary, b binary")
+    return members.join(ordered, "s").select("g", "s", "n", "h").groupBy("g").applyInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, path: str, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs. path: a new folder that all executors share."""
     rows = saved(marks(docs, width, percent), f"{path}/marks")
-    with_words = rows.where("s IS NOT NULL")
+    with_words = rows.where("key IS NOT NULL")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("one")
-    sets = with_words.groupBy("s").agg(one, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"))
-    sets = saved(sets.select("s", "one.doc_id", "one.t", "n", "copies", "head"), f"{path}/sets")
-    left = possible(sets, percent)
+    sets = with_words.groupBy("key").agg(one, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"))
+    sets = saved(sets.select(F.monotonically_increasing_id().alias("s"), "key", "one.doc_id", "one.t", "n", "copies", "head"), f"{path}/sets")
+    left = saved(possible(sets.drop("key", "copies"), percent), f"{path}/left")
     whole = saved(whole_sets(docs, left, width), f"{path}/whole")
     ordered = saved(in_order(whole, percent), f"{path}/ordered")
     linked = saved(links(ordered, groups(ordered, percent, path), percent), f"{path}/links")
     labels = components(linked, f"{path}/components").withColumnRenamed("node", "s")
-    named = sets.select("s", "doc_id", "copies").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    named = sets.select("s", "key", "doc_id", "copies").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = saved(named.join(least, "label").select("s", "component_id", "copies"), f"{path}/classes")
-    joined = joined_to_facts(with_words.select("doc_id", "n", "s"), classes, ["s"], with_words.count())
-    alone = rows.where("s IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    classes = saved(named.join(least, "label").select("key", "component_id", "copies"), f"{path}/classes")
+    joined = joined_to_facts(with_words.select("doc_id", "n", "key"), classes, ["key"], with_words.count())
+    alone = rows.where("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
