@@ -1,4 +1,4 @@
-"""Folds that fit Spark's higher-order functions: greedy chunks, topic groups and text budgets, all in the JVM."""
+"""Greedy chunks of timed items, and text budgets."""
 
 from __future__ import annotations
 
@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import chains
 
 
-def chunk_numbers(items: Column, longest: float, most: int | None = None, start: str = "long") -> Column:
-    """For an array of structs (s, e, ...) in order, the chunk of each, from 1: a new one where an item would end over ``longest`` after its chunk's start, or the chunk has ``most`` items. start: the type of s."""
-    state = F.struct(F.lit(0).alias("k"), F.lit(0).cast(start).alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+def chunks(rows: DataFrame, keys: list[str], longest: float, most: int | None = None) -> DataFrame:
+    """(keys, chunk, s, e, n) of rows (keys, s, e, seg_id), by start within each key; see :func:`chains.chunked`."""
+    each = chains.chunked(rows, keys, longest, most)
+    return each.groupBy(*keys, "chunk").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
 
-    def step(held: Column, item: Column) -> Column:
-        new = (held["k"] == 0) | (item["e"] - held["s"] > longest)
-        if most is not None:
-            new = new | (held["n"] >= most)
-        k = F.when(new, held["k"] + 1).otherwise(held["k"])
-        return F.struct(k.alias("k"), F.when(new, item["s"]).otherwise(held["s"]).alias("s"), F.when(new, 1).otherwise(held["n"] + 1).alias("n"), F.concat(held["out"], F.array(k)).alias("out"))
 
-    return F.aggregate(items, state, step, lambda held: held["out"])
+#: Items of an open part of a list that a fold grows.
+PART = 512
 
 
-def chunks(rows: DataFrame, keys: list[str], longest: float, most: int | None = None) -> DataFrame:
-    """(keys, chunk, s, e, n) of rows (keys, s, e, seg_id), by start within each key."""
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "seg_id", "e"))).alias("items"))
-    numbered = held.withColumn("k", chunk_numbers(F.col("items"), longest, most))
-    each = numbered.select(*keys, F.explode(F.arrays_zip("items", "k")).alias("x"))
-    return each.groupBy(*keys, F.col("x.k").cast("long").alias("chunk")).agg(F.min("x.items.s").alias("s"), F.max("x.items.e").alias("e"), F.count(F.lit(1)).alias("n"))
+def grown(kind: str) -> Column:
+    """An empty list of a fold's results, of this type, that grows in parts: adding an item copies the open part alone, so a fold over n items takes n * PART copies at most, not n * n."""
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+
+
+def added(held: Column, item: Column) -> Column:
+    """A grown list with one more item."""
+    whole = F.struct(F.concat(held["full"], F.array(held["open"])).alias("full"), F.array(item).alias("open"))
+    return F.when(F.size(held["open"]) >= PART, whole).otherwise(F.struct(held["full"].alias("full"), F.concat(held["open"], F.array(item)).alias("open")))
+
+
+def listed(held: Column) -> Column:
+    """A grown list as an array."""
+    return F.flatten(F.concat(held["full"], F.array(held["open"])))
 
 
 def within_budget(texts: Column, each: int, whole: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import budgets, folds
+from . import budgets, chains, folds
 
 # Fixed values of the format
 REQUEST_SCHEMA = "handout_prompt_pack_v1"
@@ -28,7 +28,7 @@ GROUNDING_RULES = (
 def _merge_numbers(blocks: Column, o: folds.Options) -> Column:
     """For an array of blocks (visual, chunk, s, e, chars) in order, the unit of each, from 1: neighbours stay together while they may."""
     zero = F.lit(0.0)
-    state = F.struct(F.lit(0).alias("k"), zero.alias("s"), zero.alias("e"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("visual"), F.array().cast("array<int>").alias("out"))
+    state = F.struct(F.lit(0).alias("k"), zero.alias("s"), zero.alias("e"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("visual"), budgets.grown("int").alias("out"))
 
     def step(held: Column, b: Column) -> Column:
         duration = b["e"] - held["s"]
@@ -42,10 +42,10 @@ def _merge_numbers(blocks: Column, o: folds.Options) -> Column:
             F.when(joins, F.greatest(held["e"], b["e"])).otherwise(b["e"]).alias("e"),
             (F.when(joins, held["chars"]).otherwise(0) + b["chars"]).alias("chars"),
             b["visual"].alias("visual"),
-            F.concat(held["out"], F.array(k)).alias("out"),
+            budgets.added(held["out"], k).alias("out"),
         )
 
-    return F.aggregate(blocks, state, step, lambda held: held["out"])
+    return F.aggregate(blocks, state, step, lambda held: budgets.listed(held["out"]))
 
 
 def units(items: DataFrame, o: folds.Options) -> DataFrame:
@@ -53,9 +53,7 @@ def units(items: DataFrame, o: folds.Options) -> DataFrame:
 
     visual is the position of the matched visual segment in its run, visual_id its id. items holds the unit's segments in
     order, visuals its distinct visual ids in order."""
-    held = items.groupBy("run_id", "visual").agg(F.array_sort(F.collect_list(F.struct("s", "seg_id", "e", "chars", "text", "visual_id"))).alias("items"))
-    held = held.withColumn("k", budgets.chunk_numbers(F.col("items"), o.max_duration, start="double"))
-    each = held.select("run_id", "visual", F.explode(F.arrays_zip("items", "k")).alias("x")).select("run_id", "visual", F.col("x.k").alias("chunk"), "x.items.*")
+    each = chains.chunked(items.select("run_id", "visual", "s", "seg_id", "e", "chars", "text", "visual_id"), ["run_id", "visual"], o.max_duration)
     blocks = each.groupBy("run_id", "visual", "chunk").agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.sum("chars").cast("long").alias("chars"), F.array_sort(F.collect_list(F.struct("s", "seg_id", "e", "text", "visual_id"))).alias("items")
     )
@@ -178,10 +176,8 @@ def validation_summary(held: DataFrame, groups: DataFrame) -> DataFrame:
 
 def topic_groups(held: DataFrame, longest: float = 720.0, most: int = 4) -> DataFrame:
     """group_no of each (run_id, unit_no): four units at most, within twelve minutes of the group's start."""
-    runs = held.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "s", "e"))).alias("items"))
-    numbered = runs.withColumn("k", budgets.chunk_numbers(F.col("items"), longest, most, start="double"))
-    each = numbered.select("run_id", F.explode(F.arrays_zip("items", "k")).alias("x"))
-    return each.select("run_id", F.col("x.items.unit_no").alias("unit_no"), F.col("x.k").cast("long").alias("group_no"))
+    rows = held.select("run_id", "unit_no", "s", "e")
+    return chains.chunked(rows, ["run_id"], longest, most, ("unit_no", "s", "e")).select("run_id", "unit_no", F.col("chunk").alias("group_no"))
 
 
 def review_report(held: DataFrame) -> DataFrame:
