@@ -1,6 +1,10 @@
 """Gates: which runs pass, and what the others are told first."""
 
+import json
+from pathlib import Path
+
 from tidemark.operators import gates
+from tidemark.sources import snapshots
 
 
 def tables(spark, n=4):
@@ -79,6 +83,10 @@ def test_command_line_of_content_maps(spark, tmp_path):
     aligned, out = str(tmp_path / "aligned"), str(tmp_path / "out")
     assert main(["align", paths["runs"], paths["transcript"], paths["visual"], aligned]) == 1
     assert main(["content-map", str(tmp_path / "settings.yaml"), aligned, paths["transcript"], paths["visual"], paths["features"], out]) == 1
-    assert [r.run_id for r in spark.read.parquet(f"{out}/units").collect()] == ["good"]
-    assert [r.error_type for r in spark.read.parquet(f"{out}/errors").collect()] == ["AlignmentFailed"]
-    assert spark.read.parquet(f"{out}/outlines").count() == 0
+    of = lambda name: snapshots.table(spark, out, name)
+    assert [r.run_id for r in of("units").collect()] == ["good"]
+    assert [r.error_type for r in of("errors").collect()] == ["AlignmentFailed"]
+    assert of("outlines").count() == 0
+    files = Path(snapshots.path_of(spark, out, "files"))
+    assert sorted(str(p.relative_to(files)) for p in files.rglob("*") if p.is_file() and not p.name.endswith(".crc")) == ["_SUCCESS", "good/audit/content_map.json", "good/audit/handout_prompt_pack.jsonl", "good/audit/review_report.md"]
+    assert json.loads((files / "good/audit/content_map.json").read_text())["validation_summary"]["content_unit_count"] >= 1

@@ -3,12 +3,20 @@
 * ``subtitles IN OUT`` parses subtitle files into a table of cues.
 * ``align RUNS TRANSCRIPT VISUAL OUT`` runs the gates, aligns the runs that pass and
   writes ``alignment`` (by run) and ``reports``; the exit code is 1 if any run failed.
-* ``visual SETTINGS RUNS FRAMES OUT`` selects keyframes and writes ``keyframes``, ``segments``,
+* ``visual SETTINGS RUNS FRAMES OUT`` selects keyframes and publishes ``keyframes``, ``segments``,
   ``trace``, ``boundaries``, ``reports`` and ``documents``; the exit code is 1 if any run failed.
 * ``content-map SETTINGS ALIGNED TRANSCRIPT VISUAL FEATURES OUT`` (ALIGNED: the output of
-  ``align``) writes ``units``, ``requests``, ``review_reports``, ``outlines`` and the rest;
-  the exit code is 1 if a run was refused.
+  ``align``) publishes ``units``, ``requests``, ``review_reports``, ``outlines`` and the rest,
+  and below ``files`` each run's documents; the exit code is 1 if a run was refused.
+* ``transcribe SETTINGS RUNS SEGMENTS OUT`` gates runs, takes what was recognized of those that are
+  ready, and publishes ``reports``, ``transcripts`` and, below ``files``, the transcript and report of
+  each run; the exit code is 1 if any run failed.
+* ``download-reports SETTINGS DOWNLOADS PROBES OUT`` publishes ``reports``, ``acquisition`` and files.
+* ``inventory ROOT OUT`` lists the files of all runs below ROOT.
 * ``outline UNITS OUT`` writes a Markdown outline for each run.
+
+What is published is one snapshot below OUT (see :mod:`tidemark.sources.snapshots`): all of it is
+there, or what was there before.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import jobs
 from .operators import gates, reports
-from .sources import artifacts, config, options, subtitles
+from .sources import artifacts, config, documents, inventory, options, snapshots, subtitles
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,15 +51,31 @@ def parser() -> argparse.ArgumentParser:
     held = parts.add_parser("content-map")
     for name in ("settings", "aligned", "transcript", "visual", "features", "out"):
         held.add_argument(name)
+    held = parts.add_parser("transcribe")
+    for name in ("settings", "runs", "segments", "out"):
+        held.add_argument(name)
+    held.add_argument("--smoke-seconds", type=float)
+    held.add_argument("--force", action="store_true", help="transcribe the first seconds even where a transcript is there or not required")
+    held = parts.add_parser("download-reports")
+    for name in ("settings", "downloads", "probes", "out"):
+        held.add_argument(name)
+    held = parts.add_parser("inventory")
+    held.add_argument("root")
+    held.add_argument("out")
     held = parts.add_parser("outline")
     held.add_argument("units")
     held.add_argument("out")
     return out
 
 
-def written(tables: dict[str, DataFrame], out: str) -> None:
+def published(spark: SparkSession, tables: dict[str, DataFrame], out: str, files: DataFrame | None = None) -> None:
+    """One snapshot of all tables, and of the files (run_id, name, body) of runs."""
+    version = snapshots.begin(spark, out)
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{out}/{name}")
+        snapshots.add(version, name, table)
+    if files is not None:
+        documents.write(files, version.path("files"))
+    snapshots.publish(version)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -61,12 +85,26 @@ def main(arguments: list[str] | None = None) -> int:
         subtitles.read(spark, a.source, keep_numbers=a.keep_numbers).write.mode("overwrite").parquet(a.out)
     elif a.job == "visual":
         found = options.visual(config.load(a.settings), a.frame_interval, a.smoke_seconds, a.max_keyframes)
-        written(jobs.visual(spark.read.parquet(a.runs), spark.read.parquet(a.frames), found, a.out), a.out)
-        return int(not spark.read.parquet(f"{a.out}/reports").where("status = 'failed'").isEmpty())
+        got = jobs.visual(spark.read.parquet(a.runs), spark.read.parquet(a.frames), found, f"{a.out}/work")
+        published(spark, got, a.out, jobs.visual_documents(got))
+        return int(not snapshots.table(spark, a.out, "reports").where("status = 'failed'").isEmpty())
     elif a.job == "content-map":
         paths = (f"{a.aligned}/alignment", f"{a.aligned}/reports", a.transcript, a.visual, a.features)
-        written(jobs.content_maps(*[spark.read.parquet(p) for p in paths], options.content_map(config.load(a.settings))), a.out)
-        return int(not spark.read.parquet(f"{a.out}/errors").isEmpty())
+        found = options.content_map(config.load(a.settings))
+        got = jobs.content_maps(*[spark.read.parquet(p) for p in paths], found)
+        published(spark, got, a.out, jobs.content_map_documents(got, found))
+        return int(not snapshots.table(spark, a.out, "errors").isEmpty())
+    elif a.job == "transcribe":
+        found = options.transcription(config.load(a.settings), a.smoke_seconds)
+        got = jobs.transcriptions(spark.read.parquet(a.runs), spark.read.parquet(a.segments), found, a.force)
+        published(spark, {k: got[k] for k in ("reports", "transcripts")}, a.out, got["files"])
+        return int(not snapshots.table(spark, a.out, "reports").where("status = 'failed'").isEmpty())
+    elif a.job == "download-reports":
+        got = jobs.downloads(spark.read.parquet(a.downloads), spark.read.parquet(a.probes), options.acquisition(config.load(a.settings)))
+        published(spark, {k: got[k] for k in ("reports", "acquisition")}, a.out, got["files"])
+        return int(not snapshots.table(spark, a.out, "reports").where("status = 'failed'").isEmpty())
+    elif a.job == "inventory":
+        inventory.listing(spark, a.root).write.mode("overwrite").parquet(a.out)
     elif a.job == "outline":
         reports.outline(spark.read.parquet(a.units)).write.mode("overwrite").parquet(a.out)
     else:

@@ -88,21 +88,22 @@ def candidates(held: DataFrame, visual: DataFrame) -> DataFrame:
 IMAGES = "run_id long, unit_no long, selected long, reason string, dropped array<struct<id:long,t:double,reason:string>>, warnings array<string>, review_required boolean"
 
 
-def select_images(found: DataFrame, spacing: float = 45.0) -> DataFrame:
-    """For each unit its image or none, the dropped ones with reasons, warnings and whether it needs review. found: candidates with features."""
+def select_images(found: DataFrame, spacing: float = 45.0, o: folds.Images | None = None) -> DataFrame:
+    """For each unit its image or none, the dropped ones with reasons, warnings and whether it needs review. found: candidates with features; o stands for spacing and all other settings."""
+    o = o or folds.Images(spacing)
 
     def fold(rows: list[dict]) -> list[dict]:
         by_unit: dict[int, list[dict]] = {}
         for row in rows:
             by_unit.setdefault(row["unit_no"], []).append(row)
         numbers = sorted(by_unit)
-        chosen, _ = folds.handout_images([by_unit[k] for k in numbers], spacing)
+        chosen, _ = folds.handout_images([by_unit[k] for k in numbers], o)
         return [{"unit_no": k, **image} for k, image in zip(numbers, chosen, strict=True)]
 
     return folds.per_run(found, fold, IMAGES, ["unit_no", "place"])
 
 
-def image_groups(found: DataFrame) -> DataFrame:
+def image_groups(found: DataFrame, o: folds.Images = folds.Images()) -> DataFrame:  # noqa: B008  not changed
     """A row for each dropped or kept member of a run's image groups: group_no, kind, id, t, kept, reason, review_required."""
     schema = "run_id long, group_no long, kind string, id long, t double, kept boolean, reason string, review_required boolean"
 
@@ -111,8 +112,8 @@ def image_groups(found: DataFrame) -> DataFrame:
         for row in rows:
             unique.setdefault(row["id"], row)
         out = []
-        for k, (kind, members) in enumerate(folds.image_groups(sorted(unique.values(), key=lambda f: f["t"])), 1):
-            best = folds.best_image(members)["id"]
+        for k, (kind, members) in enumerate(folds.image_groups(sorted(unique.values(), key=lambda f: f["t"]), o), 1):
+            best = folds.best_image(members, o)["id"]
             out += [{"group_no": k, "kind": kind, "id": f["id"], "t": f["t"], "kept": f["id"] == best, "reason": None if f["id"] == best else f"{kind}_keep_one_representative", "review_required": kind == "rapid_visual_burst"} for f in members]
         return out
 
@@ -180,33 +181,81 @@ def topic_groups(held: DataFrame, longest: float = 720.0, most: int = 4) -> Data
     return chains.chunked(rows, ["run_id"], longest, most, ("unit_no", "s", "e")).select("run_id", "unit_no", F.col("chunk").alias("group_no"))
 
 
-def review_report(held: DataFrame) -> DataFrame:
-    """(run_id, markdown): what a reviewer should look at. held: unit_no, s, e, points, selected, dropped (id, t, reason)."""
+# Fixed values of the format: what a review report says
+REVIEW_TITLE = "# Review Report"
+REVIEW_NOTICE = "> This report is machine-generated engineering review material. It is not human-approved."
+REVIEW_POINTS = (
+    ("no_selected_image", "Units without selected image"),
+    ("too_many_candidates", "Units with too many image candidates"),
+    ("long_text_little_visual", "Long transcript with little visual change"),
+    ("visual_change_little_text", "Visual change with little transcript"),
+)
+CHECKLIST = (
+    "Check whether content units are too fragmented or too coarse.",
+    "Check whether each selected screenshot supports the nearby transcript excerpts.",
+    "Review near-duplicate groups and confirm that useful teaching states were not hidden.",
+    "Review units without selected images and decide whether another representative is needed.",
+    "Confirm that the handout skeleton is not mistaken for final polished notes.",
+)
+NEXT_STEP = "Run an independent review and a human spot-check before proceeding to any model-backed generation stage."
+
+
+def _noted(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- {label}: `"), F.coalesce(value.cast("string"), F.lit("none")), F.lit("`"))
+
+
+def _bullets(items: Column, none: str) -> Column:
+    """An array of lines as one text, or what is said where there are none."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) == 0, none).otherwise(F.array_join(items, "\n"))
+
+
+def review_report(held: DataFrame, groups: DataFrame | None = None, health: DataFrame | None = None, hashes: DataFrame | None = None, packs: DataFrame | None = None, known_issues: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(run_id, markdown): what a reviewer should look at.
+
+    held: unit_no, group_no, s, e, points, selected, dropped (id, t, reason), n_candidates; groups: from image_groups(); health: run_id and
+    columns that are listed by name; hashes: run_id, source, hash; packs: from pack_descriptor(). A part that is not given is left out."""
     unit_id = F.format_string("unit_%03d", "unit_no")
-    rows = held.select("run_id", "unit_no", unit_id.alias("u"), "s", "e", "points", F.col("selected").isNotNull().alias("has"), "dropped")
+    has = set(held.columns)
+    many = F.col("n_candidates") > 2 if "n_candidates" in has else F.array_contains("points", "too_many_candidates")
+    topic = F.col("group_no") if "group_no" in has else F.lit(None).cast("long")
+    rows = held.select("run_id", "unit_no", unit_id.alias("u"), "s", "e", "points", F.col("selected").isNotNull().alias("has"), "dropped", many.alias("many"), topic.alias("topic"))
     run = rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"), F.count_if("has").alias("n_selected"), F.sum(F.size("dropped")).alias("n_dropped"),
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"), F.count_if("has").alias("n_selected"), F.sum(F.size("dropped")).alias("n_dropped"), F.count_if("many").alias("n_many"), F.count_distinct("topic").alias("n_topics"),
         F.array_sort(F.collect_list(F.struct("unit_no", "u", "points", "dropped"))).alias("l"),
     )
 
     def named(point: str) -> Column:
         found = F.filter("l", lambda x: F.array_contains(x["points"], point))
-        return F.when(F.size(found) == 0, "none").otherwise(F.array_join(F.transform(found, lambda x: x["u"]), ", "))
+        return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: x["u"]), ", "))
 
     dropped = F.flatten(F.transform("l", lambda x: F.transform(x["dropped"], lambda d: F.concat(F.lit("- `"), x["u"], F.lit("`: `"), d["id"].cast("string"), F.lit("` - `"), d["reason"], F.lit("`")))))
-    lines = [
-        F.lit("# Review Report\n\n## Artifact Summary\n"),
-        F.concat(F.lit("- Run ID: `"), F.col("run_id").cast("string"), F.lit("`")),
-        F.concat(F.lit("- Content units: `"), F.col("n").cast("string"), F.lit("`")),
-        F.concat(F.lit("- Selected handout images: `"), F.col("n_selected").cast("string"), F.lit("`")),
-        F.concat(F.lit("- Dropped handout-level candidates: `"), F.col("n_dropped").cast("string"), F.lit("`\n\n## Time Coverage\n")),
-        F.concat(F.lit("- Start: `"), T.format_timestamp(F.col("s")), F.lit("`")),
-        F.concat(F.lit("- End: `"), T.format_timestamp(F.col("e")), F.lit("`\n\n## Dropped Candidate Keyframes\n")),
-        F.when(F.size(dropped) == 0, "- None.").otherwise(F.array_join(dropped, "\n")),
-        F.lit("\n## Automated Review Points\n"),
-        F.concat(F.lit("- Units without selected image: `"), named("no_selected_image"), F.lit("`")),
-        F.concat(F.lit("- Units with too many image candidates: `"), named("too_many_candidates"), F.lit("`")),
-        F.concat(F.lit("- Long transcript with little visual change: `"), named("long_text_little_visual"), F.lit("`")),
-        F.concat(F.lit("- Visual change with little transcript: `"), named("visual_change_little_text"), F.lit("`")),
-    ]
-    return run.select("run_id", F.array_join(F.array(*lines), "\n").alias("markdown"))
+    blank = F.lit("")
+    head = [F.lit(REVIEW_TITLE), blank, F.lit(REVIEW_NOTICE), blank]
+    counts = [("Run ID", "run_id"), ("Content units", "n"), ("Topic groups", "n_topics"), ("Selected handout images", "n_selected"), ("Dropped handout-level candidates", "n_dropped")]
+    lines = [*head, F.lit("## Artifact Summary"), blank, *[_noted(label, F.col(c)) for label, c in counts], blank]
+    if health is not None:
+        names = [c for c in health.columns if c != "run_id"]
+        run = run.join(health.select("run_id", F.array(*[F.concat(F.lit(f"- `{c}`: `"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit("`")) for c in names]).alias("health")), "run_id", "left")
+        lines += [F.lit("## Input Artifact Health"), blank, _bullets(F.col("health"), "- Not known."), blank]
+    if hashes is not None:
+        each = hashes.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source", F.col("hash").cast("string").alias("h")))), lambda x: F.concat(F.lit("- `"), x["source"], F.lit("`: `"), x["h"], F.lit("`"))).alias("hashes"))
+        run = run.join(each, "run_id", "left")
+        lines += [F.lit("## Source Hashes"), blank, _bullets(F.col("hashes"), "- Not known."), blank]
+    lines += [F.lit("## Time Coverage"), blank, _noted("Start", T.format_timestamp(F.col("s"))), _noted("End", T.format_timestamp(F.col("e"))), blank]
+    if groups is not None:
+        kept, gone = F.max(F.when(F.col("kept"), F.col("id"))), F.count_if(~F.col("kept"))
+        each = groups.groupBy("run_id", "group_no", "kind").agg(kept.alias("kept"), gone.alias("gone"))
+        text = F.concat(F.lit("- `"), F.format_string("image_group_%03d", "group_no"), F.lit("` `"), F.col("kind"), F.lit("`: keep `"), F.col("kept").cast("string"), F.lit("`; dropped `"), F.col("gone").cast("string"), F.lit("` candidate(s)."))
+        each = each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", text.alias("text")))), lambda x: x["text"]).alias("groups"))
+        run = run.join(each, "run_id", "left")
+        n_groups = F.coalesce(F.size("groups"), F.lit(0))
+        lines += [F.lit("## Image Selection Summary"), blank, _noted("Near-duplicate or density-control groups", F.when(n_groups < 0, 0).otherwise(n_groups)), _noted("Units without a selected image", F.col("n") - F.col("n_selected")), _noted("Units with more than two candidate images", F.col("n_many")), blank]
+        lines += [F.lit("## Near-Duplicate Image Groups"), blank, _bullets(F.col("groups"), "- None detected."), blank]
+    lines += [F.lit("## Dropped Candidate Keyframes"), blank, _bullets(dropped, "- None."), blank]
+    lines += [F.lit("## Automated Review Points"), blank, *[_noted(label, named(point)) for point, label in REVIEW_POINTS], blank]
+    lines += [F.lit("## Known Issues"), blank, *([F.lit(f"- {issue}") for issue in known_issues] or [F.lit("- No operator-supplied known issues.")]), blank]
+    if packs is not None:
+        run = run.join(packs.select("run_id", "generated", "path", "item_count", "schema_version"), "run_id", "left")
+        lines += [F.lit("## Prompt Pack Summary"), blank, *[_noted(label, F.col(c)) for label, c in (("Generated", "generated"), ("Path", "path"), ("Item count", "item_count"), ("Schema", "schema_version"))], blank]
+    lines += [F.lit("## Human Review Checklist"), blank, *[F.lit(f"- {item}") for item in CHECKLIST], blank, F.lit("## Next-Step Recommendation"), blank, F.lit(NEXT_STEP)]
+    return run.select("run_id", F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n")).alias("markdown"))

@@ -69,8 +69,24 @@ def title(a: dict, b: dict) -> float:
     return hash_difference(a["title"], b["title"], 1.0)
 
 
-def fullness(f: dict, position: float = 0.0) -> float:
-    return round(0.45 * f["content"] + 0.25 * f["detail"] + 0.30 * f["layout"] + 0.08 * min(1.0, max(0.0, position)), 6)
+@dataclass(frozen=True)
+class Weights:
+    """What a frame's fullness is made of: its measurements' weights, that of their sum, and that of its place in a group."""
+
+    content: float = 0.45
+    detail: float = 0.25
+    layout: float = 0.30
+    whole: float = 1.0
+    time: float = 0.08
+
+    @classmethod
+    def of(cls, options: dict) -> Weights:
+        """From the visual options."""
+        return cls(*[options[f"{name}_weight"] for name in ("content_area", "detail_density", "layout_richness", "fuller_state", "time_preference")])
+
+
+def fullness(f: dict, position: float = 0.0, w: Weights = Weights()) -> float:  # noqa: B008  frozen
+    return round(w.whole * (w.content * f["content"] + w.detail * f["detail"] + w.layout * f["layout"]) + w.time * min(1.0, max(0.0, position)), 6)
 
 
 @dataclass
@@ -82,12 +98,14 @@ class Selection:
     same_title: float = 0.14
     fuller_by: float = 0.01
     most: int = 1000
+    weights: Weights = Weights()
+    scored: bool = True
 
     @classmethod
     def of(cls, options: dict) -> Selection:
         """From the visual options of :mod:`tidemark.sources.options`."""
         keys = ("duplicate_similarity_threshold", "duplicate_hash_distance_threshold", "min_stable_duration_seconds", "min_visual_difference_score")
-        return cls(*[options[key] for key in keys], options["title_region_max_difference"], options["fuller_replacement_min_delta"], options["max_keyframes"])
+        return cls(*[options[key] for key in keys], options["title_region_max_difference"], options["fuller_replacement_min_delta"], options["max_keyframes"], Weights.of(options), options["fuller_state_scoring_enabled"])
 
 
 def select_keyframes(frames: list[dict], o: Selection) -> tuple[list[dict], list[tuple[dict, str]]]:
@@ -97,7 +115,7 @@ def select_keyframes(frames: list[dict], o: Selection) -> tuple[list[dict], list
 
     def moved(frame: dict) -> bool:
         last = accepted[-1]
-        if title(frame, last) > o.same_title or fullness(frame) - fullness(last) < o.fuller_by:
+        if not o.scored or title(frame, last) > o.same_title or fullness(frame, w=o.weights) - fullness(last, w=o.weights) < o.fuller_by:
             return False
         accepted[-1] = {**last, **frame, "covered": sorted({*last["covered"], frame["t"]}), "why": last["why"], "updates": last["updates"] + 1}
         return True
@@ -152,6 +170,8 @@ class Collapse:
     strong_hash: float = 0.45
     keep: int = 1
     merge: bool = True
+    weights: Weights = Weights()
+    prefer: str = "fuller_final_state"
 
     @classmethod
     def of(cls, options: dict) -> Collapse:
@@ -162,18 +182,20 @@ class Collapse:
         held |= {"reset": options["group_fullness_reset_min_delta"], "strong_gap": options["strong_title_group_merge_max_gap_seconds"]}
         held |= {"strong_hash": options["strong_title_build_group_hash_distance_threshold"], "keep": options["max_intermediate_keyframes_per_group"]}
         held |= {"max_gap": options["group_merge_max_gap_seconds"], "merge": options["conservative_group_merge_enabled"]}
-        return cls(same_title=title, strong_title=strong, **held)
+        # scoring, where it is on, comes before any other preference
+        prefer = "fuller_final_state" if options["fuller_state_scoring_enabled"] else options["final_state_preference"]
+        return cls(same_title=title, strong_title=strong, weights=Weights.of(options), prefer=prefer, **held)
 
 
 def break_reasons(group: list[dict], frame: dict, o: Collapse) -> list[str]:
     """Why a frame does not continue a group; none if it does."""
-    last, anchor, best = group[-1], group[0], max(group, key=fullness)
+    last, anchor, best = group[-1], group[0], max(group, key=lambda f: fullness(f, w=o.weights))
     gap, span = frame["t"] - last["t"], frame["t"] - anchor["t"]
     visual = min(difference(frame, last), difference(frame, best))
     bits = min(hash_difference(frame["hash"], last["hash"]), hash_difference(frame["hash"], best["hash"]))
     titles = min(title(frame, last), title(frame, anchor), title(frame, best))
     continuity = min(1.0, max(0.0, 1 - titles - 0.1 * visual / max(o.max_visual, 0.001) - 0.05 * gap / max(o.max_gap, 1.0)))
-    falls = fullness(best) - fullness(frame) >= o.reset
+    falls = fullness(best, w=o.weights) - fullness(frame, w=o.weights) >= o.reset
     rules = {
         "gap": gap > o.max_gap,
         "title": title(frame, last) > o.same_title,
@@ -208,12 +230,22 @@ def collapse(keyframes: list[dict], o: Collapse) -> list[tuple[list[dict], list[
         if len(group) <= o.keep:
             out.append((group, group))
             continue
-        low, high = group[0]["t"], group[-1]["t"]
-        ranked = sorted(group, key=lambda f: (fullness(f, (f["t"] - low) / (high - low) if high > low else 0.0), f["t"]), reverse=True)
-        out.append((group, sorted(ranked[: o.keep], key=lambda f: f["t"])))
+        out.append((group, representatives(group, o)))
     return out
 
 
+def representatives(group: list[dict], o: Collapse) -> list[dict]:
+    """The frames that stand for a group, in time order: the fullest (places in the group count), those of most variance and sharpness, or the latest."""
+    low, high = group[0]["t"], group[-1]["t"]
+    if o.prefer in ("fuller_final_state", "content_fullness"):
+        key = lambda f: (fullness(f, (f["t"] - low) / (high - low) if high > low else 0.0, o.weights), f["t"])
+    elif o.prefer == "content_fullness_legacy":
+        key = lambda f: ((f.get("variance") or 0.0) + (f.get("sharpness") or 0.0), f["t"])
+    else:  # latest_stable, and any other
+        return group[-o.keep :]
+    return sorted(sorted(group, key=key, reverse=True)[: o.keep], key=lambda f: f["t"])
+
+
 def collapse_run(keyframes: list[dict], o: Collapse) -> tuple[list[dict], dict]:
     """Keyframes after collapse, and its summary.
 
@@ -247,6 +279,24 @@ def boundary_reasons(keyframes: list[dict], o: Collapse) -> list[tuple[dict, lis
     return decisions
 
 
+def merge_reasons(keyframes: list[dict], o: Collapse) -> list[tuple[dict, dict, list[str]]]:
+    """Of the merge after the first grouping: the last frame so far, each next group's first, and the reasons why it stays apart; none where it is joined."""
+    groups: list[list[dict]] = []
+    for frame in keyframes:
+        if groups and not break_reasons(groups[-1], frame, o):
+            groups[-1].append(frame)
+        else:
+            groups.append([frame])
+    if not o.merge:
+        return []
+    out, held = [], groups[0] if groups else []
+    for group in groups[1:]:
+        reasons = break_reasons(held, group[0], o)
+        out.append((held[-1], group[0], reasons))
+        held = group if reasons else held + group
+    return out
+
+
 @dataclass
 class Lookahead:
     within: float = 180.0
@@ -257,12 +307,13 @@ class Lookahead:
     context_slide: float = 0.70
     scene: float = 0.12
     fuller_by: float = 0.01
+    weights: Weights = Weights()
 
     @classmethod
     def of(cls, options: dict) -> Lookahead:
         """From the visual options."""
         names = ("seconds", "content_area_threshold", "detail_density_threshold", "layout_richness_threshold", "title_region_max_difference", "slide_region_max_difference")
-        return cls(*[options[f"low_content_lookahead_{name}" if name == "seconds" else f"low_content_{name}"] for name in names], options["min_visual_difference_score"], options["fuller_replacement_min_delta"])
+        return cls(*[options[f"low_content_lookahead_{name}" if name == "seconds" else f"low_content_{name}"] for name in names], options["min_visual_difference_score"], options["fuller_replacement_min_delta"], Weights.of(options))
 
 
 def later_fuller(early: dict, later: list[dict], o: Lookahead) -> dict | None:
@@ -278,9 +329,9 @@ def later_fuller(early: dict, later: list[dict], o: Lookahead) -> dict | None:
         if title(early, frame) > o.context_title or hash_difference(early["slide"], frame["slide"], 1.0) > o.context_slide:
             continue
         match = frame
-        if fullness(frame) - fullness(early) < o.fuller_by:
+        if fullness(frame, w=o.weights) - fullness(early, w=o.weights) < o.fuller_by:
             continue
-        if best is None or fullness(frame) > fullness(best):
+        if best is None or fullness(frame, w=o.weights) > fullness(best, w=o.weights):
             best = frame
     return best
 
@@ -314,14 +365,32 @@ def suppress_low_content(keyframes: list[dict], pool: list[dict], o: Lookahead)
 # Handout images
 
 
-def image_groups(images: list[dict], gap: float = 40.0, span: float = 60.0, alike: float = 0.20) -> list[tuple[str, list[dict]]]:
-    """Bursts of three or more close in time, then chains of near-duplicates among the rest."""
+@dataclass
+class Images:
+    """How images are grouped and chosen."""
+
+    spacing: float = 45.0
+    gap: float = 40.0
+    span: float = 60.0
+    burst: int = 3
+    alike: float = 0.20
+    fuller: bool = True
+
+    @classmethod
+    def of(cls, options: dict) -> Images:
+        """From the options of a content map."""
+        names = ("min_image_spacing_seconds", "near_duplicate_max_gap_seconds", "rapid_burst_window_seconds", "rapid_burst_min_frames", "near_duplicate_max_difference", "prefer_fuller_state")
+        return cls(*[options[f"handout_{name}"] for name in names])
+
+
+def image_groups(images: list[dict], o: Images = Images()) -> list[tuple[str, list[dict]]]:  # noqa: B008  not changed
+    """Bursts of o.burst or more close in time, then chains of near-duplicates among the rest."""
     found, taken, i = [], set(), 0
     while i < len(images):
         j = i
-        while j + 1 < len(images) and images[j + 1]["t"] - images[j]["t"] <= gap and images[j + 1]["t"] - images[i]["t"] <= span:
+        while j + 1 < len(images) and images[j + 1]["t"] - images[j]["t"] <= o.gap and images[j + 1]["t"] - images[i]["t"] <= o.span:
             j += 1
-        if j - i >= 2:
+        if j - i + 1 >= o.burst:
             found.append(("rapid_visual_burst", images[i : j + 1]))
             taken |= set(range(i, j + 1))
             i = j + 1
@@ -331,7 +400,7 @@ def image_groups(images: list[dict], gap: float = 40.0, span: float = 60.0, alik
     i = 0
     while i < len(rest):
         j = i
-        while j + 1 < len(rest) and rest[j + 1]["t"] - rest[j]["t"] <= gap and max(hist_difference(rest[j]["hist"], rest[j + 1]["hist"]), hash_difference(rest[j]["hash"], rest[j + 1]["hash"], 1.0)) <= alike:
+        while j + 1 < len(rest) and rest[j + 1]["t"] - rest[j]["t"] <= o.gap and max(hist_difference(rest[j]["hist"], rest[j + 1]["hist"]), hash_difference(rest[j]["hash"], rest[j + 1]["hash"], 1.0)) <= o.alike:
             j += 1
         if j > i:
             found.append(("near_duplicate_visual_pair", rest[i : j + 1]))
@@ -343,20 +412,20 @@ def image_score(f: dict) -> float:
     return round(0.65 * f["content"] + 0.35 * f["detail"], 6)
 
 
-def best_image(images: list[dict]) -> dict:
-    return max(images, key=lambda f: (image_score(f), f["t"]))
+def best_image(images: list[dict], o: Images = Images()) -> dict:  # noqa: B008  not changed
+    return max(images, key=lambda f: (image_score(f) if o.fuller else 0.0, f["t"]))
 
 
-def handout_images(units: list[list[dict]], spacing: float = 45.0) -> tuple[list[dict], list[tuple[str, list[dict]]]]:
+def handout_images(units: list[list[dict]], o: Images = Images()) -> tuple[list[dict], list[tuple[str, list[dict]]]]:
     """For each unit its image or none, with what was dropped and why; and the groups of near-duplicates among all images."""
     unique: dict = {}
     for images in units:
         for f in images:
             unique.setdefault(f["id"], f)
-    groups = image_groups(sorted(unique.values(), key=lambda f: f["t"]))
+    groups = image_groups(sorted(unique.values(), key=lambda f: f["t"]), o)
     dropped: dict = {}
     for kind, members in groups:
-        keep = best_image(members)["id"]
+        keep = best_image(members, o)["id"]
         dropped |= {f["id"]: kind for f in members if f["id"] != keep}
     out, used, last = [], set(), None
     for images in units:
@@ -371,8 +440,8 @@ def handout_images(units: list[list[dict]], spacing: float = 45.0) -> tuple[list
             else:
                 left.append(f)
         if left:
-            chosen = best_image(left)
-            if last is not None and chosen["t"] - last < spacing:
+            chosen = best_image(left, o)
+            if last is not None and chosen["t"] - last < o.spacing:
                 gone.append((chosen, "handout_image_density_limit"))
                 chosen = None
         if chosen is None:
@@ -390,10 +459,10 @@ def handout_images(units: list[list[dict]], spacing: float = 45.0) -> tuple[list
     return out, groups
 
 
-def pick_images(units: list[list[dict]], spacing: float = 45.0) -> list[tuple[dict | None, str]]:
+def pick_images(units: list[list[dict]], o: Images = Images()) -> list[tuple[dict | None, str]]:
     """One image for each unit or none, with the reason; dropped group members, used images and ones too soon after the last are passed over."""
     picked = []
-    for images, image in zip(units, handout_images(units, spacing)[0], strict=True):
+    for images, image in zip(units, handout_images(units, o)[0], strict=True):
         chosen = next((f for f in images if f["id"] == image["selected"]), None)
         limit = any(d["reason"] == "handout_image_density_limit" for d in image["dropped"])
         picked.append((chosen, "selected" if chosen else "handout_image_density_limit" if limit else "no_selected_handout_image"))

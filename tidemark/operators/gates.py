@@ -88,8 +88,11 @@ def align_runs(runs: DataFrame, transcript: DataFrame, visual: DataFrame, neares
     )
 
 
-def content_map_violations(reports: DataFrame, aligned: DataFrame, transcript: DataFrame, visual: DataFrame) -> DataFrame:
-    """Runs whose alignment may not be mapped: not a success, of another method, unknown or repeated ids, transcript rows without partner, low confidence."""
+def content_map_violations(reports: DataFrame, aligned: DataFrame, transcript: DataFrame, visual: DataFrame, runs: DataFrame | None = None, lost_keyframes: DataFrame | None = None) -> DataFrame:
+    """Runs whose alignment may not be mapped: not a success, of another method, unknown or repeated ids, transcript rows without partner, low confidence.
+
+    runs: run_id, frame_status, visual_status, smoke_test; where it is given, a run that it lacks, that is of a smoke test or did not succeed may not be mapped
+    either. lost_keyframes: run_id, seg_id of segments whose keyframe file is not there, from inventory.missing_keyframes()."""
     r = violations(reports.withColumn("pos", F.lit(-1).cast("long")), [("AlignmentFailed", F.col("status") != "success"), ("AlignmentMethodUnknown", F.col("method") != METHOD)], 0)
     known_t = transcript.select("run_id", F.col("pos").alias("transcript_index"), F.lit(True).alias("t"))
     known_v = numbered(visual).select("run_id", F.col("id").alias("matched_visual_segment_id"), F.lit(True).alias("v")).distinct()
@@ -98,4 +101,11 @@ def content_map_violations(reports: DataFrame, aligned: DataFrame, transcript: D
     lost = known_t.join(aligned, ["run_id", "transcript_index"], "left_anti").withColumn("pos", F.col("transcript_index"))
     again = lambda rows: numbered(rows).groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"))
     twice = violations(again(visual), [("DuplicateVisualSegment", F.col("n") > 1)], 30).unionByName(violations(again(transcript), [("DuplicateTranscriptSegment", F.col("n") > 1)], 31))
-    return reduce(DataFrame.unionByName, [r, a, violations(lost, [("TranscriptNotAligned", F.lit(True))], 20), twice])
+    found = [r, a, violations(lost, [("TranscriptNotAligned", F.lit(True))], 20), twice]
+    if runs is not None:
+        given = reports.select("run_id").join(runs, "run_id", "left").withColumn("pos", F.lit(-1).cast("long"))
+        done = lambda c: F.coalesce(F.col(c) == "success", F.lit(False))
+        found.append(violations(given, [("SmokeInputs", F.coalesce("smoke_test", F.lit(False))), ("FrameReportFailed", ~done("frame_status")), ("VisualSegmentsFailed", ~done("visual_status"))], -10))
+    if lost_keyframes is not None:
+        found.append(violations(lost_keyframes.select("run_id", F.col("seg_id").alias("pos")), [("MissingKeyframe", F.lit(True))], 5))
+    return reduce(DataFrame.unionByName, found)
