@@ -104,24 +104,29 @@ def box_detail(steps: Column, width: Column, height: Column, b: Box) -> Column:
     return F.when((w > 1) & (h > 1), large / (h * (w - 1) + w * (h - 1))).otherwise(0.0)
 
 
-def cells(b: Box, across: int, down: int) -> list[Box]:
-    """A box in across * down parts, row by row, each of a pixel at least; those of a small box overlap."""
-    left, top, right, bottom = b
-    w, h = right - left, bottom - top
-    side = lambda n, k, parts: F.floor(n * k / parts).cast("int")
+def _edges(low: int, size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts of a side begin and end, each of a pixel at least; those of a short side overlap."""
+    k = np.arange(parts)
+    first = size * k // parts
+    return low + first, low + np.maximum(size * (k + 1) // parts, first + 1)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def box_hash(tables: pa.Array, width: pa.Array, left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array) -> pa.Array:
+    """64 bits: whether each of 8 by 8 parts of a box is brighter in the mean than the parts are in theirs, four sums a part. An empty box has none."""
     out = []
-    for y in range(down):
-        for x in range(across):
-            x0, y0 = side(w, x, across), side(h, y, down)
-            out.append((left + x0, top + y0, left + F.greatest(side(w, x + 1, across), x0 + 1), top + F.greatest(side(h, y + 1, down), y0 + 1)))
-    return out
-
-
-def box_hash(table: Column, width: Column, b: Box, side: int = 8) -> Column:
-    """side * side bits: whether a part of the box is brighter in the mean than the parts are in theirs. An empty box has none."""
-    means = F.array(*[box_mean(table, width, c) for c in cells(b, side, side)])
-    bits = F.transform(F.array(means), lambda m: F.transform(m, lambda x: (x > F.aggregate(m, F.lit(0.0), lambda s, y: s + y) / (side * side)).cast("int")))[0]
-    return F.when(area(b) > 0, bits).otherwise(F.array().cast("array<int>"))
+    sides = zip(*(x.to_pylist() for x in (width, left, top, right, bottom)), strict=True)
+    for k, (w, x0, y0, x1, y1) in enumerate(sides):
+        held = tables[k]
+        if not held.is_valid or x1 <= x0 or y1 <= y0:
+            out.append([])
+            continue
+        table = held.values.to_numpy(zero_copy_only=False).reshape(-1, w + 1)
+        (xa, xb), (ya, yb) = _edges(x0, x1 - x0, 8), _edges(y0, y1 - y0, 8)
+        sums = table[np.ix_(yb, xb)] - table[np.ix_(yb, xa)] - table[np.ix_(ya, xb)] + table[np.ix_(ya, xa)]
+        means = (sums / np.outer(yb - ya, xb - xa)).ravel()
+        out.append((means > sum(means.tolist()) / 64).astype(int).tolist())
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def box_layout(ink: Column, width: Column, b: Box, grid: int = 4, least: float = 0.08) -> Column:

@@ -64,9 +64,9 @@ def described(frames: DataFrame, options: dict) -> DataFrame:
     return held.select(
         *[f"`{c}`" for c in kept],
         F.transform("counts", lambda x: x / F.greatest(n, F.lit(1))).alias("hist"),
-        A.box_hash(F.col("sums"), w, asked).alias("hash"),
-        A.box_hash(F.col("sums"), w, title).alias("title"),
-        A.box_hash(F.col("sums"), w, slide).alias("slide"),
+        A.box_hash(F.col("sums"), w, *asked).alias("hash"),
+        A.box_hash(F.col("sums"), w, *title).alias("title"),
+        A.box_hash(F.col("sums"), w, *slide).alias("slide"),
         *[c.alias(name) for name, c in measured(held, slide).items()],
         "mean",
         "variance",

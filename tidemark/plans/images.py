@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import areas as A
 from ..functions import vectors as V
+from ..operators import frames
 from . import inputs
 from .inputs import SQL
 
@@ -118,7 +120,30 @@ def crop_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", *[c.cast("long").alias(n) for n, c in (("x", x), ("y", y), ("x2", x2), ("y2", y2))], kind.alias("kind"), ((F.col("mode") != 0) & (kind == "full_frame")).alias("warned"))
 
 
-QUERIES = {f.__name__: f for f in (quality_reasons, quality_histogram, histogram_distance, hash_distance, region_metrics, fuller_score_topk, low_content_flags, resolution_status, crop_region)}
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, A.Box, A.Box]:
+    """All images with their summed-area tables, at thresholds that fit these images, and the boxes of slide and title."""
+    rows = inputs.frames(spark, sf_dir).withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE)})
+    w, h = F.col("width"), F.col("height")
+    return frames.tables(rows, ink=110, step=40), A.box(w, h, *frames.SLIDE_BOX), A.box(w, h, *frames.TITLE_BOX)
+
+
+def region_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content, detail and layout, mean and variance of each image's slide box."""
+    held, slide, _ = _regions(spark, sf_dir)
+    w = F.col("width")
+    found = {**frames.measured(held, slide), "mean": A.box_mean(F.col("sums"), w, slide), "variance": A.box_variance(F.col("sums"), F.col("squares"), w, slide)}
+    return held.select("vec_id", *[F.round(c, 6).alias(name) for name, c in found.items()])
+
+
+def title_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resampled hash of each image's title box, and its difference from that of the next image."""
+    held, _, title = _regions(spark, sf_dir)
+    rows = held.select("vec_id", A.box_hash(F.col("sums"), F.col("width"), *title).alias("h"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("h_b"))
+    return rows.join(after, "vec_id").select("vec_id", F.array_join("h", "").alias("title_hash"), F.round(V.hash_difference(F.col("h"), F.col("h_b"), 1.0), 6).alias("difference"))
+
+
+QUERIES = {f.__name__: f for f in (region_features, title_hashes, quality_reasons, quality_histogram, histogram_distance, hash_distance, region_metrics, fuller_score_topk, low_content_flags, resolution_status, crop_region)}
 
 _SCORED = f"""{_REGION},
 sf AS (SELECT run_id, seg_id, s, rm.*, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / CAST(max(s) OVER w - min(s) OVER w AS DOUBLE) ELSE 0 END AS position FROM vi JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM rm) rm ON vi.seg_id % (SELECT count(DISTINCT vec_id) FROM fr) = rm.place WINDOW w AS (PARTITION BY run_id)),
@@ -142,4 +167,11 @@ CASE WHEN height IS NULL THEN 'unknown' WHEN height >= 1080 THEN 'success' ELSE
 k AS (SELECT *, CAST(floor(width * pct) AS BIGINT) AS w, CAST(floor(height * pct) AS BIGINT) AS h, CASE WHEN mode = 1 AND pct > 0 AND pct <= 1 THEN 'center_crop' WHEN mode = 2 AND pct / 2 < pct AND pct <= 1 THEN 'manual' ELSE 'full_frame' END AS kind FROM p)
 SELECT p_partkey, kind, mode <> 0 AND kind = 'full_frame' AS warned, CASE kind WHEN 'center_crop' THEN (width - w) // 2 WHEN 'manual' THEN CAST(floor(width * (pct / 2)) AS BIGINT) ELSE 0 END AS x, CASE kind WHEN 'center_crop' THEN (height - h) // 2 ELSE 0 END AS y,
 CASE kind WHEN 'center_crop' THEN (width - w) // 2 + w WHEN 'manual' THEN w ELSE width END AS x2, CASE kind WHEN 'center_crop' THEN (height - h) // 2 + h ELSE height END AS y2 FROM k""",
+    "region_features": f"""WITH {SQL}, b AS (SELECT vec_id, px, list_transform(range(48), lambda i: px[(i // 6) * 8 + i % 6 + 1]) AS v FROM fr),
+d AS (SELECT *, list_filter(range(48), lambda i: i % 6 < 5 AND abs(v[i + 1] - v[i + 2]) > 40) AS r, list_filter(range(42), lambda i: abs(v[i + 1] - v[i + 7]) > 40) AS c, list_sum(v) AS t, list_sum(list_transform(v, lambda x: x * x)) AS q FROM b)
+SELECT vec_id, round(len(list_filter(v, lambda x: x < 110)) / 48.0, 6) AS content, round((len(r) + len(c)) / 82.0, 6) AS detail,
+round(len(list_filter(range(16), lambda i: px[(i // 4) * 16 + i % 4 + 1] < 110 OR px[(i // 4) * 16 + i % 4 + 9] < 110)) / 16.0, 6) AS layout, round(t / 48.0, 6) AS mean, round((48 * q - t * t) / 2304.0, 6) AS variance FROM d""",
+    "title_hashes": f"""WITH {SQL}, b AS (SELECT vec_id, list_transform(range(64), lambda i: px[(i // 32) * 8 + [0, 0, 1, 2, 3, 3, 4, 5][i % 8 + 1] + 1]) AS v FROM fr),
+h AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN 64 * x > list_sum(v) THEN 1 ELSE 0 END) AS h FROM b)
+SELECT x.vec_id, array_to_string(x.h, '') AS title_hash, round(len(list_filter(range(1, 65), lambda i: x.h[i] <> y.h[i])) / 64.0, 6) AS difference FROM h x JOIN h y ON y.vec_id = x.vec_id + 1""",
 }
