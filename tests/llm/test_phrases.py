@@ -82,6 +82,8 @@ def test_crowded_filters_and_small_buffers_change_nothing(spark, monkeypatch):
     rows = made(80, 4)
     monkeypatch.setattr(phrases, "MOST_BITS", 1 << 15)
     monkeypatch.setattr(phrases, "BITS", 1)
+    monkeypatch.setattr(phrases, "HELD", 100)
+    monkeypatch.setattr(phrases, "AT_ONCE", 300)
     got = phrases.collocations(table(spark, rows), work_dir(spark), 4, 5, 50).collect()
     assert sorted(map(tuple, got)) == plain(rows, 4, 5, 50)
 
@@ -94,9 +96,18 @@ def test_scores_beyond_64_bits(spark):
     assert want["x y"].score == 10**15 * 150 * n // (50_150 * 150)
 
 
-def test_adding_up():
-    keys, k, n, row = phrases._added(np.array([5, 3, 5], np.uint64), np.array([1, 1, 1], np.int8), np.array([2, 1, 4]), np.array([9, 8, 7]))
-    assert (keys.tolist(), k.tolist(), n.tolist(), row.tolist()) == ([3, 5], [1, 1], [1, 6], [8, 7])
+def test_adding_up_and_packing():
+    keys, n, row = phrases._added(np.array([5, 3, 5], np.uint64), np.array([2, 1, 4]), np.array([9, 8, 7]))
+    assert (keys.tolist(), n.tolist(), row.tolist()) == ([3, 5], [1, 6], [8, 7])
+    r = random.Random(1)
+    for size in (1, 7, 255, 256, 2**40, 2**63):
+        x = np.array([r.randrange(size) for _ in range(50)], np.uint64)
+        assert (phrases._unpacked(phrases._packed(x)) == x).all()
+    keys = np.array(sorted(r.randrange(2**64) for _ in range(999)), np.uint64)
+    held = phrases._blocks(keys, np.arange(1, 1000), np.arange(10**12, 10**12 + 999), 6).to_pylist()
+    assert len(held) == 64 and {x["block"] for x in held} == set(range(64))
+    back = [np.cumsum(phrases._unpacked(x["keys"]), dtype=np.uint64) + np.array(x["first"], np.int64).view(np.uint64) for x in held]
+    assert (np.concatenate(back) == keys).all()
 
 
 def test_query(spark, tmp_path):

@@ -25,14 +25,14 @@ def byte_class(characters: bytes) -> np.ndarray:
 SPACE = byte_class(b" \t\n\x0b\x0c\r")
 
 
-def parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, offsets) of consecutive texts that together have AT_ONCE bytes at most, or of one longer text."""
+def parts(texts: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, offsets) of consecutive texts that together have at_once bytes at most, or of one longer text."""
     binary = texts.cast(pa.large_binary()).fill_null(b"")
     data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
     at = 0
     while at < len(binary):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + at_once, "right")) - 1)
         own = offsets[at : end + 1]
         yield at, data[own[0] : own[-1]], own - own[0]
         at = end
