@@ -136,30 +136,38 @@ def test_inputs_are_those_of_plain_loops(spark):
     assert np.allclose(some[0], measured[3:7]) and (some[1] == hashed[3:7]).all()
 
 
-def plain_fit(good, x, prior, decay):
-    """Newton's method on the unbiased risk, all rows in memory."""
+def plain_fit(good, x, prior, decay, smooth):
+    """Newton's method on the non-negative risk with its crease rounded, all rows in memory."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     z = np.where(scale > 1e-6, (x - mean) / np.where(scale > 1e-6, scale, 1), 0)
     z = np.hstack([z, np.ones((len(z), 1))])
     theta, ridge = np.zeros(z.shape[1]), np.append(np.full(z.shape[1] - 1, decay), 1e-12)
     second = lambda t: np.logaddexp(0, z[~good] @ t).mean() - prior * np.logaddexp(0, z[good] @ t).mean()
-    whole = lambda t: prior * np.logaddexp(0, -z[good] @ t).mean() + second(t) + ridge @ t**2 / 2
-    for _ in range(50):
+    whole = lambda t: prior * np.logaddexp(0, -z[good] @ t).mean() + smooth * np.logaddexp(0, second(t) / smooth) + ridge @ t**2 / 2
+    for _ in range(300):
         p = 1 / (1 + np.exp(-z @ theta))
-        slope = -prior * z[good].mean(axis=0) + (p[~good][:, None] * z[~good]).mean(axis=0) + ridge * theta
-        curve = (z[~good] * (p * (1 - p))[~good][:, None]).T @ z[~good] / (~good).sum() + np.diag(ridge)
+        share = 1 / (1 + np.exp(-np.clip(second(theta) / smooth, -700, 700)))
+        onto = (p[~good][:, None] * z[~good]).mean(axis=0) - prior * (p[good][:, None] * z[good]).mean(axis=0)
+        slope = prior * ((p[good] - 1)[:, None] * z[good]).mean(axis=0) + share * onto + ridge * theta
+        bends = [(z[g] * (p * (1 - p))[g][:, None]).T @ z[g] / g.sum() for g in (good, ~good)]
+        curve = prior * (1 - share) * bends[0] + share * bends[1] + share * (1 - share) / smooth * np.outer(onto, onto) + np.diag(ridge)
         step = np.linalg.solve(curve, slope)
+        if slope @ step < 1e-14:
+            break
         while whole(theta - step) > whole(theta) + 1e-12:
             step = step / 2
         theta = theta - step
-    assert second(theta) > 0
-    return theta
+    assert abs(slope @ step) < 1e-9
+    return theta, second(theta), whole(theta)
 
 
-def test_query_agrees_with_a_plain_fit(spark, sf, monkeypatch):
-    # with so much decay the second term of the risk stays positive at the minimum, which is then unique
-    for name, value in (("DECAY", 300.0), ("ENOUGH", 1e-7), ("PASSES", 400), ("HALVINGS", 30)):
-        monkeypatch.setattr(pu_quality, name, value)
+@pytest.mark.parametrize("decay", [pu_quality.DECAY, 0.3])
+def test_query_agrees_with_a_plain_fit(spark, sf, monkeypatch, decay):
+    # of the shipped constants all but the one at which the walk ends; with more decay once more, for a minimum that is not flat
+    monkeypatch.setattr(pu_quality, "ENOUGH", 1e-9)
+    monkeypatch.setattr(pu_quality, "DECAY", decay)
+    fits, train = [], pu_quality.train
+    monkeypatch.setattr(pu_quality, "train", lambda *a: fits.append(train(*a)) or fits[-1])
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs}
@@ -171,15 +179,21 @@ def test_query_agrees_with_a_plain_fit(spark, sf, monkeypatch):
     steps = np.sort(held, axis=0)[[max(0, math.ceil(q * len(held)) - 1) for q in pu_quality.QUANTILES]].T
     x = np.hstack([measured.astype(np.float32), (measured.astype(np.float32)[:, :, None] > steps[None]).reshape(len(docs), -1), hashed / 255])
     good = np.array([docs[k].doc_id in labels for k in fitted])
-    theta = plain_fit(good, x[fitted], sum(known) / len(known), 300.0)
+    theta, second, least = plain_fit(good, x[fitted], sum(known) / len(known), decay, pu_quality.SMOOTH)
+    assert second < 3 * pu_quality.SMOOTH  # the minimum is at the crease
     mean, scale = x[fitted].mean(axis=0), x[fitted].std(axis=0)
     rows = np.where(scale > 1e-6, (x - mean) / np.where(scale > 1e-6, scale, 1), 0)
-    want = 1 / (1 + np.exp(-(rows @ theta[:-1] + theta[-1])))
+    z = rows @ theta[:-1] + theta[-1]
+    rest, prior = np.sort(z[fitted][~good]), sum(known) / len(known)
+    # the bias is set by the prior's share of unlabelled rows
+    want = 1 / (1 + np.exp(-(z - rest[max(0, math.ceil((1 - prior) * len(rest)) - 1)])))
     got = {r.doc_id: r for r in queries.op7_quality_classifier(spark, sf).collect()}
     assert set(got) == {r.doc_id for r in docs}
-    for k, r in enumerate(docs):
-        assert abs(got[r.doc_id].score - want[k]) < 2e-3 and got[r.doc_id].held_out == (fold[r.doc_id] == 0)
-    assert want.std() > 1e-3 and np.corrcoef(want, [got[r.doc_id].score for r in docs])[0, 1] > 0.999
+    assert all(got[r.doc_id].held_out == (fold[r.doc_id] == 0) for r in docs)
+    assert abs(fits[0].walk.value - least) < 1e-5 and (fits[0].walk.converged or decay < 0.1)
+    off = np.array([abs(got[r.doc_id].score - want[k]) for k, r in enumerate(docs)])
+    assert want.std() > 1e-3 and np.corrcoef(want, [got[r.doc_id].score for r in docs])[0, 1] > 0.99, off.max()
+    assert decay < 0.1 or off.max() < 5e-3
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1), (4, 0), (4, 1), (None, 1)], [(1, 1), (5, 1)], [(1, 1), (4, 0)]])
@@ -192,17 +206,27 @@ def test_classifier_on_awkward_rows(spark, labels, rows):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
 
 
-def test_risk_is_held_from_below_zero():
+def test_the_walk_ends_by_what_it_may_gain(spark, sf):
+    """With the shipped constants, where the second term of the risk is near zero, the fit ends since nothing is left to gain."""
+    path = work_dir(spark)
+    inputs = saved(pu_quality.features(spark.read.parquet(f"{sf}/documents.parquet")), f"{path}/inputs")
+    model = pu_quality.train(inputs, spark.read.parquet(f"{sf}/labels.parquet"), pu_quality.fold(5) != 0, path)
+    assert model.walk.converged and model.walk.gain <= pu_quality.ENOUGH and model.walk.passes < pu_quality.PASSES / 2
+
+
+def test_descent_along_a_crease():
+    """The larger of two parabolas, its crease rounded: the least value is on the crease."""
     r = np.random.default_rng(2)
-    x = np.hstack([r.normal(size=(60, 200)), np.ones((60, 1))])  # more inputs than rows: the positives could be told apart by heart
-    good = np.arange(60) < 30
-
-    def risk(theta):
-        z = np.clip(x @ theta, -40, 40)
-        soft, p = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
-        negative = soft[~good].mean() - 0.5 * soft[good].mean()
-        slope = -0.5 * x[good].mean(axis=0) + (p[~good][:, None] * x[~good]).mean(axis=0)
-        return 0.5 * (soft - z)[good].mean() + negative, slope, negative
-
-    theta = pu_quality.descend(risk, np.zeros(201))
-    assert 0 <= risk(theta)[2] < risk(np.zeros(201))[2] and risk(theta)[0] < risk(np.zeros(201))[0]
+    a, b = np.diag(r.uniform(1, 50, 20)), np.diag(r.uniform(1, 50, 20))
+    p, q = r.normal(size=20), r.normal(size=20)
+
+    def risk(x):
+        f, g = (x - p) @ a @ (x - p) / 2, (x - q) @ b @ (x - q) / 2
+        share = 1 / (1 + np.exp(-np.clip((g - f) / 0.01, -700, 700)))
+        return f + 0.01 * np.logaddexp(0, (g - f) / 0.01), (1 - share) * a @ (x - p) + share * b @ (x - q)
+
+    walk = pu_quality.descend(risk, np.zeros(20), np.eye(20))
+    f, g = (walk.theta - p) @ a @ (walk.theta - p) / 2, (walk.theta - q) @ b @ (walk.theta - q) / 2
+    assert walk.converged and abs(f - g) < 0.1
+    for _ in range(200):
+        assert risk(walk.theta + r.normal(size=20) * 0.05)[0] > walk.value - 2 * pu_quality.ENOUGH

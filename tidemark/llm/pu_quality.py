@@ -5,13 +5,19 @@ unbiased risk
 
     prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)])
 
-over all positives and all unlabelled rows. With the logistic loss the unbiased risk is
-convex, and its sum over rows is what a pass of Spark returns, so a limited-memory
-quasi-Newton method (L-BFGS) needs a pass over the saved inputs for each step; the driver
-holds the weights alone. The walk starts where the second term is positive, and a step
-that would turn it negative is shortened until it does not, which keeps the model from
-explaining away the unlabelled rows. The class prior is estimated as the share of good
-rows among the labelled ones that may be learned from.
+over all positives and all unlabelled rows. With the logistic loss it is the larger of two
+convex functions (the risk with the second term and that without it), so it is convex, with
+a crease where the second term is zero: there the model stops explaining away the unlabelled
+rows. The crease is rounded: the maximum is taken as SMOOTH * ln(1 + exp(term / SMOOTH)),
+which is at most 0.7 * SMOOTH above it and still convex. A limited-memory quasi-Newton method
+(L-BFGS) minimises that, on either side of the crease and along it, with a pass of Spark over
+the saved inputs for each value and gradient; one pass before gives the inputs' covariance,
+from which the first step and the measure of what is still to be gained come. The walk ends
+when that is below ENOUGH. The driver holds weights and covariance alone. The class prior is
+estimated as the share of good rows among the labelled ones that may be learned from. The
+logistic loss is unbounded, so the risk of well parted rows is near zero along a whole crease and
+says little on where a half lies; the bias is therefore set last, by the prior: that share of the
+unlabelled rows (a percentile of their margins over all of them) is scored above a half.
 
 Measurements enter as they are and as steps at quantiles of the corpus, which Spark
 estimates over all rows; nothing is tuned to a corpus by hand. Labels, lang, source and
@@ -37,8 +43,10 @@ from .common import saved
 from .text_features import AT_ONCE, MEASURED, SEQUENCES, WORDS, measure_array
 from .tokens import pieces_of
 
-#: Passes over the inputs at most, the gradient's length at which they end, halvings of a step before the walk ends, weight decay, steps remembered.
-PASSES, ENOUGH, HALVINGS, DECAY, MEMORY = 30, 3e-3, 4, 1e-3, 8
+#: Width of the rounded crease, what may still be gained of the risk when the walk ends, weight decay, steps remembered.
+SMOOTH, ENOUGH, DECAY, MEMORY = 0.005, 1e-4, 1e-3, 12
+#: Passes over the inputs at most, for a walk that rounding errors keep from ending.
+PASSES = 200
 #: Where measurements have steps.
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.85, 0.9, 0.95, 0.98)
 INPUTS = "doc_id long, measured array<float>, hashed binary"
@@ -70,13 +78,18 @@ class Model:
 
     def __init__(self, steps: np.ndarray, weights: np.ndarray, bias: float):
         self.steps, self.weights, self.bias = steps, weights, bias
+        #: How the fit ended; None where there was nothing to fit.
+        self.walk: Walk | None = None
 
     def inputs(self, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
         over = (measured[:, :, None] > self.steps[None]).reshape(len(measured), -1)
         return np.hstack([measured, over, hashed / 255.0])
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
 WIDTH = len(MEASURED) * (1 + len(QUANTILES)) + SEQUENCES + WORDS
@@ -107,36 +120,71 @@ def summed(rows: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray, np.
     return out
 
 
-def descend(risk: Callable[[np.ndarray], tuple[float, np.ndarray, float]], theta: np.ndarray) -> np.ndarray:
-    """Minimises risk(theta) = (value, gradient, second term) by L-BFGS, going nowhere where the second term is negative."""
-    value, gradient, _ = risk(theta)
+def outer(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of x'x over rows (good, measured, hashed), x = of(measured, hashed) with size columns and a last one of ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size + 1, size + 1))
+        for _, measured, hashed in _matrices(batches, 1):
+            x = np.hstack([of(measured, hashed), np.ones((len(measured), 1))])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array([row.tobytes() for row in total], pa.binary())], ["place", "held"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, float) for x in group.column("held").to_pylist())
+        return pa.table({"place": group.column("place")[:1], "held": pa.array([total.tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(run, "place int, held binary").groupBy("place").applyInArrow(added, "place int, held binary").toArrow()  # a row a column
+    out = np.zeros((size + 1, size + 1))
+    for place, held in zip(found["place"].to_pylist(), found["held"].to_pylist(), strict=True):
+        out[place] = np.frombuffer(held, float)
+    return out
+
+
+class Walk:
+    """How a minimisation ended: at theta, after passes, with so much of the risk still to be gained, and whether that was enough."""
+
+    def __init__(self, theta: np.ndarray, value: float, passes: int, gain: float):
+        self.theta, self.value, self.passes, self.gain, self.converged = theta, value, passes, gain, gain <= ENOUGH
+
+
+def descend(risk: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, curve: np.ndarray) -> Walk:
+    """Minimises a smooth convex risk(theta) = (value, gradient) by L-BFGS; curve: a guess of its second derivatives."""
+    root = np.linalg.cholesky(curve)
+
+    def solved(x: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(root.T, np.linalg.solve(root, x))
+
+    value, gradient = risk(theta)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
-    passes, length = 1, 1.0
-    while passes < PASSES and np.linalg.norm(gradient) > ENOUGH:
+    passes = 1
+    while True:
         step, kept = -gradient, []
         for s, y in reversed(moves):
             kept.append((s @ step) / (s @ y))
             step = step - kept[-1] * y
-        if moves:
-            s, y = moves[-1]
-            step = step * (s @ y) / (y @ y)
+        scale = (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ solved(moves[-1][1])) if moves else 1.0
+        step = scale * solved(step)
         for (s, y), a in zip(moves, reversed(kept), strict=True):
             step = step + s * (a - (y @ step) / (s @ y))
-        length = 1.0 if moves else min(1.0, 1 / np.linalg.norm(gradient))
-        for _ in range(HALVINGS):
+        gain = -(gradient @ step) / 2
+        if gain <= ENOUGH or passes >= PASSES:
+            return Walk(theta, value, passes, float(gain))
+        length = 1.0
+        while True:
             there = theta + length * step
-            new, slope, negative = risk(there)
+            new, slope = risk(there)
             passes += 1
-            if negative >= 0 and new <= value + 1e-4 * length * (gradient @ step):
+            if new <= value + 1e-4 * length * (gradient @ step) or passes >= PASSES:
                 break
-            length /= 2
-        else:
-            return theta
+            # the least value of the parabola through what is known, within bounds
+            length *= min(0.5, max(0.1, -(gradient @ step) * length / (2 * (new - value - length * (gradient @ step)))))
+        if new > value:
+            return Walk(theta, value, passes, float(gain))
         s, y = there - theta, slope - gradient
         if s @ y > 1e-12:
             moves = [*moves, (s, y)][-MEMORY:]
         theta, value, gradient = there, new, slope
-    return theta
 
 
 def train(inputs: DataFrame, labels: DataFrame, learnable: Column, path: str) -> Model:
@@ -153,40 +201,54 @@ def train(inputs: DataFrame, labels: DataFrame, learnable: Column, path: str) ->
         return _constant(prior)
     model = Model(np.array(steps, float), np.zeros(WIDTH), 0.0)
 
-    def moments(good: np.ndarray, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-        x = model.inputs(measured, hashed)
-        return np.concatenate((x.sum(axis=0), (x**2).sum(axis=0), [good.sum(), (~good).sum()]))
-
-    found = summed(held, 2 * WIDTH + 2, moments)
-    n_good, n_rest = found[-2:]
-    if not n_good or not n_rest:
+    found = outer(held, model.inputs, WIDTH)
+    n_good, n = held.where("good").count(), found[-1, -1]
+    if not n_good or n_good == n:
         return _constant(prior)
-    mean = found[:WIDTH] / (n_good + n_rest)
-    scale = np.sqrt(np.maximum(found[WIDTH : 2 * WIDTH] / (n_good + n_rest) - mean**2, 0))
+    n_rest = n - n_good
+    mean = found[-1, :-1] / n
+    covariance = found[:-1, :-1] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(covariance), 0))
     used = scale > 1e-6
     scale[~used] = 1.0
+    curve = np.zeros((WIDTH + 1, WIDTH + 1))
+    curve[:-1, :-1] = covariance * np.outer(used / scale, used / scale) / 4 + DECAY * np.eye(WIDTH)
+    curve[-1, -1] = 0.25
 
-    def risk(theta: np.ndarray) -> tuple[float, np.ndarray, float]:
+    def risk(theta: np.ndarray) -> tuple[float, np.ndarray]:
         weights, bias = theta[:-1] * used / scale, theta[-1]
 
         def terms(good: np.ndarray, measured: np.ndarray, hashed: np.ndarray) -> np.ndarray:
             x = model.inputs(measured, hashed)
             z = np.clip((x - mean) @ weights + bias, -40, 40)
+            p = 1 / (1 + np.exp(-z))
             soft = np.logaddexp(0, z)  # the loss of a negative; a positive's is z less
-            slope = np.where(good, -prior / n_good, 1 / (1 + np.exp(-z)) / n_rest)
-            onto = np.append((slope @ x - slope.sum() * mean) * used / scale, slope.sum())
-            return np.concatenate((onto, [(soft - z)[good].sum() / n_good, soft[good].sum() / n_good, soft[~good].sum() / n_rest]))
-
-        sums = summed(held, WIDTH + 4, terms)
-        negative = sums[-1] - prior * sums[-2]
+            first = np.where(good, (p - 1) * prior / n_good, 0)
+            second = np.where(good, -p * prior / n_good, p / n_rest)
+            slopes = np.stack([first, second])
+            onto = np.hstack([(slopes @ x - slopes.sum(axis=1, keepdims=True) * mean) * used / scale, slopes.sum(axis=1, keepdims=True)])
+            return np.append(onto, [(soft - z)[good].sum() / n_good, soft[good].sum() / n_good, soft[~good].sum() / n_rest])
+
+        sums = summed(held, 2 * (WIDTH + 1) + 3, terms)
+        second = sums[-1] - prior * sums[-2]
+        share = 1 / (1 + np.exp(-np.clip(second / SMOOTH, -700, 700)))
         decay = np.append(DECAY * theta[:-1], 0)
-        return prior * sums[-3] + negative + decay @ theta / 2, sums[: WIDTH + 1] + decay, negative
+        value = prior * sums[-3] + SMOOTH * np.logaddexp(0, second / SMOOTH) + decay @ theta / 2
+        return value, sums[: WIDTH + 1] + share * sums[WIDTH + 1 : 2 * WIDTH + 2] + decay
 
     start = np.zeros(WIDTH + 1)
     start[-1] = np.log(prior / (1 - prior))
-    theta = descend(risk, start)
-    model.weights = theta[:-1] * used / scale
-    model.bias = float(theta[-1] - mean @ model.weights)
+    model.walk = descend(risk, start, curve)
+    model.weights = model.walk.theta[:-1] * used / scale
+    model.bias = float(model.walk.theta[-1] - mean @ model.weights)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, measured, hashed in _matrices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(model.margin(model.inputs(measured, hashed)))], ["z"])
+
+    # as many unlabelled rows as the prior says are scored above a half
+    at = held.where("NOT good").mapInArrow(margins, "z double").agg(F.percentile_approx("z", 1 - prior, 10_000)).first()[0]
+    model.bias -= float(at)
     return model
 
 
