@@ -177,3 +177,14 @@ def test_pivot_is_fair_and_keeps_sums():
         assert sum(0 < p < 1 for p in parts) <= 1
         total += parts[0]
     assert abs(total / n - 0.3) < 0.03
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_archives_lie_where_spark_resolves_their_path(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/w"
+    assert warc.qualified(spark, path) == f"file:{tmp_path}/w"
+    assert warc.filesystem(warc.qualified(spark, path))[1] == f"{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame([(1, "u", "<p>"), (2, "v", None)], "page_id long, url string, html string"), path)
+    listed = {r.file for r in spark.read.parquet(f"{path}/files").collect()}
+    assert listed and listed <= {p.name for p in (tmp_path / "w/archives").iterdir()}
+    assert warc.transactions(warc.read_archives(spark, path)).count() == 2

@@ -82,17 +82,23 @@ def member(kind: str, record_id: str, content_type: str, block: bytes, headers:
     return b"".join((packer.compress("\r\n".join(lines).encode() + END), packer.compress(block), packer.compress(END), packer.flush()))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as Spark resolves it: where it has no scheme, with that of the default file system, so that archives lie where tables do."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(held).toString()
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system of a qualified path and the path in it."""
+    return (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
     """Writes (page_id, url, html) as .warc.gz files below path, and the table of those files."""
-    held = captures(pages, path, least)
+    held, archives = captures(pages, path, least), f"{qualified(pages.sparkSession, path)}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = filesystem(f"{path}/archives")
+        store, folder = filesystem(archives)
         store.create_dir(folder, recursive=True)
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         out, name, size, n_records, n_files, row = None, "", 0, 0, 0, 0
@@ -173,9 +179,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     n = listed.count()
     if not n:
         return spark.createDataFrame([], RECORD)
+    archives = f"{qualified(spark, path)}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = filesystem(f"{path}/archives")
+        store, folder = filesystem(archives)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows: list[dict] = []
