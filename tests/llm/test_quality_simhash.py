@@ -3,9 +3,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality, simhash
-from tidemark.llm.common import work_dir
+from tidemark.llm import near_dedup, quality, simhash
+from tidemark.llm.common import saved, work_dir
 from tidemark.llm.components import components
 
 from .helpers import WORD, awkward, prose
@@ -100,3 +101,24 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.label for r in components(links, work_dir(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}}
     assert components(links.limit(0), work_dir(spark)).collect() == []
+
+
+def sent_after_explode(df):
+    """Explodes below the broadcasts of a plan: Spark sizes their rows as if there were none."""
+    found, within = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        within = None if within is not None and depth <= within else within
+        if "BroadcastExchange" in line:
+            within = depth if within is None else within
+        elif "Generate explode" in line and within is not None:
+            found.append(line)
+    return found
+
+
+def test_exploded_tables_are_never_broadcast(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    prints = saved(spark.range(3000).select(F.xxhash64("id").alias("fingerprint")), f"{work_dir(spark)}/prints")
+    assert sent_after_explode(simhash.links(prints, 4)) == []
+    texts = saved(spark.range(300).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("t"), F.repeat(F.lit("x"), 512).cast("binary").alias("sig")), f"{work_dir(spark)}/texts")
+    assert sent_after_explode(near_dedup.candidates(texts, 0.8)) == []

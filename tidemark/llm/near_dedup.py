@@ -95,7 +95,7 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     bands = F.array(*[F.struct(F.lit(k).cast("short").alias("band"), F.xxhash64(F.substring("sig", 1 + k * width, width)).alias("key")) for k in range(BANDS)])
     keyed = texts.select("t", F.explode(bands).alias("k")).select("t", "k.*")
     crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(crowded, ["band", "key"]).join(texts.select("t", "sig"), "t")
+    members = keyed.hint("merge").join(crowded, ["band", "key"]).join(texts.select("t", "sig"), "t")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("t"), blocks).cast("int")
     pairs = F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))

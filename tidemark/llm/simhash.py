@@ -103,7 +103,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("key")) for t, mask in enumerate(masks(radius))])
     keyed = distinct.select("fingerprint", F.explode(tables).alias("k")).select("fingerprint", "k.*")
     crowded = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(crowded, ["t", "key"])
+    # Spark sizes an explode like the table before it: without the hint it sends all tables of some 10 MB of fingerprints to the driver
+    members = keyed.hint("merge").join(crowded, ["t", "key"])
     # blocks of a large bucket: every pair of blocks, and each with itself, is compared once
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
