@@ -115,6 +115,17 @@ def test_covering_keyframe_is_the_first_within_a_millisecond(spark):
     assert {r.seg_id: r.keyframe for r in visual_runs.covering(wanted, keyframes).collect()} == {1: 11, 2: None, 3: 12, 4: None, 5: 13}
 
 
+def test_spans_cover_what_their_times_cover(spark):
+    spans = [("a", 1, 11, 5.0, [(1790.0, 10.0, 4)]), ("a", 2, 12, 9.0, [(1799.9995, 0.0, 1), (3000.5, 0.5, 3000)]), ("a", 3, 13, 1.0, [(0.0, 1.0, 0)]), ("b", 4, 14, 2.0, None), ("a", 5, 15, 7.0, [(1790.0, 10.0, 4)])]
+    kinds = "run_id string, place long, id long, t double"
+    listed = [(*row, [first + k * step for first, step, n in of or [] for k in range(n)]) for *row, of in spans]
+    times = [2.0, 5.0, 9.0005, 1789.9995, 1795.0, 1800.0, 1800.0004, 1820.0, 1830.0, 3000.5, 3001.2, 3001.5009, 4500.0, 4500.002, 4500.5, 4501.0]
+    wanted = spark.createDataFrame([(run, k, t) for run in "ab" for k, t in enumerate(times)], "run_id string, seg_id long, at double")
+    got = visual_runs.covering(wanted, spark.createDataFrame(spans, f"{kinds}, spans array<struct<first:double,step:double,n:int>>"))
+    want = visual_runs.covering(wanted, spark.createDataFrame(listed, f"{kinds}, covered array<double>"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_trace(spark):
     low = spark.createDataFrame([("a", 1, 10.0, 40.0, "candidate_pool", 40.0), ("a", 2, 300.0, None, None, None), ("a", 3, 500.0, 520.0, "covered_candidate", 515.0)], "run_id string, number long, at double, selected double, source string, matched double")
     bounds = spark.createDataFrame([("a", 1, 500.0, 520.0, ["gap"]), ("a", 2, 520.0, 600.0, [])], "run_id string, number long, at double, selected double, overridden array<string>")

@@ -19,6 +19,8 @@ METHOD = "ffmpeg_interval_plus_pillow_difference_v1"
 TIMES = 30
 #: Seconds of a bucket that windows and times share.
 BUCKET = 180
+#: Seconds of a bucket that spans of covered times and wanted times share.
+SPAN_BUCKET = 1800
 
 
 def _beside(t: Column) -> Column:
@@ -30,13 +32,36 @@ def _same_time(wanted: DataFrame, points: DataFrame) -> DataFrame:
     """Rows of wanted (run_id, at, ...) with each point (run_id, t, ...) less than a millisecond away."""
     left = wanted.withColumn("ms", _beside(F.col("at")))
     right = points.withColumn("ms", F.floor(F.col("t") / TOLERANCE))
-    return left.join(right, ["run_id", "ms"]).where(F.abs(F.col("t") - F.col("at")) < TOLERANCE).drop("ms")
+    # Spark sizes an explode like the table before it: without the hint it may broadcast three times of what it takes for small
+    return left.hint("merge").join(right, ["run_id", "ms"]).where(F.abs(F.col("t") - F.col("at")) < TOLERANCE).drop("ms")
+
+
+def _in_spans(wanted: DataFrame, spans: DataFrame) -> DataFrame:
+    """(run_id, seg_id, place, id) of wanted (run_id, seg_id, at) and the spans (run_id, place, id, first, step, n) with a time less than a millisecond away.
+
+    Spans meet wanted times by buckets of time, as they are and not time by time; of equal ones in a run the first alone."""
+    once = spans.groupBy("run_id", "first", "step", "n").agg(F.min(F.struct("place", "id")).alias("f"))
+    last = F.col("first") + (F.col("n") - 1) * F.col("step")
+    number = lambda t: F.floor(t / SPAN_BUCKET)
+    held = once.where("n > 0").withColumn("bucket", F.explode(F.sequence(number(F.col("first") - TOLERANCE), number(last + TOLERANCE))))
+    # the nearest of a span's times is that of a whole step
+    k = F.when(F.col("step") > 0, F.least(F.greatest(F.round((F.col("at") - F.col("first")) / F.col("step")), F.lit(0.0)), F.col("n") - 1)).otherwise(F.lit(0.0))
+    met = wanted.withColumn("bucket", number(F.col("at"))).join(held.hint("merge"), ["run_id", "bucket"])
+    return met.where(F.abs(F.col("first") + k * F.col("step") - F.col("at")) < TOLERANCE).select("run_id", "seg_id", "f.place", "f.id")
 
 
 def covering(wanted: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """(run_id, seg_id, keyframe) of wanted (run_id, seg_id, at): the first keyframe (run_id, place, id, t, covered) whose own or covered time it is, else null."""
-    times = keyframes.select("run_id", "place", "id", F.explode(F.array_union(F.array("t"), F.coalesce("covered", F.array().cast("array<double>")))).alias("t"))
-    first = _same_time(wanted.select("run_id", "seg_id", "at"), times).groupBy("run_id", "seg_id").agg(F.min(F.struct("place", "id")).alias("f"))
+    """(run_id, seg_id, keyframe) of wanted (run_id, seg_id, at): the first keyframe whose own or covered time it is, else null.
+
+    keyframes: run_id, place, id, t, and covered times as a list, ``covered``, or as ``spans``, a list of (first, step, n): n times, step seconds apart. Both may be there, or null."""
+    own = F.array("t")
+    if "covered" in keyframes.columns:
+        own = F.array_union(own, F.coalesce("covered", F.array().cast("array<double>")))
+    wanted = wanted.select("run_id", "seg_id", "at")
+    met = _same_time(wanted, keyframes.select("run_id", "place", "id", F.explode(own).alias("t"))).select("run_id", "seg_id", "place", "id")
+    if "spans" in keyframes.columns:
+        met = met.unionByName(_in_spans(wanted, keyframes.select("run_id", "place", "id", F.inline("spans").alias("first", "step", "n"))))
+    first = met.groupBy("run_id", "seg_id").agg(F.min(F.struct("place", "id")).alias("f"))
     return wanted.select("run_id", "seg_id").join(first, ["run_id", "seg_id"], "left").select("run_id", "seg_id", F.col("f.id").alias("keyframe"))
 
 

@@ -13,8 +13,8 @@ from .inputs import SQL
 
 def covering_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first keyframe that covers each transcript's start, to the millisecond; a keyframe covers each second of its first 20 minutes."""
-    covered = F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda k: (F.col("s") + k).cast("double"))
-    keyframes = inputs.visual(spark, sf_dir).select("run_id", F.col("idx").cast("long").alias("place"), F.col("seg_id").alias("id"), F.col("s").cast("double").alias("t"), covered.alias("covered"))
+    spans = F.array(F.struct(F.col("s").cast("double").alias("first"), F.lit(1.0).alias("step"), F.lit(1200).alias("n")))
+    keyframes = inputs.visual(spark, sf_dir).select("run_id", F.col("idx").cast("long").alias("place"), F.col("seg_id").alias("id"), F.col("s").cast("double").alias("t"), spans.alias("spans"))
     # a start within a millisecond of a second is that second, one 2 ms away is none
     off = F.when(F.col("seg_id") % 3 == 0, 0.002).otherwise(0.0005)
     wanted = inputs.transcript(spark, sf_dir).select("run_id", "seg_id", (F.col("s") + off).alias("at"))
