@@ -308,3 +308,18 @@ def test_sessions_are_alike_in_batch_and_stream(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("held").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_units_run_what_gives_their_segments_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kinds = "run_id string, seg_id long, visual long, visual_id long, s double, e double, chars long, text string"
+    rows = spark.createDataFrame([("a", k, k // 3, 10 + k // 3, 20.0 * k, 20.0 * k + 15, 50, f"t{k}") for k in range(30)], kinds)
+    held = content_map.with_excerpts(content_map.units(rows.mapInArrow(counted, kinds), folds.Options()))
+    held.join(content_map.topic_groups(held), ["run_id", "unit_no"]).collect()
+    assert seen.value == 30

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..work import folder, settled
 from . import budgets, chains, folds
 
 # Fixed values of the format
@@ -53,7 +54,10 @@ def units(items: DataFrame, o: folds.Options) -> DataFrame:
 
     visual is the position of the matched visual segment in its run, visual_id its id. items holds the unit's segments in
     order, visuals its distinct visual ids in order."""
-    each = chains.chunked(items.select("run_id", "visual", "s", "seg_id", "e", "chars", "text", "visual_id"), ["run_id", "visual"], o.max_duration)
+    # written once: chunks go over their rows several times, and what aligned them, as who uses the units, would run each time
+    path = folder(items.sparkSession)
+    items = settled(items.select("run_id", "visual", "s", "seg_id", "e", "chars", "text", "visual_id"), f"{path}/items")
+    each = chains.chunked(items, ["run_id", "visual"], o.max_duration)
     blocks = each.groupBy("run_id", "visual", "chunk").agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.sum("chars").cast("long").alias("chars"), F.array_sort(F.collect_list(F.struct("s", "seg_id", "e", "text", "visual_id"))).alias("items")
     )
@@ -64,7 +68,7 @@ def units(items: DataFrame, o: folds.Options) -> DataFrame:
         F.min("s").alias("s"), F.max("e").alias("e"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("visual", "chunk", "items"))).alias("b")
     )
     found = found.withColumn("items", F.flatten(F.transform("b", lambda x: x["items"]))).drop("b")
-    return found.withColumn("visuals", F.array_distinct(F.transform("items", lambda x: x["visual_id"])))
+    return settled(found.withColumn("visuals", F.array_distinct(F.transform("items", lambda x: x["visual_id"]))), f"{path}/units")
 
 
 def with_excerpts(held: DataFrame, most: int = EXCERPT_CHARS) -> DataFrame:
