@@ -129,7 +129,8 @@ def successors(rows: DataFrame, keys: list[str], longest: float, most: int | Non
     both = reach.union(asked).withColumn("__b", stretch(F.col("__v"), cuts))
     counted = running(both, keys, ["__part", "__b"], ["__v", "__asks"], {"succ": ("sum", (1 - F.col("__asks")).cast("long"))})
     succ = counted.where("__asks = 1").select(*keys, "pos", (F.least("succ", F.col("pos") + most) if most else F.col("succ")).alias("succ"))
-    return held.drop("__b", "__part", "__reach").join(succ, [*keys, "pos"])
+    # written rows are small in Parquet and large as a broadcast
+    return held.drop("__b", "__part", "__reach").hint("merge").join(succ, [*keys, "pos"])
 
 
 def near_successors(rows: DataFrame, keys: list[str], longest: float, most: int, order: list[str]) -> DataFrame:

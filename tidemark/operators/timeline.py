@@ -33,20 +33,27 @@ def align(transcript: DataFrame, visual: DataFrame, nearest: int, bucket: int) -
 
     The longest overlap wins, the first index among equals; without any, the nearest within ``nearest`` seconds; rows without either stay, unmatched.
     Both sides are spread over time buckets, so the range join is an equi-join on run and bucket, and the winner is an
-    aggregate with a map-side part. A pair that meets in several buckets is the same pair, and max and min don't mind."""
+    aggregate with a map-side part. A pair that meets in several buckets is the same pair, and max and min don't mind.
+    Segments of a run with the same times have the same answer and meet once, and of visual segments with the same times
+    the first alone: what is there many times over costs no pairs."""
     t = transcript.select("run_id", "seg_id", F.col("s").alias("ts"), F.col("e").alias("te"))
     v = visual.select("run_id", "idx", F.col("seg_id").alias("visual_id"), F.col("s").alias("vs"), F.col("e").alias("ve"), F.col("at"))
+    wanted = t.select("run_id", "ts", "te").distinct()
+    once = v.groupBy("run_id", "vs", "ve", "at").agg(F.min(F.struct("idx", "visual_id")).alias("f")).select("run_id", "vs", "ve", "at", "f.*")
     spread = lambda low, high: F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket)))
-    tb = t.withColumn("bucket", spread(F.col("ts") - nearest, F.greatest("ts", "te") + nearest))
-    vb = v.withColumn("bucket", spread(F.least("vs", "at"), F.greatest("ve", "at")))
+    tb = wanted.withColumn("bucket", spread(F.col("ts") - nearest, F.greatest("ts", "te") + nearest))
+    vb = once.withColumn("bucket", spread(F.least("vs", "at"), F.greatest("ve", "at")))
     shared = overlap(F.col("ts"), F.col("te"), F.col("vs"), F.col("ve"))
     apart = distance(F.col("ts"), F.col("te"), F.col("vs"), F.col("ve"), F.col("at"))
-    best = tb.join(vb, ["run_id", "bucket"]).select("run_id", "seg_id", "idx", "visual_id", shared.alias("overlap"), apart.alias("distance"))
-    best = best.groupBy("run_id", "seg_id").agg(
+    # Spark sizes an explode like the table before it: without the hint it may broadcast many times of what it takes for small
+    best = tb.hint("merge").join(vb, ["run_id", "bucket"]).select("run_id", "ts", "te", "idx", "visual_id", shared.alias("overlap"), apart.alias("distance"))
+    best = best.where((F.col("overlap") > 0) | (F.col("distance") <= nearest)).groupBy("run_id", "ts", "te").agg(
         F.max(F.when(F.col("overlap") > 0, F.struct("overlap", (-F.col("idx")).alias("first"), "visual_id"))).alias("hit"),
         F.min(F.when(F.col("distance") <= nearest, F.struct("distance", "idx", "visual_id"))).alias("near"),
     )
-    joined = t.join(best, ["run_id", "seg_id"], "left")
+    best = best.select(F.col("run_id").alias("__run"), F.col("ts").alias("__ts"), F.col("te").alias("__te"), "hit", "near")
+    # an end may be null, and what lies near is still found
+    joined = t.hint("merge").join(best, (F.col("run_id") == F.col("__run")) & (F.col("ts") == F.col("__ts")) & F.col("te").eqNullSafe(F.col("__te")), "left")
     hit, near = F.col("hit").isNotNull(), F.col("near").isNotNull()
     return joined.select(
         "run_id",
